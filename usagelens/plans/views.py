@@ -38,8 +38,11 @@ def model_by(key) -> F.Column:
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a per-request log without prompts."""
-    e = table(spark, sf_dir, "events")
+    return log_of_events(table(spark, sf_dir, "events"))
+
+
+def log_of_events(e: DataFrame) -> DataFrame:
+    """Events, batch or stream, as a per-request log without prompts."""
     fields = {
         "timestamp": F.when(F.col("event_id") % 97 != 0, F.col("ts")),
         "model": model_by(F.col("user_id")),

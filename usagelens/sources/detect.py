@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,23 +13,27 @@ HEAD_SCHEMES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "
 HEADS_PER_TASK = 256
 
 
-def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
+def _head_reader(schemes: dict[str, str]):
+    """A reader of first lines. As a closure it is shipped whole, so workers need no package."""
 
     def head(path: str) -> bytes | None:
+        from pyarrow import fs
+
         scheme, rest = path.split(":", 1)
-        uri = f"{HEAD_SCHEMES[scheme]}://{rest.removeprefix('//')}"
-        store, name = fs.FileSystem.from_uri(uri)
+        store, name = fs.FileSystem.from_uri(f"{schemes[scheme]}://{rest.removeprefix('//')}")
+        seen = b""
         with store.open_input_stream(name, compression="detect") as f:
-            seen = b""
             while chunk := f.read(1 << 16):
                 seen = (seen + chunk).lstrip()
                 if b"\n" in seen or b"\r" in seen:
                     break
         return seen.splitlines()[0] if seen else None
 
-    for batch in batches:
-        yield pd.DataFrame({"path": batch["path"], "head": [head(p) for p in batch["path"]]})
+    def read_heads(batches):
+        for batch in batches:
+            yield batch.assign(head=[head(p) for p in batch["path"]])
+
+    return read_heads
 
 
 def first_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -53,7 +54,7 @@ def first_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         return (
             listing.select("path")
             .repartition(tasks)
-            .mapInPandas(_read_heads, "path string, head binary")
+            .mapInPandas(_head_reader(HEAD_SCHEMES), "path string, head binary")
             .select("path", strip(drop_undecodable(F.col("head").cast("string"))).alias("head"))
         )
     lines = (
