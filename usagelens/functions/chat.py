@@ -45,15 +45,12 @@ def message_text(v: Column, path: str = "$.messages") -> Column:
     """
 
     def parts(message: Column) -> Column:
+        content = _typed(message, "$.content", "variant")
         blocks = F.transform(
             _variant_array(message, "$.content"), lambda b: string_only(b, "$.text")
         )
-        return F.coalesce(
-            F.when(string_only(message, "$.content").isNotNull(),
-                   F.array(string_only(message, "$.content"))),
-            blocks,
-            F.array().cast("array<string>"),
-        )
+        plain = F.when(F.schema_of_variant(content) == "STRING", F.array(as_text(message, "$.content")))
+        return F.coalesce(blocks, plain, F.array().cast("array<string>"))
 
     texts = F.flatten(F.transform(_variant_array(v, path), parts))
     kept = F.filter(texts, lambda t: t.isNotNull() & (t != ""))

@@ -16,6 +16,7 @@ WHITESPACE = (
 
 # The text of a number, and the timestamp layouts in the order they are tried.
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+INTEGER = r"^[+-]?[0-9]{1,18}$"
 EPOCH_SECONDS = r"^[0-9]{9,10}$"
 EPOCH_MILLIS = r"^[0-9]{12,13}$"
 BASIC_DATE = r"^[0-9]{8}$"
@@ -23,6 +24,9 @@ ISO_DATE_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ].*)?$"
 LOOSE_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 TIME_ZONE = r"([T ][0-9:.]+)(Z|[+-][0-9]{2}(:?[0-9]{2}){0,2})$"
 
+# Fixed value: the mark a decoder puts in place of bytes that are not UTF-8.
+UNDECODABLE = "\ufffd"
+
 # Status words that mark a failed request.
 ERROR_WORDS = ("failure", "error", "failed")
 HTTP_ERROR_FROM = 400
@@ -34,7 +38,7 @@ def strip(c: Column) -> Column:
 
 def drop_undecodable(c: Column) -> Column:
     """Drop bytes that are not UTF-8."""
-    return F.replace(F.make_valid_utf8(c), F.lit("\ufffd"), F.lit(""))
+    return F.replace(F.make_valid_utf8(c), F.lit(UNDECODABLE), F.lit(""))
 
 
 def first_filled(candidates: Iterable[Column]) -> Column:
@@ -43,40 +47,43 @@ def first_filled(candidates: Iterable[Column]) -> Column:
     return F.coalesce(*filled) if filled else F.lit(None).cast("string")
 
 
-def _number(text: Column) -> Column:
+def _guarded(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text).try_cast("double")
 
 
-def to_double(c: Column) -> Column:
-    plain = F.replace(strip(c), F.lit(","), F.lit(""))
-    return _finite(_number(strip(F.ltrim(plain, F.lit("$")))))
+# The ``..._of`` functions take text that is stripped already. Readers strip in a projection of
+# its own, so a value is not stripped again at every place an expression names it.
 
 
-def to_long(c: Column) -> Column:
-    """Whole part of a number, cut toward zero."""
-    return _number(strip(F.replace(strip(c), F.lit(","), F.lit("")))).try_cast("bigint")
+def double_of(t: Column) -> Column:
+    x = _guarded(strip(F.ltrim(F.replace(t, F.lit(","), F.lit("")), F.lit("$"))))
+    return F.when(F.abs(x) < float("inf"), x)
 
 
-def _finite(x: Column) -> Column:
-    return F.when(F.abs(x) < float("inf"), x)
+def long_of(t: Column) -> Column:
+    """Whole part of a number, cut toward zero. Plain integers take the short way."""
+    plain = F.replace(t, F.lit(","), F.lit(""))
+    return _integer(t).otherwise(_guarded(strip(plain)).try_cast("bigint"))
 
 
-def to_timestamp(c: Column) -> Column:
+def _integer(t: Column) -> Column:
+    # A failing cast costs an exception inside Spark, so only text that fits is cast.
+    return F.when(t.rlike(INTEGER), t.try_cast("bigint"))
+
+
+def timestamp_of(t: Column) -> Column:
     """Wall clock as written: an offset is dropped, never applied. Epochs are UTC."""
-    t = strip(c)
     day = F.substring(t, 1, 10)
-    epoch = F.when(t.rlike(EPOCH_SECONDS), t.try_cast("bigint")).when(
-        t.rlike(EPOCH_MILLIS), F.floor(t.try_cast("bigint") / 1000)
-    )
     clock = F.regexp_replace(t, TIME_ZONE, "$1")
     dashed = F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))
     return (
-        F.when(epoch.isNotNull(), _from_epoch(epoch))
-        .when(t.rlike(BASIC_DATE), dashed.try_cast("timestamp_ntz"))
-        .when(
+        F.when(
             t.rlike(ISO_DATE_TIME),
             F.coalesce(clock.try_cast("timestamp_ntz"), day.try_cast("timestamp_ntz")),
         )
+        .when(t.rlike(EPOCH_SECONDS), _from_epoch(t.try_cast("bigint")))
+        .when(t.rlike(EPOCH_MILLIS), _from_epoch(F.floor(t.try_cast("bigint") / 1000)))
+        .when(t.rlike(BASIC_DATE), dashed.try_cast("timestamp_ntz"))
         .when(day.rlike(LOOSE_DATE), day.try_cast("timestamp_ntz"))
     )
 
@@ -86,9 +93,21 @@ def _from_epoch(seconds: Column) -> Column:
     return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
 
 
-def request_count(c: Column) -> Column:
+def to_double(c: Column) -> Column:
+    return double_of(strip(c))
+
+
+def to_long(c: Column) -> Column:
+    return long_of(strip(c))
+
+
+def to_timestamp(c: Column) -> Column:
+    return timestamp_of(strip(c))
+
+
+def at_least_one(n: Column) -> Column:
     """Requests a row stands for; null and 0 both count as one."""
-    return F.coalesce(F.nullif(to_long(c), F.lit(0)), F.lit(1)).cast("bigint")
+    return F.coalesce(F.nullif(n, F.lit(0)), F.lit(1)).cast("bigint")
 
 
 def failed_in_words(c: Column) -> Column:
@@ -97,9 +116,6 @@ def failed_in_words(c: Column) -> Column:
 
 def failed_over_http(c: Column) -> Column:
     """A status code of 400 or more, or a word for failure."""
-    code = to_http_code(c)
-    return F.when(code.isNotNull(), code >= HTTP_ERROR_FROM).otherwise(failed_in_words(c))
-
-
-def to_http_code(c: Column) -> Column:
-    return _number(strip(c)).try_cast("bigint")
+    t = strip(c)
+    code = _integer(t).otherwise(_guarded(t).try_cast("bigint"))
+    return F.coalesce(code >= HTTP_ERROR_FROM, failed_in_words(c))

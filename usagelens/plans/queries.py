@@ -136,7 +136,7 @@ def coerce_numbers(spark, sf_dir):
         "event_id",
         coerce.to_long(F.col("cell")).alias("as_long"),
         coerce.to_double(F.col("cell")).alias("as_double"),
-        coerce.request_count(F.col("cell")).alias("as_requests"),
+        coerce.at_least_one(coerce.to_long(F.col("cell"))).alias("as_requests"),
     )
 
 
@@ -185,7 +185,7 @@ def file_formats(spark, sf_dir):
 @query
 def chat_text(spark, sf_dir):
     """Each turn as a chat body with string, block, empty and foreign elements."""
-    turns = views.table(spark, sf_dir, "conversations")
+    turns = views.spread(views.table(spark, sf_dir, "conversations"))
     kind, text = F.lit("text").alias("type"), F.upper("role").alias("text")
     blocks = F.array(F.struct(kind, text), F.struct(kind, F.lit("").alias("text")))
     messages = F.concat_ws(
@@ -261,7 +261,7 @@ def _shown(usage: DataFrame, *more: str) -> DataFrame:
 
 def _event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as request log objects, with fields in the nested, plain and missing places."""
-    e = views.table(spark, sf_dir, "events")
+    e = views.spread(views.table(spark, sf_dir, "events"))
     third = F.col("event_id") % 3
     return e.select(
         F.col("event_id").cast("string").alias("request_id"),
@@ -319,7 +319,7 @@ def request_log_csv(spark, sf_dir):
 
 def _activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as text cells of an activity export."""
-    i = views.table(spark, sf_dir, "lineitem")
+    i = views.spread(views.table(spark, sf_dir, "lineitem").drop("l_tax"))
     return i.select(
         F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("string").alias("timestamp"),
         views.model_by(F.col("l_suppkey")).alias("model"),
@@ -346,7 +346,7 @@ def activity_csv(spark, sf_dir):
 @query
 def cache_usage_csv(spark, sf_dir):
     """Line items as a usage export with input split by cache use, or in one plain column."""
-    i = views.table(spark, sf_dir, "lineitem")
+    i = views.spread(views.table(spark, sf_dir, "lineitem").drop("l_tax"))
     has = F.col("l_linenumber") % 3
     cells = i.select(
         F.date_format("l_shipdate", "yyyy-MM-dd HH:mm").alias("usage_date_utc"),
@@ -371,7 +371,7 @@ def cache_usage_csv(spark, sf_dir):
 @query
 def cost_csv(spark, sf_dir):
     """Line items as a cost export: one row per token type, no tokens."""
-    i = views.table(spark, sf_dir, "lineitem")
+    i = views.spread(views.table(spark, sf_dir, "lineitem").drop("l_tax"))
     cells = i.select(
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("usage_date_utc"),
         views.model_by(F.col("l_suppkey")).alias("Model"),
@@ -453,7 +453,7 @@ def report_json(spark, sf_dir):
 
 @query
 def leak_audit(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.spread(views.table(spark, sf_dir, "documents"))
     return audit.leak_audit(docs, ["licensed under", "password", "the of", "Éeau"])
 
 
@@ -466,12 +466,16 @@ def output_leak_audit(spark, sf_dir):
 
 @query
 def identifier_scan(spark, sf_dir):
-    return audit.identifier_scan(views.table(spark, sf_dir, "documents").select("text", "source"))
+    return audit.identifier_scan(
+        views.spread(views.table(spark, sf_dir, "documents").select("text", "source"))
+    )
 
 
 @query
 def advice_cells(spark, sf_dir):
-    return audit.advice_cells(views.table(spark, sf_dir, "documents").select("text", "lang"))
+    return audit.advice_cells(
+        views.spread(views.table(spark, sf_dir, "documents").select("text", "lang"))
+    )
 
 
 @query

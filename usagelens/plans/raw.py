@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.plans.views import table
+from usagelens.plans.views import spread, table
 
 ID = "CAST(event_id AS STRING)"
 TENTH = "CAST(floor(event_id / 10) AS BIGINT)"
@@ -78,4 +78,4 @@ LOG_LINE = f"""CASE event_id % 9
 def event_cells(spark: SparkSession, sf_dir: str, **cells: str) -> DataFrame:
     """Events with extra text columns given as SQL."""
     made = {name: F.expr(text) for name, text in cells.items()}
-    return table(spark, sf_dir, "events").withColumns(made)
+    return spread(table(spark, sf_dir, "events")).withColumns(made)

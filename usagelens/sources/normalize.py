@@ -66,10 +66,29 @@ def columns_by_alias(df: DataFrame) -> dict[str, Column]:
     return {name.strip().lower(): F.col(f"`{name.replace('`', '``')}`") for name in df.columns}
 
 
+def source_file(df: DataFrame) -> Column:
+    return F.col("source_file") if "source_file" in df.columns else F.lit(None)
+
+
 def pick(cells: dict[str, Column], aliases: list[str]) -> Column:
     """First filled cell among the aliases the header has; null when it has none."""
     found = [cells[a] for a in aliases if a in cells]
-    return coerce.first_filled(coerce.drop_undecodable(c) for c in found)
+    return coerce.first_filled(found)
+
+
+# Fields whose text is stripped before it is read as a number or a time.
+STRIPPED = ("timestamp", "input_tokens", "output_tokens", "cost_usd", "n_requests")
+
+
+def picked(df: DataFrame, columns: dict[str, list[str]], *more: Column) -> DataFrame:
+    """One text column per field, in a projection of its own so each cell is picked once."""
+    cells = columns_by_alias(df)
+    fields = {name: pick(cells, aliases) for name, aliases in columns.items()}
+    return df.select(
+        *[(coerce.strip(c) if f in STRIPPED else c).alias(f) for f, c in fields.items()],
+        *more,
+        source_file(df).alias("source_file"),
+    )
 
 
 def normalize(
@@ -100,54 +119,46 @@ def normalize(
     return row.select(*USAGE_SCHEMA.fieldNames())
 
 
-def source_file(df: DataFrame) -> Column:
-    return F.col("source_file") if "source_file" in df.columns else F.lit(None)
-
-
 def prompt_of_body(body: Column, prompt: Column) -> Column:
     """Chat text of a JSON request body, else the plain prompt. A bad body counts as none."""
     return F.coalesce(chat.message_text(F.try_parse_json(body)), prompt)
 
 
 def normalize_helicone(df: DataFrame, **options) -> DataFrame:
-    cells = columns_by_alias(df)
-    got = {field: pick(cells, names) for field, names in HELICONE_COLUMNS.items()}
     return normalize(
-        df,
+        picked(df, HELICONE_COLUMNS),
         "helicone",
         {
-            "timestamp": coerce.to_timestamp(got["timestamp"]),
-            "model": got["model"],
-            "route": got["route"],
-            "input_tokens": coerce.to_long(got["input_tokens"]),
-            "output_tokens": coerce.to_long(got["output_tokens"]),
-            "cost_usd": coerce.to_double(got["cost_usd"]),
-            "is_error": coerce.failed_over_http(got["status"]),
-            "status": got["status"],
-            "source_file": source_file(df),
+            "timestamp": coerce.timestamp_of(F.col("timestamp")),
+            "model": F.col("model"),
+            "route": F.col("route"),
+            "input_tokens": coerce.long_of(F.col("input_tokens")),
+            "output_tokens": coerce.long_of(F.col("output_tokens")),
+            "cost_usd": coerce.double_of(F.col("cost_usd")),
+            "is_error": coerce.failed_over_http(F.col("status")),
+            "status": F.col("status"),
+            "source_file": F.col("source_file"),
         },
-        prompt=prompt_of_body(got["body"], got["prompt"]),
+        prompt=prompt_of_body(F.col("body"), F.col("prompt")),
         **options,
     )
 
 
-def _billing_fields(df: DataFrame, got: dict[str, Column]) -> dict[str, Column]:
+def _billing_fields() -> dict[str, Column]:
     return {
-        "timestamp": coerce.to_timestamp(got["timestamp"]),
-        "model": got["model"],
-        "route": got["route"],
-        "input_tokens": coerce.to_long(got["input_tokens"]),
-        "output_tokens": coerce.to_long(got["output_tokens"]),
-        "cost_usd": coerce.to_double(got["cost_usd"]),
-        "n_requests": coerce.request_count(got["n_requests"]),
-        "source_file": source_file(df),
+        "timestamp": coerce.timestamp_of(F.col("timestamp")),
+        "model": F.col("model"),
+        "route": F.col("route"),
+        "input_tokens": coerce.long_of(F.col("input_tokens")),
+        "output_tokens": coerce.long_of(F.col("output_tokens")),
+        "cost_usd": coerce.double_of(F.col("cost_usd")),
+        "n_requests": coerce.at_least_one(coerce.long_of(F.col("n_requests"))),
+        "source_file": F.col("source_file"),
     }
 
 
 def normalize_openai(df: DataFrame, **_options) -> DataFrame:
-    cells = columns_by_alias(df)
-    got = {field: pick(cells, names) for field, names in OPENAI_COLUMNS.items()}
-    return normalize(df, "openai_csv", _billing_fields(df, got))
+    return normalize(picked(df, OPENAI_COLUMNS), "openai_csv", _billing_fields())
 
 
 def cache_split_input(parts: list[Column], otherwise: Column) -> Column:
@@ -160,11 +171,12 @@ def cache_split_input(parts: list[Column], otherwise: Column) -> Column:
 
 def normalize_anthropic(df: DataFrame, **_options) -> DataFrame:
     cells = columns_by_alias(df)
-    got = {field: pick(cells, names) for field, names in ANTHROPIC_COLUMNS.items()}
-    fields = _billing_fields(df, got)
-    parts = [coerce.to_long(pick(cells, [c])) for c in CACHE_INPUT_COLUMNS if c in cells]
+    split = [c for c in CACHE_INPUT_COLUMNS if c in cells]
+    rows = picked(df, ANTHROPIC_COLUMNS, *[coerce.strip(cells[c]).alias(f"_{c}") for c in split])
+    fields = _billing_fields()
+    parts = [coerce.long_of(F.col(f"_{c}")) for c in split]
     fields["input_tokens"] = cache_split_input(parts, fields["input_tokens"])
-    return normalize(df, "anthropic_csv", fields)
+    return normalize(rows, "anthropic_csv", fields)
 
 
 def normalize_litellm(df: DataFrame, **options) -> DataFrame:
@@ -172,41 +184,44 @@ def normalize_litellm(df: DataFrame, **options) -> DataFrame:
     v = F.col("v")
 
     def text(*paths: str) -> Column:
-        return F.coalesce(*[chat.as_text(v, p) for p in paths])
+        return coerce.strip(F.coalesce(*[chat.as_text(v, p) for p in paths]))
 
-    status = chat.as_text(v, "$.status")
+    when = chat.first_truthy(v, "$.startTime", "$.timestamp", "$.start_time")
+    rows = df.select(
+        coerce.strip(when).alias("timestamp"),
+        chat.as_text(v, "$.model").alias("model"),
+        chat.first_truthy(v, "$.call_type", "$.endpoint").alias("route"),
+        text("$.usage.prompt_tokens", "$.prompt_tokens").alias("input_tokens"),
+        text("$.usage.completion_tokens", "$.completion_tokens").alias("output_tokens"),
+        text("$.response_cost", "$.cost").alias("cost_usd"),
+        chat.as_text(v, "$.status").alias("status"),
+        chat.is_truthy(v, "$.exception").alias("has_exception"),
+        chat.message_text(v).alias("chat"),
+        # A prompt that is no string hides ``input``.
+        F.when(chat.is_truthy(v, "$.prompt"), chat.string_only(v, "$.prompt"))
+        .otherwise(chat.string_only(v, "$.input"))
+        .alias("prompt"),
+        source_file(df).alias("source_file"),
+    )
     return normalize(
-        df,
+        rows,
         "litellm_jsonl",
         {
-            "timestamp": coerce.to_timestamp(
-                chat.first_truthy(v, "$.startTime", "$.timestamp", "$.start_time")
-            ),
-            "model": text("$.model"),
-            "route": chat.first_truthy(v, "$.call_type", "$.endpoint"),
-            "input_tokens": coerce.to_long(text("$.usage.prompt_tokens", "$.prompt_tokens")),
-            "output_tokens": coerce.to_long(
-                text("$.usage.completion_tokens", "$.completion_tokens")
-            ),
-            "cost_usd": coerce.to_double(text("$.response_cost", "$.cost")),
-            "is_error": chat.is_truthy(v, "$.exception") | coerce.failed_in_words(status),
-            "status": status,
-            "source_file": source_file(df),
+            "timestamp": coerce.timestamp_of(F.col("timestamp")),
+            "model": F.col("model"),
+            "route": F.col("route"),
+            "input_tokens": coerce.long_of(F.col("input_tokens")),
+            "output_tokens": coerce.long_of(F.col("output_tokens")),
+            "cost_usd": coerce.double_of(F.col("cost_usd")),
+            "is_error": F.col("has_exception") | coerce.failed_in_words(F.col("status")),
+            "status": F.col("status"),
+            "source_file": F.col("source_file"),
         },
-        prompt=_log_prompt(v),
+        prompt=F.coalesce(F.col("chat"), F.col("prompt")),
         **options,
     )
 
 
-def _log_prompt(v: Column) -> Column:
-    """Chat text, else ``prompt``, else ``input``; a prompt that is no string hides ``input``."""
-    return (
-        F.when(chat.message_text(v).isNotNull(), chat.message_text(v))
-        .when(chat.is_truthy(v, "$.prompt"), chat.string_only(v, "$.prompt"))
-        .otherwise(chat.string_only(v, "$.input"))
-    )
-
-
 def normalize_helicone_log(df: DataFrame, **options) -> DataFrame:
     """The same export as JSON lines: every field read as text, bodies as JSON."""
     v = F.col("v")

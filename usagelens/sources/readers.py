@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagelens.functions.coerce import UNDECODABLE
 from usagelens.schema import USAGE_SCHEMA
 from usagelens.sources import normalize as N
 from usagelens.sources.detect import detect_formats
@@ -38,8 +39,10 @@ def read_csv(spark: SparkSession, paths: list[str], multiline: bool = True) -> D
         .option("multiLine", multiline)
         .csv(paths)
     )
-    cells = [F.col(f"`{c}`") for c in rows.columns]
-    return rows.select(*cells, F.col("_metadata.file_path").alias("source_file"))
+    # The CSV reader decodes to text and marks what is no UTF-8; the marks are dropped.
+    cells = [(c, F.col(f"`{c.replace('`', '``')}`")) for c in rows.columns]
+    clean = [F.replace(cell, F.lit(UNDECODABLE), F.lit("")).alias(c) for c, cell in cells]
+    return rows.select(*clean, F.col("_metadata.file_path").alias("source_file"))
 
 
 def read_helicone(spark: SparkSession, paths: list[str], multiline: bool = True, **options):
