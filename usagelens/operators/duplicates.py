@@ -90,7 +90,8 @@ def _pivot_pairs(prompts: DataFrame, values: DataFrame) -> DataFrame:
         .join(values.select("source_format", "v", F.col("pivot").alias("b")), ["source_format", "v"])
         .where("a <> b")
         .select("a", "b")
-        .repartition("a")  # serves both the distinct and the lookup of sketches by a
+        # At most 16 pairs a prompt, so this is even; distinct and the lookup by a share it.
+        .repartition("a")
         .distinct()
     )
 
@@ -187,7 +188,6 @@ def _candidate_pairs(
         .where(F.col("a") != F.col("b"))
         .where(F.least("left_a", "left_b", "n_a", "n_b") >= needed - _SLACK)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .repartition("a")
         .distinct()
     )
 

@@ -118,6 +118,8 @@ def read_usage(
         READERS[kind](spark, sorted(files), **options)
         for (kind, _), files in sorted(groups.items())
     ]
+    if not frames and fmt is None:
+        raise UnknownFormat(f"No file with content under {paths}. Supported formats: {names}.")
     if not frames:
         return spark.createDataFrame([], USAGE_SCHEMA)
     return reduce(DataFrame.unionByName, frames)
