@@ -76,6 +76,27 @@ def test_hot_boilerplate_and_hot_template(spark):
     assert len(got) == 60
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_pivot_rounds_change_no_result(spark, monkeypatch, seed):
+    """With every search held too large, rounds run to their end and the result is the same."""
+    monkeypatch.setattr(duplicates, "PAIRS_PER_PROMPT", -1)
+    monkeypatch.setattr(duplicates, "MIN_PROGRESS", 0.0)
+    monkeypatch.setattr(duplicates, "MAX_ROUNDS", 3)
+    sketches = random_sketches(random.Random(seed), 150, 14, 90)
+    assert found_near(usage_of(spark, sketches), k=14, common=4) == plain_near(sketches, 14, 0.5)
+
+
+def test_rounds_settle_families_of_many_sizes(spark, monkeypatch):
+    """Shared boilerplate with own parts of every length: short ones are near, long ones not."""
+    rng = random.Random(8)
+    boiler = list(range(12))
+    sketches = [
+        sorted([*boiler, *range(1000 + 40 * i, 1000 + 40 * i + rng.randint(1, 30))]) for i in range(120)
+    ]
+    monkeypatch.setattr(duplicates, "PAIRS_PER_PROMPT", 2)
+    assert found_near(usage_of(spark, sketches), common=8) == plain_near(sketches, 128, 0.5)
+
+
 def test_only_unsettled_prompts_with_a_chance_become_candidates(spark):
     """Prompts that share half of themselves, too little to be near, make no pair at all."""
     boiler = list(range(10))

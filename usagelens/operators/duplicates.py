@@ -5,11 +5,13 @@ reaches the threshold. Members of an exact group count as near by definition. Th
 complete, with no cap on bucket, candidate or check counts, and its work stays small because
 
 1. only one copy of every exact group is searched;
-2. every prompt that occurs once is first compared with one pivot per sketch value, at most
-   16 checks a prompt, which settles templates however many variants they have;
+2. every prompt that occurs once is first compared with two pivots per sketch value, at most
+   32 checks a prompt, which settles templates however many variants they have;
 3. only prompts still unsettled search all others, through prefix filtering: near prompts
    must share one of the first few values of any common value order. The order is rarest
-   first, so boilerplate seldom brings two prompts together.
+   first, so boilerplate seldom brings two prompts together;
+4. the pairs this would make are counted beforehand. While they are many, further pivot rounds
+   settle what they can; each is linear, and the search that follows stays complete.
 """
 
 from __future__ import annotations
@@ -30,6 +32,12 @@ PIVOT_VALUES = 16
 # From this many prompts on, a shared value is matched by sketch size too.
 COMMON_VALUE = 256
 
+# While the search would make more pairs a prompt than this, pivot rounds go on, up to a number
+# of rounds and as long as a round settles at least this share of the prompts still searching.
+PAIRS_PER_PROMPT = 32
+MAX_ROUNDS = 8
+MIN_PROGRESS = 0.02
+
 _SLACK = 1e-9
 
 
@@ -55,11 +63,22 @@ def _distinct_prompts(usage: DataFrame) -> DataFrame:
 
 
 def _shared_values(prompts: DataFrame) -> DataFrame:
-    """Sketch values of two or more prompts: how many, and the pivot, the most repeated one."""
+    """Sketch values of two or more prompts: how many, the most repeated, and the smallest one.
+
+    The most repeated prompt is likely the template of its variants. The smallest is the one
+    most like all others that add their own part to a shared boilerplate.
+    """
     values = (
-        prompts.select("source_format", "pid", "n_records", F.explode("sketch").alias("v"))
+        prompts.select(
+            "source_format", "pid", "n_records", F.size("sketch").alias("n"),
+            F.explode("sketch").alias("v"),
+        )
         .groupBy("source_format", "v")
-        .agg(F.count("*").alias("df"), F.max_by("pid", "n_records").alias("pivot"))
+        .agg(
+            F.count("*").alias("df"),
+            F.max_by("pid", "n_records").alias("repeated"),
+            F.min_by("pid", "n").alias("smallest"),
+        )
         .where("df > 1")
     )
     return written(values, "values")
@@ -80,6 +99,7 @@ def _near_ids(pairs: DataFrame, prompts: DataFrame, threshold: float, k: int) ->
 
 def _pivot_pairs(prompts: DataFrame, values: DataFrame) -> DataFrame:
     """Every unrepeated prompt with the pivots of its smallest values."""
+    pivots = values.select("source_format", "v", F.array("repeated", "smallest").alias("pivots"))
     return (
         prompts.where("n_records = 1")
         .select(
@@ -87,15 +107,37 @@ def _pivot_pairs(prompts: DataFrame, values: DataFrame) -> DataFrame:
             F.col("pid").alias("a"),
             F.explode(F.slice("sketch", 1, PIVOT_VALUES)).alias("v"),
         )
-        .join(values.select("source_format", "v", F.col("pivot").alias("b")), ["source_format", "v"])
+        .join(pivots, ["source_format", "v"])
+        .select("a", F.explode("pivots").alias("b"))
         .where("a <> b")
-        .select("a", "b")
-        # At most 16 pairs a prompt, so this is even; distinct and the lookup by a share it.
+        # At most 32 pairs a prompt, so this is even; distinct and the lookup by a share it.
         .repartition("a")
         .distinct()
     )
 
 
+def _round_pairs(seekers: DataFrame, turn: int) -> DataFrame:
+    """Seekers with two other seekers per prefix value: the smallest, and one by lot."""
+    lot = F.xxhash64("pid", F.lit(turn))
+    pivots = seekers.groupBy("source_format", "v").agg(
+        F.count("*").alias("n_seekers"), F.min_by("pid", "n").alias("smallest"),
+        F.min_by("pid", lot).alias("drawn"),
+    )
+    pivots = written(
+        pivots.where("n_seekers > 1").select(
+            "source_format", "v", F.array("smallest", "drawn").alias("pivots")
+        ),
+        "round-pivots",
+    )
+    return (
+        seekers.select("source_format", "v", F.col("pid").alias("a"))
+        .join(pivots, ["source_format", "v"])
+        .select("a", F.explode("pivots").alias("b"))
+        .where("a <> b")
+        .distinct()
+    )
+
+
 def _prefix_size(n: Column, threshold: float) -> Column:
     """A near partner shares at least ceil(t n) values, so one is among the first n - that + 1."""
     return n - F.ceil(n * threshold - _SLACK) + 1
@@ -153,10 +195,8 @@ def _partner_sizes(n: Column, left: Column, threshold: float, k: int) -> Column:
     )
 
 
-def _candidate_pairs(
-    seekers: DataFrame, postings: DataFrame, threshold: float, k: int
-) -> DataFrame:
-    """Pairs that share a prefix value and could still reach the threshold.
+def _keyed(seekers: DataFrame, postings: DataFrame, threshold: float, k: int):
+    """Both sides of the search with their join key (source_format, v, size).
 
     Under a common value the partner's sketch size joins the key, so prompts whose shared
     boilerplate is too small a part of them never meet.
@@ -179,6 +219,23 @@ def _candidate_pairs(
         F.col("n").alias("n_b"),
         F.col("left").alias("left_b"),
     )
+    return probe, index
+
+
+def _pair_count(seekers: DataFrame, postings: DataFrame, threshold: float, k: int) -> int:
+    """How many rows the search join would make, from counts per key."""
+    key = ["source_format", "v", "size"]
+    probe, index = _keyed(seekers, postings, threshold, k)
+    left = probe.groupBy(*key).agg(F.count("*").cast("double").alias("l"))
+    right = index.groupBy(*key).agg(F.count("*").cast("double").alias("r"))
+    return int(left.join(right, key).agg(F.sum(F.col("l") * F.col("r"))).first()[0] or 0)
+
+
+def _candidate_pairs(
+    seekers: DataFrame, postings: DataFrame, threshold: float, k: int
+) -> DataFrame:
+    """Pairs that share a prefix value and could still reach the threshold."""
+    probe, index = _keyed(seekers, postings, threshold, k)
     both_whole = (F.col("n_a") < k) & (F.col("n_b") < k)
     needed = F.when(
         both_whole, (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold))
@@ -201,16 +258,28 @@ def prompt_groups(
     """(source_format, prompt_hash, n_records, is_near): every distinct prompt, flagged."""
     prompts = _distinct_prompts(usage)
     values = _shared_values(prompts)
-    near_pivot = written(
+    near = written(
         _near_ids(_pivot_pairs(prompts, values), prompts, threshold, k), "near-pivot"
     )
     postings = _postings(prompts, values, threshold, common)
-    settled = prompts.where("n_records > 1").select("pid").union(near_pivot)
-    seekers = postings.join(settled, "pid", "left_anti")
-    near_searched = _near_ids(
+    repeated = prompts.where("n_records > 1").select("pid")
+    allowed = PAIRS_PER_PROMPT * prompts.count()
+    for turn in range(MAX_ROUNDS):
+        seekers = postings.join(repeated.union(near), "pid", "left_anti")
+        if _pair_count(seekers, postings, threshold, k) <= allowed:
+            break
+        found = written(
+            _near_ids(_round_pairs(seekers, turn), prompts, threshold, k), f"near-{turn}"
+        )
+        near = near.union(found)
+        searching = seekers.agg(F.count_distinct("pid")).first()[0]
+        if found.count() < MIN_PROGRESS * searching:
+            break
+    seekers = postings.join(repeated.union(near), "pid", "left_anti")
+    searched = _near_ids(
         _candidate_pairs(seekers, postings, threshold, k), prompts, threshold, k
     )
-    near = near_pivot.union(near_searched).distinct().withColumn("found", F.lit(True))
+    near = near.union(searched).distinct().withColumn("found", F.lit(True))
     return (
         prompts.select("source_format", "prompt_hash", "n_records", "pid")
         .join(near, "pid", "left")
