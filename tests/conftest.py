@@ -15,6 +15,7 @@ def spark():
     from usagelens.session import local_session
 
     session = local_session("usagelens-tests", "8", "6g")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()
 

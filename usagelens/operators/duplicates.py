@@ -84,6 +84,12 @@ def _shared_values(prompts: DataFrame) -> DataFrame:
     return written(values, "values")
 
 
+def _check_tasks(df: DataFrame) -> int:
+    """Tasks for checking pairs. Pairs are small rows with much work, which adaptive execution
+    would merge into few tasks by their size, so the number is given."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _near_ids(pairs: DataFrame, prompts: DataFrame, threshold: float, k: int) -> DataFrame:
     """Ids found in a pair (a, b) whose sketches reach the threshold."""
     left = prompts.select(F.col("pid").alias("a"), F.col("sketch").alias("sketch_a"))
@@ -111,7 +117,7 @@ def _pivot_pairs(prompts: DataFrame, values: DataFrame) -> DataFrame:
         .select("a", F.explode("pivots").alias("b"))
         .where("a <> b")
         # At most 32 pairs a prompt, so this is even; distinct and the lookup by a share it.
-        .repartition("a")
+        .repartition(_check_tasks(prompts), "a")
         .distinct()
     )
 
@@ -134,6 +140,7 @@ def _round_pairs(seekers: DataFrame, turn: int) -> DataFrame:
         .join(pivots, ["source_format", "v"])
         .select("a", F.explode("pivots").alias("b"))
         .where("a <> b")
+        .repartition(_check_tasks(seekers), "a", "b")
         .distinct()
     )
 
@@ -245,6 +252,7 @@ def _candidate_pairs(
         .where(F.col("a") != F.col("b"))
         .where(F.least("left_a", "left_b", "n_a", "n_b") >= needed - _SLACK)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .repartition(_check_tasks(postings), "a", "b")
         .distinct()
     )
 

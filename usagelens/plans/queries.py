@@ -321,7 +321,7 @@ def _activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as text cells of an activity export."""
     i = views.spread(views.table(spark, sf_dir, "lineitem").drop("l_tax"))
     return i.select(
-        F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("string").alias("timestamp"),
+        (F.unix_date(F.to_date("l_shipdate")).cast("bigint") * 86400).cast("string").alias("timestamp"),
         views.model_by(F.col("l_suppkey")).alias("model"),
         F.col("l_returnflag").alias("operation"),
         F.concat(F.floor("l_extendedprice").cast("string"), F.lit(".0")).alias("n_context_tokens_total"),
