@@ -7,12 +7,25 @@ or source holding most rows costs no more than any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.functions.tiers import UNKNOWN, model_name
 
-CUBE_KEYS = ["source_format", "model", "day", "hour"]
+# Costs are added as whole micro-dollars plus what is left of each, so that a sum over any number
+# of rows does not depend on their order in the places that are shown.
+MICROS = 1e6
+LARGEST_SPLIT = 1e12
+
+
+def _micros(cost: Column) -> Column:
+    fits = F.abs(cost) < LARGEST_SPLIT
+    return F.when(cost.isNotNull(), F.when(fits, F.floor(cost * MICROS)).otherwise(F.lit(0)))
+
+
+def total_cost() -> Column:
+    """Cost of a group of cube rows; null when none of them has a cost."""
+    return (F.sum("cost_micros") + F.sum("cost_rest")) / MICROS
 
 
 def usage_cube(usage: DataFrame) -> DataFrame:
@@ -29,6 +42,7 @@ def usage_cube(usage: DataFrame) -> DataFrame:
             F.when(F.col("is_error"), F.col("n_requests")).otherwise(0).alias("error_requests"),
             F.col("prompt_hash").isNotNull().alias("has_prompt"),
         )
+        .withColumn("micros", _micros(F.col("cost_usd")))
         .groupBy("source_format", "model", "date", "hour")
         .agg(
             F.count("*").alias("records"),
@@ -36,7 +50,8 @@ def usage_cube(usage: DataFrame) -> DataFrame:
             F.sum("error_requests").alias("error_requests"),
             F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
             F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
-            F.sum("cost_usd").alias("cost_usd"),
+            F.sum("micros").alias("cost_micros"),
+            F.sum(F.col("cost_usd") * MICROS - F.col("micros")).alias("cost_rest"),
             F.count("input_tokens").alias("input_records"),
             F.count("output_tokens").alias("output_records"),
             F.bool_or("has_prompt").alias("has_prompt"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.functions.tiers import UNKNOWN, price_tier
+from usagelens.operators.cube import total_cost
 from usagelens.schema import REQUEST_FORMATS
 
 # Decimal places of shares and rates, and of the total cost.
@@ -27,7 +28,7 @@ def totals(cube: DataFrame) -> DataFrame:
         F.sum("n_requests").alias("requests"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
-        F.bround(F.sum("cost_usd"), COST_PLACES).alias("cost_usd"),
+        F.bround(total_cost(), COST_PLACES).alias("cost_usd"),
     )
 
 
@@ -37,7 +38,7 @@ def capabilities(cube: DataFrame) -> DataFrame:
     return cube.groupBy("source_format").agg(
         F.max(is_request_log).alias("per_request"),
         F.max(is_request_log & F.col("has_prompt")).alias("has_prompt_text"),
-        F.max(F.col("cost_usd").isNotNull()).alias("has_cost"),
+        F.max(F.col("cost_micros").isNotNull()).alias("has_cost"),
         F.max((F.col("input_records") > 0) | (F.col("output_records") > 0)).alias("has_tokens"),
         F.max(F.col("day") != UNKNOWN).alias("has_timestamp"),
         F.max(F.col("input_records") > 0).alias("has_input_tokens"),
@@ -51,7 +52,7 @@ def spend_by_model_day(cube: DataFrame) -> DataFrame:
             F.sum("n_requests").alias("n_requests"),
             F.sum("input_tokens").alias("input_tokens"),
             F.sum("output_tokens").alias("output_tokens"),
-            F.sum("cost_usd").alias("cost_usd"),
+            total_cost().alias("cost_usd"),
         )
         .orderBy("source_format", "day", "model")
     )
@@ -102,7 +103,7 @@ def requests_by_day(cube: DataFrame) -> DataFrame:
     return (
         cube.where(F.col("day") != UNKNOWN)
         .groupBy("source_format", "day")
-        .agg(F.sum("n_requests").alias("n_requests"), F.sum("cost_usd").alias("cost_usd"))
+        .agg(F.sum("n_requests").alias("n_requests"), total_cost().alias("cost_usd"))
         .orderBy("source_format", "day")
     )
 

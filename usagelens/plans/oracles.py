@@ -41,7 +41,7 @@ both_logs AS (SELECT * FROM log UNION ALL SELECT * FROM bill)"""
 _SUMS = """CAST(sum(n) AS BIGINT) AS n_requests,
     CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens,
     CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens,
-    round(sum(cost_usd), 6) AS cost_usd"""
+    round(CAST(sum(CAST(cost_usd AS DECIMAL(28, 10))) AS DOUBLE), 6) AS cost_usd"""
 
 _NAME = "coalesce(nullif(model, ''), 'unknown')"
 _DAY = "coalesce(strftime(ts, '%Y-%m-%d'), 'unknown')"
@@ -64,7 +64,7 @@ FROM {source} GROUP BY 1, 2"""
 def _by_day(source: str) -> str:
     return f"""WITH {_USAGE}
 SELECT source_format, strftime(ts, '%Y-%m-%d') AS day, CAST(sum(n) AS BIGINT) AS n_requests,
-    round(sum(cost_usd), 6) AS cost_usd
+    round(CAST(sum(CAST(cost_usd AS DECIMAL(28, 10))) AS DOUBLE), 6) AS cost_usd
 FROM {source} WHERE ts IS NOT NULL GROUP BY 1, 2"""
 
 
@@ -219,7 +219,7 @@ ORACLES: dict[str, str] = {
 SELECT source_format, CAST(sum(n) AS BIGINT) AS requests,
     CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens,
     CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens,
-    round(sum(cost_usd), 6) AS cost_usd
+    round(CAST(sum(CAST(cost_usd AS DECIMAL(28, 10))) AS DOUBLE), 6) AS cost_usd
 FROM both_logs GROUP BY 1""",
     "capabilities": f"WITH {_USAGE}, {_FLAGS} SELECT * FROM flags",
     "metric_availability": f"""WITH {_USAGE}, {_FLAGS},
@@ -377,7 +377,7 @@ sums AS (
     SELECT source_format, CAST(sum(n) AS BIGINT) AS requests,
         CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens,
         CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens,
-        round(sum(cost_usd), 6) AS cost_usd, bool_or(per_request) AS per_request,
+        round(CAST(sum(CAST(cost_usd AS DECIMAL(28, 10))) AS DOUBLE), 6) AS cost_usd, bool_or(per_request) AS per_request,
         count(DISTINCT {_NAME} || '|' || {_DAY}) AS spend_rows,
         CAST(sum(CASE WHEN is_error THEN n ELSE 0 END) AS BIGINT) AS errors,
         quantile_disc(input_tokens, 0.99) AS p99, count(*) FILTER (WHERE input_tokens > 32000) AS over
