@@ -3,7 +3,6 @@ from __future__ import annotations
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 import samples
 from usagelens import analyze, compute_report, read_usage
@@ -183,4 +182,3 @@ def test_scan_prunes_columns_and_keeps_sketches_out(spark, tmp_path):
     plan = tokens.token_values(usage)._jdf.queryExecution().executedPlan().toString()
     assert "prompt_sketch" not in plan and "ReadSchema: struct<source_format:string,input_tokens" in plan
     assert "PushedFilters: [In(source_format" in plan
-    assert F is not None
