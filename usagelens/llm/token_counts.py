@@ -22,10 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.tokens import END_OF_DOCUMENT, token_ids
+from usagelens.llm.tokens import token_ids
 from usagelens.storage import scratch_path
 
 BLOCK_TOKENS = 1 << 16
+SEPARATOR = 50256  # an id that no text yields
 BLOCKS = "file string, block bigint, ids binary"
 FOUND = "file string, block bigint, tokens bigint, ends array<bigint>"
 
@@ -69,7 +70,7 @@ def write_tokens(docs: DataFrame, ranks: str | None = None, block_tokens: int =
 
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1)):
-                ids = token_ids(text.as_py(), ranks).astype("<u2")
+                ids = token_ids(text.as_py(), ranks, SEPARATOR).astype("<u2")
                 held.append(ids)
                 size += len(ids)
                 ended.append((size, doc.as_py()))
@@ -85,7 +86,7 @@ def write_tokens(docs: DataFrame, ranks: str | None = None, block_tokens: int =
     return docs.select("doc_id", "text").mapInArrow(run, BLOCKS + ", doc_ids array<bigint>")
 
 
-def block_ends(blocks: DataFrame, end_id: int = END_OF_DOCUMENT, width: int = 2) -> DataFrame:
+def block_ends(blocks: DataFrame, end_id: int = SEPARATOR, width: int = 2) -> DataFrame:
     """Per block: its number of tokens and the positions just after its separators."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

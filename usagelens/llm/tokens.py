@@ -33,8 +33,8 @@ def encoder(ranks: str | None = None):
     )
 
 
-def token_ids(text: str | None, ranks: str | None = None) -> np.ndarray:
-    """Ids of one text and the end-of-document id, as little-endian unsigned 32-bit numbers."""
+def token_ids(text: str | None, ranks: str | None = None, end: int = END_OF_DOCUMENT) -> np.ndarray:
+    """Ids of one text and an end-of-document id, as little-endian unsigned 32-bit numbers."""
     own = encoder(ranks).encode_ordinary(text) if text else []
-    own.append(END_OF_DOCUMENT)
+    own.append(end)
     return np.array(own, dtype="<u4")
