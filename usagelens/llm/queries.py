@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import ann, langid, mixing, packing, quality, token_counts, topk
+from usagelens.llm import ann, langid, minhash, mixing, packing, pii, quality, token_counts, topk
 from usagelens.plans.views import table
 
 
@@ -27,10 +27,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -42,12 +50,39 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_classifier, op2_token_counts, op3_exact_top_k, op4_packing, op7_nearest_neighbours,
-        op9_language_id, op10_mixing,
+        op1_quality_classifier, op2_token_counts, op3_exact_top_k, op4_packing, op6_near_duplicates,
+        op7_nearest_neighbours, op8_personal_data, op9_language_id, op10_mixing,
     )
 }
 
 ORACLES = {
+    "op6_near_duplicates": r"""
+WITH RECURSIVE w AS MATERIALIZED (
+    SELECT doc_id, list_filter(
+        string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+        lambda x: x <> '') AS words
+    FROM documents
+), s AS MATERIALIZED (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 OR words IS NULL THEN [] WHEN len(words) < 4 THEN [words]
+        ELSE list_transform(range(1, len(words) - 2), lambda i: words[i:i + 3]) END) AS shingle
+    FROM w
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+h AS MATERIALIZED (SELECT doc_id, hash(shingle) AS g FROM s),
+shared AS MATERIALIZED (SELECT g FROM h GROUP BY g HAVING count(*) > 1),
+r AS MATERIALIZED (SELECT h.* FROM h JOIN shared USING (g)),
+links AS MATERIALIZED (
+    SELECT a.doc_id AS u, b.doc_id AS v
+    FROM r a JOIN r b ON a.g = b.g AND a.doc_id <> b.doc_id
+    JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reach AS (
+    SELECT doc_id AS node, doc_id AS root FROM documents
+    UNION
+    SELECT l.v, r.root FROM reach r JOIN links l ON l.u = r.node AND r.root < l.v
+), c AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+""",
     "op3_exact_top_k": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
