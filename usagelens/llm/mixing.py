@@ -74,17 +74,17 @@ def _hash(*cols) -> Column:
     return F.xxhash64(*cols)
 
 
-def draw_plan(docs: DataFrame, seed: int = 0, **shares) -> dict[str, DataFrame]:
+def draw_plan(docs: DataFrame, seed: int = 0, carry=(), **shares) -> dict[str, DataFrame]:
     """Sizes, targets and the words drawn from each document.
 
-    ``docs``: (doc_id, source, text). Gives ``sizes`` (doc_id, source, size, block keys), ``sources``
+    ``docs``: (doc_id, source, text) and the columns to ``carry`` along. Gives ``sizes`` (doc_id, source, size, block keys), ``sources``
     (source, source_size, target, blocks) and ``taken`` (doc_id, source, size, taken and the parts
     of a draw).
     """
     size = word_count(F.col("text"))
     key = _hash(F.lit(seed), "doc_id")
     sizes = written(
-        docs.select("doc_id", "source", size.alias("size"), key.alias("key")), "mix-sizes"
+        docs.select("doc_id", "source", size.alias("size"), key.alias("key"), *carry), "mix-sizes"
     )
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     blocks = F.least(F.lit(BLOCKS), 1 + F.floor(F.col("source_size") / BLOCK_WORDS)).cast("int")
@@ -101,7 +101,7 @@ def draw_plan(docs: DataFrame, seed: int = 0, **shares) -> dict[str, DataFrame]:
     s, t = sizes.alias("s"), sources.alias("t")
     # One row a source: small next to the documents; Spark broadcasts it if its size allows.
     dealt = s.join(t, same(sizes, sources)).select(
-        "s.doc_id", "s.source", "s.size", "s.key", "t.blocks", "t.passes", "t.rest",
+        "s.doc_id", "s.source", "s.size", "s.key", "t.blocks", "t.passes", "t.rest", *(f"s.{c}" for c in carry),
         F.pmod("s.key", "t.blocks").cast("int").alias("block"),
         F.pmod(_hash(F.lit(seed + 1), "s.key"), F.lit(PARTS)).cast("int").alias("part"),
     )
@@ -145,7 +145,7 @@ def draw_plan(docs: DataFrame, seed: int = 0, **shares) -> dict[str, DataFrame]:
     part_extra = F.greatest(
         F.lit(0), F.least("size", F.col("part_left") - F.coalesce(F.sum("size").over(run), F.lit(0)))
     )
-    keep = ["doc_id", "source", "size", "key", "block", "place", "passes", "drawn"]
+    keep = ["doc_id", "source", "size", "key", "block", "place", "passes", "drawn", *carry]
     whole = dealt.where("not cut").select(
         *keep, F.when(F.col("drawn"), F.col("size")).otherwise(F.lit(0)).alias("extra")
     )
@@ -219,7 +219,9 @@ def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> Data
     entry = F.struct(F.col("source"), F.col("quota").cast("bigint").alias("quota"))
     node = quotas.where("quota > 0").groupBy().agg(F.sort_array(F.collect_list(entry)).alias("own"))
     node = node.withColumns({"low": F.lit(0), "high": F.lit(shards)})
-    for _ in range((shards - 1).bit_length()):
+    for level in range((shards - 1).bit_length()):
+        if level == 8:
+            node = node.repartition("low")  # enough nodes now for more than one task
         width = F.col("high") - F.col("low")
         half = F.floor(width / 2).cast("int")
         total = F.aggregate("own", F.lit(0).cast("bigint"), lambda a, e: a + e["quota"])
@@ -252,45 +254,45 @@ def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> Data
     return leaf.select("shard", "e.source", "e.quota").where("quota > 0")
 
 
-def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 0, **shares) -> DataFrame:
-    """The mix itself: one row a drawn copy, (shard, position key, doc_id, source, words, pass).
+def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 0, carry=(), **shares) -> DataFrame:
+    """The mix itself: one row a drawn copy, (shard, order_key, doc_id, source, pass, words, carried).
 
     A source's draws are its blocks in permuted order, pass after pass. Each shard takes the next
     run of them, as many as the splitting tree gives it; inside a shard rows are ordered by
-    ``order_key``.
+    ``order_key``. ``words`` is below the document's size only for the last draw of a source.
+    More shards than blocks leave some without rows.
     """
-    plan = draw_plan(docs, seed, **shares)
-    per = plan["blocks"].groupBy("source").agg(
-        F.count("*").alias("n"), F.sum((F.col("before") < F.col("rest")).cast("int")).alias("more")
-    )
+    plan = draw_plan(docs, seed, carry, **shares)
     src = plan["sources"].select(F.col("source").alias("of"), "passes")
-    per = per.join(src, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    quotas = per.select("source", (F.col("passes") * F.col("n") + F.col("more")).alias("quota"))
-    split = shard_quotas(quotas, shards, seed)
-    upto = Window.partitionBy("source").orderBy("shard")
-    split = split.withColumn("end", F.sum("quota").over(upto)).select(
+    blocks = plan["blocks"].join(src, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    of_source = Window.partitionBy("source")
+    passes = F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS)), lambda i: i)
+    drawn = (F.col("pass") < F.col("passes")) | (
+        (F.col("pass") == F.col("passes")) & (F.col("before") < F.col("rest"))
+    )
+    slots = blocks.withColumn("n", F.count("*").over(of_source)).withColumn("pass", F.explode(passes)).where(drawn)
+    slots = written(slots.select(
+        "source", "block", "pass", (F.col("pass") * F.col("n") + F.col("place")).alias("slot")
+    ), "mix-slots")
+    split = shard_quotas(slots.groupBy("source").agg(F.count("*").alias("quota")), shards, seed)
+    end = F.sum("quota").over(Window.partitionBy("source").orderBy("shard"))
+    split = split.withColumn("end", end).select(
         F.col("source").alias("of"), "shard", (F.col("end") - F.col("quota")).alias("start"), "end"
     )
     split = written(split, "mix-split")
-    copies = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS)), lambda i: F.struct(
-            i.alias("pass"),
-            F.when(i < F.col("passes"), F.col("size")).when(i == F.col("passes"), F.col("extra"))
-            .otherwise(F.lit(0)).alias("words"),
-        )),
-        lambda c: c["words"] > 0,
-    )
-    drawn = plan["taken"].withColumn("c", F.explode(copies)).select(
-        "doc_id", "source", "key", "place", "c.pass", "c.words"
-    )
-    n = per.select(F.col("source").alias("n_of"), "n")
-    drawn = drawn.join(n, F.col("source").eqNullSafe(F.col("n_of"))).withColumn(
-        "slot", F.col("pass") * F.col("n") + F.col("place")
+    run = F.col("source").eqNullSafe(F.col("of")) & (F.col("slot") >= F.col("start")) & (F.col("slot") < F.col("end"))
+    placed = written(slots.join(split, run).select(
+        F.col("source").alias("of"), F.col("block").alias("in_block"), F.col("pass").alias("in_pass"), "shard"
+    ), "mix-placed")
+    words = (
+        F.when(F.col("pass") < F.col("passes"), F.col("size"))
+        .when(F.col("pass") == F.col("passes"), F.col("extra")).otherwise(F.lit(0))
     )
-    hit = F.col("source").eqNullSafe(F.col("of")) & (F.col("slot") >= F.col("start")) & (
-        F.col("slot") < F.col("end")
+    taken = plan["taken"].withColumn("pass", F.explode(passes)).withColumn("words", words).where("words > 0")
+    hit = F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in_block")) & (
+        F.col("pass") == F.col("in_pass")
     )
     order_key = _hash(F.lit(seed + 3), "shard", "pass", "key")
-    return drawn.join(split, hit).select(
-        "shard", order_key.alias("order_key"), "doc_id", "source", "pass", "words"
+    return taken.join(placed, hit).select(
+        "shard", order_key.alias("order_key"), "doc_id", "source", "pass", "words", *carry
     )

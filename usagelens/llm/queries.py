@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import ann, langid, minhash, mixing, packing, pii, quality, token_counts, topk
+from usagelens.llm import ann, html_text, langid, minhash, mixing, packing, pii, quality, token_counts, topk
 from usagelens.plans.views import table
 
 
@@ -27,6 +27,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_classifier, op2_token_counts, op3_exact_top_k, op4_packing, op6_near_duplicates,
+        op1_quality_classifier, op2_token_counts, op3_exact_top_k, op4_packing, op5_main_text, op6_near_duplicates,
         op7_nearest_neighbours, op8_personal_data, op9_language_id, op10_mixing,
     )
 }
