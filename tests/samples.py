@@ -1,57 +1,76 @@
-"""Small exports in every format, made in code. Texts are invented; figures are small and checked."""
+"""Small exports in every format, made by rule. All rows and figures are our own.
+
+``plain_*`` give the figures that a report should show, from the rows, in plain Python.
+"""
 
 from __future__ import annotations
 
 import csv
 import io
 import json
-
-ASK_SHORT = "Put the ticket below into one short line for the help desk."
-ASK_LONGER = "Put the ticket below into two short lines for the help desk."
-ASK_MOOD = "Say whether this shop comment sounds glad, cross, or neither of them."
-ASK_TONGUE = "Turn the lines below from English to Welsh and keep the tone."
-ASK_CODE = "Show a Go routine that gives the nth triangle number in a loop."
-ASK_DEAL = "From the lease below, list each sum owed and the day it falls due."
-
-# (time, model, prompt, input tokens, output tokens, cost, failed)
-REQUESTS = [
-    ("2026-06-01T09:00:00", "gpt-4o-mini", ASK_SHORT, 120, 30, 0.00011, False),
-    ("2026-06-01T09:05:00", "gpt-4o-mini", ASK_SHORT, 118, 28, 0.0001, False),
-    ("2026-06-01T09:10:00", "gpt-4o-mini", ASK_LONGER, 122, 41, 0.00012, False),
-    ("2026-06-01T10:00:00", "gpt-4o", ASK_MOOD, 80, 12, 0.0009, False),
-    ("2026-06-01T10:03:00", "gpt-4o", ASK_MOOD, 79, 11, 0.00089, False),
-    ("2026-06-01T11:00:00", "gpt-4o", ASK_TONGUE, 340, 360, 0.0052, False),
-    ("2026-06-01T12:00:00", "gpt-3.5-turbo", ASK_CODE, 210, 180, 0.00058, False),
-    ("2026-06-02T09:00:00", "gpt-3.5-turbo", ASK_CODE, 210, 175, 0.00057, False),
-    ("2026-06-02T10:00:00", "gpt-4o", ASK_DEAL, 45000, 800, 0.12, False),
-    ("2026-06-02T11:00:00", "gpt-4o-mini", ASK_SHORT, 121, 33, 0.00011, False),
-    ("2026-06-02T12:00:00", "gpt-4o", ASK_MOOD, 81, 13, 0.00091, True),
-    ("2026-06-03T09:00:00", "gpt-3.5-turbo", ASK_TONGUE, 330, 0, 0.0004, True),
-    ("2026-06-03T10:00:00", "gpt-4o-mini", ASK_MOOD, 77, 10, 0.00009, False),
-    ("2026-06-03T11:00:00", "gpt-4o", ASK_SHORT, 119, 26, 0.00088, False),
+import math
+import random
+from collections import Counter, defaultdict
+from typing import NamedTuple
+
+PROMPTS = [
+    "Which of these garden plants can stay outside when the first frost comes in autumn?",
+    "Which of these garden plants can stay outside when the first snow comes in winter?",
+    "Write a toast for my aunt who has run the village bakery for thirty years.",
+    "How many litres of paint do I need for a barn wall of six by nine metres?",
+    "Name three rivers that flow north and say where each one meets the sea.",
+    "Explain to a child of eight why the moon looks larger near the horizon.",
+    "Plan a day of walking near a lake with a stop for lunch and a short ferry ride.",
 ]
-PROMPTS = [ASK_SHORT, ASK_LONGER, ASK_MOOD, ASK_TONGUE, ASK_CODE, ASK_DEAL]
+TIERS = {"gpt-4.1-mini": "cheap", "claude-3-5-haiku-latest": "cheap", "gpt-4o-2024-11-20": "mid", "claude-opus-4": "frontier"}
+MODELS = list(TIERS)
+
+
+class Request(NamedTuple):
+    time: str
+    model: str
+    prompt: str
+    tokens_in: int
+    tokens_out: int
+    cost: float
+    failed: bool
+
+
+def _requests() -> list[Request]:
+    rng = random.Random(77)
+    rows = []
+    for i in range(23):
+        day, hour = 9 + i // 6, 6 + (i * 5) % 11
+        tokens_in = rng.choice([rng.randint(20, 90), rng.randint(400, 2500), 61234 if i == 17 else 33])
+        rows.append(Request(
+            f"2025-11-{day:02d}T{hour:02d}:{rng.randint(0, 59):02d}:00", MODELS[rng.randrange(4)], PROMPTS[i % 5 if i < 20 else 4 + i % 3],
+            61234 if i == 17 else tokens_in, 0 if i == 4 else rng.randint(3, 700), round(tokens_in * 3.1e-6 + i * 1e-5, 7), i in (4, 11, 19),
+        ))
+    return rows
+
+
+REQUESTS = _requests()
 
 
-def request_log() -> str:
+def request_log(rows: list[Request] = REQUESTS) -> str:
     lines = []
-    for at, model, prompt, tokens_in, tokens_out, cost, failed in REQUESTS:
+    for r in rows:
         line = {
-            "call_type": "acompletion",
-            "model": model,
-            "messages": [{"role": "user", "content": prompt}],
-            "usage": {"prompt_tokens": tokens_in, "completion_tokens": tokens_out},
-            "startTime": at,
-            "response_cost": cost,
-            "status": "failure" if failed else "success",
+            "call_type": "completion",
+            "model": r.model,
+            "messages": [{"role": "system", "content": ""}, {"role": "user", "content": r.prompt}],
+            "usage": {"prompt_tokens": r.tokens_in, "completion_tokens": r.tokens_out},
+            "startTime": r.time,
+            "response_cost": r.cost,
+            "status": "failure" if r.failed else "success",
         }
-        if failed:
-            line["exception"] = "Timeout"
+        if r.failed:
+            line["exception"] = "RateLimit"
         lines.append(json.dumps(line))
     return "\n".join(lines) + "\n"
 
 
-def _csv(header: list[str], rows: list[list]) -> str:
+def table(header: list[str], rows: list[list]) -> str:
     out = io.StringIO()
     writer = csv.writer(out, lineterminator="\n")
     writer.writerow(header)
@@ -59,73 +78,103 @@ def _csv(header: list[str], rows: list[list]) -> str:
     return out.getvalue()
 
 
-def request_csv() -> str:
+def request_csv(rows: list[Request] = REQUESTS) -> str:
     header = ["request_id", "created_at", "model", "prompt_tokens", "completion_tokens", "status", "request_body"]
-    rows = []
-    for i, (at, model, prompt, tokens_in, tokens_out, _, failed) in enumerate(REQUESTS):
-        body = json.dumps({"model": model, "messages": [{"role": "user", "content": prompt}]})
-        rows.append([f"r{i}", at + "Z", model, tokens_in, tokens_out, "429" if failed else "200", body])
-    return _csv(header, rows)
+    cells = []
+    for i, r in enumerate(rows):
+        body = json.dumps({"model": r.model, "messages": [{"role": "user", "content": r.prompt}]})
+        cells.append([f"q-{i * 7}", r.time + "Z", r.model, r.tokens_in, r.tokens_out, "503" if r.failed else "200", body])
+    return table(header, cells)
+
+
+# (day, model, input, output, requests)
+BILLED = [
+    (f"2025-{10 + i // 4}-{3 + 5 * (i % 4):02d}", MODELS[(i * 3) % 4], 1000 + 137 * i * i, 90 * i + 11, 4 + (i * 13) % 29) for i in range(8)
+]
 
 
 def simple_billing() -> str:
-    return _csv(
+    return table(
         ["timestamp", "model", "operation", "n_context_tokens_total", "n_generated_tokens_total", "n_requests"],
-        [
-            ["2026-06-01T00:00:00", "gpt-4o", "completion", 420000, 1200000, 900],
-            ["2026-06-01T00:00:00", "gpt-4o-mini", "completion", 980000, 5400000, 1200],
-            ["2026-06-02T00:00:00", "gpt-4o", "completion", 410000, 1150000, 870],
-            ["2026-06-02T00:00:00", "gpt-3.5-turbo", "completion", 300000, 8800000, 2100],
-            ["2026-06-03T00:00:00", "gpt-4o-mini", "completion", 960000, 5200000, 1180],
-        ],
+        [[f"{day}T00:00:00", model, "chat", i, o, n] for day, model, i, o, n in BILLED],
     )
 
 
+# (epoch seconds, model, input, output, requests); None is a blank cell
+ACTIVITY = [
+    (1762300800, "gpt-4.1-mini", 7310, 415, 12), (1762300800, "gpt-4o-2024-11-20", 2204, 1333, 9),
+    (1762387200, "whisper-1", None, None, 41), (1762473600, "gpt-4.1-mini", 64, None, 1),
+]
+
+
 def activity_billing() -> str:
-    return _csv(
-        ["organization_name", "operation", "n_context_tokens_total", "n_generated_tokens_total",
-         "model", "timestamp", "num_requests"],
-        [
-            ["Personal", "completion", "5000.0", "250.0", "gpt-4o-mini", "1745366400", "20"],
-            ["Personal", "completion", "3000.0", "900.0", "gpt-4o", "1745366400", "30"],
-            ["Personal", "generations", "", "", "dall-e-3", "1745452800", "10"],
-            ["Personal", "", "", "", "tts-1", "1745452800", "5"],
-        ],
+    blank = lambda x: "" if x is None else f"{x}.0"
+    return table(
+        ["project_name", "operation", "n_context_tokens_total", "n_generated_tokens_total", "model", "timestamp", "num_requests"],
+        [["lab", "chat" if i else "", blank(i), blank(o), model, at, n] for at, model, i, o, n in ACTIVITY],
     )
 
 
+# (day, model, input, output, cost)
+CONSOLE = [(f"2025-09-{1 + 2 * i:02d}", MODELS[1 + 2 * (i % 2)], 5150 * (i + 3), 611 * (i + 1), 0.37 + i / 8) for i in range(6)]
+
+
 def console_billing() -> str:
-    return _csv(
-        ["date", "workspace", "model", "input_tokens", "output_tokens", "cost_usd"],
-        [
-            ["2026-06-01", "default", "claude-3-5-sonnet", 1200000, 240000, 4.32],
-            ["2026-06-01", "default", "claude-3-5-haiku", 3400000, 410000, 1.1],
-            ["2026-06-02", "default", "claude-3-5-sonnet", 1180000, 232000, 4.2],
-            ["2026-06-03", "production", "claude-3-5-haiku", 3500000, 420000, 1.14],
-        ],
-    )
+    return table(["date", "workspace", "model", "input_tokens", "output_tokens", "cost_usd"],
+                 [[day, "atelier", model, i, o, cost] for day, model, i, o, cost in CONSOLE])
+
+
+# (time, model, no cache, write 5m, write 1h, read, output)
+CACHED = [(f"2025-08-{7 + i} 1{i}:00", MODELS[i % 2 * 2 + 1], 31 * i, 1200 if i == 1 else 0, 17 * (i == 2), 908 * i, 5 + 64 * i) for i in range(5)]
 
 
 def cache_usage() -> str:
-    return _csv(
-        ["usage_date_utc", "model_version", "workspace", "usage_input_tokens_no_cache",
-         "usage_input_tokens_cache_write_5m", "usage_input_tokens_cache_write_1h",
-         "usage_input_tokens_cache_read", "usage_output_tokens"],
-        [
-            ["2026-07-03 01:00", "claude-opus-4-8", "Default", 296, 0, 0, 0, 27],
-            ["2026-07-03 02:00", "claude-opus-4-8", "Default", 208367, 0, 1000, 50000, 39423],
-            ["2026-07-04 09:00", "claude-haiku-4-5", "Other", 8, 0, 0, 0, 1],
-        ],
+    return table(
+        ["usage_date_utc", "model_version", "workspace", "usage_input_tokens_no_cache", "usage_input_tokens_cache_write_5m",
+         "usage_input_tokens_cache_write_1h", "usage_input_tokens_cache_read", "usage_output_tokens"],
+        [[at, model, "atelier", *counts] for at, model, *counts in CACHED],
     )
 
 
+# (day, model, kind, cost)
+COSTS = [(f"2025-07-{20 + i // 2}", ("Claude Sonnet 4", "Claude Haiku 3.5")[i % 2], ("output", "input_no_cache")[i // 3], f"{0.21 * i * i:.2f}") for i in range(6)]
+
+
 def token_costs() -> str:
-    return _csv(
-        ["usage_date_utc", "model", "workspace", "token_type", "cost_usd"],
-        [
-            ["2026-03-13", "Claude Haiku 4.5", "Other", "input_no_cache", "0.00"],
-            ["2026-03-13", "Claude Haiku 4.5", "Other", "input_cache_read", "1.41"],
-            ["2026-03-13", "Claude Haiku 4.5", "Other", "output", "2.59"],
-            ["2026-03-14", "Claude Opus 4.8", "Other", "output", "10.00"],
-        ],
-    )
+    return table(["usage_date_utc", "model", "workspace", "token_type", "cost_usd"],
+                 [[day, model, "atelier", kind, cost] for day, model, kind, cost in COSTS])
+
+
+def nearest_rank(values: list[int], percent: int) -> int:
+    return sorted(values)[max(1, math.ceil(percent / 100 * len(values))) - 1]
+
+
+def plain_histogram(values: list[int]) -> dict:
+    return {
+        "count": len(values), "min": min(values), "p50": nearest_rank(values, 50), "p90": nearest_rank(values, 90),
+        "p99": nearest_rank(values, 99), "max": max(values), "mean": round(sum(values) / len(values), 1),
+    }
+
+
+def plain_spend(rows: list[Request]) -> dict:
+    out: dict = defaultdict(lambda: [0, 0, 0, 0.0])
+    for r in rows:
+        own = out[r.time[:10], r.model]
+        for i, x in enumerate((1, r.tokens_in, r.tokens_out, r.cost)):
+            own[i] += x
+    return dict(out)
+
+
+def plain_mix(rows: list[Request]) -> list[dict]:
+    counts, tokens = Counter(TIERS[r.model] for r in rows), Counter()
+    for r in rows:
+        tokens[TIERS[r.model]] += r.tokens_in
+    return [
+        {"tier": t, "models": sorted({r.model for r in rows if TIERS[r.model] == t}), "n_requests": n,
+         "share_of_requests": round(n / len(rows), 4), "input_tokens": tokens[t]}
+        for t, n in sorted(counts.items())
+    ]
+
+
+def exact_duplicates(rows: list[Request]) -> int:
+    return sum(n for n in Counter(r.prompt for r in rows).values() if n > 1)

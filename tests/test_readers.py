@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import samples
-from usagelens import read_usage, supported_formats
+from usagelens import analyze, read_usage, supported_formats
+from usagelens.plans.report import report_lines
 from usagelens.schema import USAGE_COLUMNS
 from usagelens.sources.detect import detect_formats
 from usagelens.sources.lines import MalformedInput, malformed_lines
-from usagelens.sources.readers import UnknownFormat
+from usagelens.sources.readers import UnknownFormat, WrongFormat
 
 
 @pytest.fixture
@@ -26,20 +27,20 @@ def save(tmp_path):
 
 def test_request_log(spark, save):
     rows = read_usage(spark, save("log.jsonl", samples.request_log())).collect()
-    assert len(rows) == 14
+    assert len(rows) == len(samples.REQUESTS)
     assert {r.source_format for r in rows} == {"litellm_jsonl"}
-    assert sum(r.is_error for r in rows) == 2
-    assert sum(r.input_tokens for r in rows) == 47007
+    assert sum(r.is_error for r in rows) == sum(r.failed for r in samples.REQUESTS)
+    assert sum(r.input_tokens for r in rows) == sum(r.tokens_in for r in samples.REQUESTS)
     assert all(r.prompt_hash and r.prompt_sketch and r.n_requests == 1 for r in rows)
     assert tuple(rows[0].asDict()) == USAGE_COLUMNS
 
 
 def test_request_csv_with_json_bodies(spark, save):
     rows = read_usage(spark, save("log.csv", samples.request_csv())).collect()
-    assert len(rows) == 14
+    assert len(rows) == len(samples.REQUESTS)
     assert {r.source_format for r in rows} == {"helicone"}
-    assert sum(r.is_error for r in rows) == 2
-    assert len({r.prompt_hash for r in rows}) == len(samples.PROMPTS)
+    assert sum(r.is_error for r in rows) == sum(r.failed for r in samples.REQUESTS)
+    assert len({r.prompt_hash for r in rows}) == len({r.prompt for r in samples.REQUESTS})
 
 
 def test_both_logs_hash_prompts_alike(spark, save):
@@ -71,36 +72,36 @@ def test_quoted_line_feeds(spark, save):
 def test_simple_billing(spark, save):
     rows = read_usage(spark, save("b.csv", samples.simple_billing())).collect()
     assert {r.source_format for r in rows} == {"openai_csv"}
-    assert sum(r.n_requests for r in rows) == 6250
+    assert sum(r.n_requests for r in rows) == sum(b[4] for b in samples.BILLED)
     assert all(r.prompt_hash is None and r.cost_usd is None for r in rows)
 
 
 def test_activity_billing(spark, save):
     rows = read_usage(spark, save("a.csv", samples.activity_billing())).collect()
-    assert sum(r.n_requests for r in rows) == 65
-    assert {str(r.timestamp.date()) for r in rows} == {"2025-04-23", "2025-04-24"}
-    assert sum(r.input_tokens or 0 for r in rows) == 8000
-    assert sum(r.output_tokens or 0 for r in rows) == 1150
+    assert sum(r.n_requests for r in rows) == sum(a[4] for a in samples.ACTIVITY)
+    assert {str(r.timestamp.date()) for r in rows} == {"2025-11-05", "2025-11-06", "2025-11-07"}
+    assert sum(r.input_tokens or 0 for r in rows) == sum(a[2] or 0 for a in samples.ACTIVITY)
+    assert sum(r.output_tokens or 0 for r in rows) == sum(a[3] or 0 for a in samples.ACTIVITY)
 
 
 def test_console_billing(spark, save):
     rows = read_usage(spark, save("c.csv", samples.console_billing())).collect()
     assert {r.source_format for r in rows} == {"anthropic_csv"}
-    assert sum(r.cost_usd for r in rows) == pytest.approx(10.76)
-    assert sum(r.input_tokens for r in rows) == 9_280_000
+    assert sum(r.cost_usd for r in rows) == pytest.approx(sum(c[4] for c in samples.CONSOLE))
+    assert sum(r.input_tokens for r in rows) == sum(c[2] for c in samples.CONSOLE)
 
 
 def test_cache_columns_are_summed(spark, save):
     rows = read_usage(spark, save("u.csv", samples.cache_usage())).collect()
-    assert sum(r.input_tokens for r in rows) == 259_671
-    assert sum(r.output_tokens for r in rows) == 39_451
-    assert {r.model for r in rows} == {"claude-opus-4-8", "claude-haiku-4-5"}
+    assert sum(r.input_tokens for r in rows) == sum(sum(c[2:6]) for c in samples.CACHED)
+    assert sum(r.output_tokens for r in rows) == sum(c[6] for c in samples.CACHED)
+    assert {r.model for r in rows} == {c[1] for c in samples.CACHED}
     assert all(r.cost_usd is None for r in rows)
 
 
 def test_token_costs(spark, save):
     rows = read_usage(spark, save("t.csv", samples.token_costs())).collect()
-    assert sum(r.cost_usd for r in rows) == pytest.approx(14.0)
+    assert sum(r.cost_usd for r in rows) == pytest.approx(sum(float(c[3]) for c in samples.COSTS))
     assert all(r.input_tokens is None and r.output_tokens is None for r in rows)
 
 
@@ -116,7 +117,7 @@ def test_mixed_folder_is_detected_per_file(spark, tmp_path, save):
     assert found == {"one.jsonl": "litellm_jsonl", "two.csv": "openai_csv", "three.csv": "anthropic_csv",
                      "four.csv": "anthropic_csv", "five.jsonl.gz": "litellm_jsonl"}
     counts = dict(read_usage(spark, str(tmp_path / "d")).groupBy("source_format").count().collect())
-    assert counts == {"litellm_jsonl": 28, "openai_csv": 4, "anthropic_csv": 7}
+    assert counts == {"litellm_jsonl": 2 * len(samples.REQUESTS), "openai_csv": len(samples.ACTIVITY), "anthropic_csv": len(samples.COSTS) + len(samples.CACHED)}
 
 
 def test_long_first_line(spark, save):
@@ -136,19 +137,19 @@ def test_unknown_forced_format(spark, save):
 
 
 def test_forced_format(spark, save):
-    assert read_usage(spark, save("b.csv", samples.simple_billing()), fmt="openai_csv").count() == 5
+    assert read_usage(spark, save("b.csv", samples.simple_billing()), fmt="openai_csv").count() == len(samples.BILLED)
 
 
 def test_malformed_lines_are_listed_or_raise(spark, save):
     good = samples.request_log().splitlines()
-    path = save("cut.jsonl", f'{good[0]}\n\n{good[1]}\n{{"model": "gpt-4o", "usage": {{"pro\n[1, 2]\n{good[2]}\n')
+    path = save("cut.jsonl", f'{good[0]}\n\n{good[1]}\n{{"messages": [{{"role": "us\n["a", {{}}]\n{good[2]}\n')
     assert read_usage(spark, path).count() == 3
     bad = malformed_lines(spark, [path]).orderBy("line_no").collect()
     assert [(r.line_no, r.reason) for r in bad] == [(4, "malformed JSON"), (5, "expected a JSON object")]
     with pytest.raises(MalformedInput) as e:
         read_usage(spark, path, strict=True)
     assert "line 4" in str(e.value) and "cut.jsonl" in str(e.value)
-    assert "gpt-4o" not in str(e.value)
+    assert "messages" not in str(e.value)
 
 
 def test_line_numbers_across_splits(spark, save):
@@ -191,6 +192,46 @@ def test_odd_values_in_a_log_line(spark, save):
     assert rows[2].prompt_hash and str(rows[2].timestamp) == "2025-04-23 00:00:00"
 
 
+@pytest.mark.parametrize("name", ["a b.jsonl", "a[1].jsonl", "50%#+{x}.jsonl", "q?*.jsonl", "ü é.jsonl"])
+def test_file_names_are_taken_as_they_are(spark, save, name):
+    folder = save(f"odd/{name}", samples.request_log()).rsplit("/", 1)[0]
+    save("odd/a1.csv", samples.simple_billing())
+    counts = dict(read_usage(spark, folder).groupBy("source_format").count().collect())
+    assert counts == {"litellm_jsonl": len(samples.REQUESTS), "openai_csv": len(samples.BILLED)}
+
+
+def test_heads_hold_no_values(spark, save):
+    path = save("h.jsonl", '{"usage": {"prompt_tokens": 77123}, "prompt": "secret words", "messages": [{"content": "more"}]}\n')
+    head = detect_formats(spark, [path]).first().head
+    assert not any(w in head for w in ("secret", "more", "77123"))
+
+
+def test_wrong_forced_format_raises(spark, save):
+    with pytest.raises(WrongFormat):
+        read_usage(spark, save("b.csv", samples.simple_billing()), fmt="litellm_jsonl")
+    with pytest.raises(WrongFormat):
+        read_usage(spark, save("l.log", samples.request_log()), fmt="openai_csv")
+
+
+def test_json_lines_by_content_not_by_name(spark, save):
+    text = '{"request_id": "a", "prompt_tokens": 4}\n{"request_id": "b", "prompt_tokens": 5, "prompt_tokens": 6}\n'
+    rows = read_usage(spark, save("export.log", text))
+    assert sorted((r.source_format, r.input_tokens) for r in rows.collect()) == [("helicone", 4), ("helicone", 6)]
+    assert read_usage(spark, save("export.json", text), fmt="helicone").count() == 2
+
+
+def test_report_lists_lines_left_out(spark, save):
+    good = samples.request_log().splitlines()
+    path = save("some.jsonl", f"{good[0]}\n{{\n[7]\n\n{good[1]}\n{{]\n")
+    report = analyze(spark, path)
+    got = sorted((r.source_format, r.line_no, r.reason) for r in report.malformed.collect())
+    assert got == [("litellm_jsonl", 2, "malformed JSON"), ("litellm_jsonl", 3, "expected a JSON object"), ("litellm_jsonl", 6, "malformed JSON")]
+    lines = report_lines(report).where("metric = 'malformed_lines'").collect()
+    assert {r.key: '"lines":2' in r.value for r in lines} == {"malformed JSON": True, "expected a JSON object": False}
+    with pytest.raises(MalformedInput):
+        analyze(spark, path, strict=True)
+
+
 def test_empty_file(spark, save):
     path = save("empty.csv", "")
     with pytest.raises(UnknownFormat):

@@ -26,11 +26,17 @@ def format_of_line(line: Column) -> Column:
         return F.array_contains(cols, name)
 
     keys = F.json_object_keys(line)
+    lower = F.transform(keys, F.lower)
     return (
         F.when(F.arrays_overlap(keys, F.array(*map(F.lit, LOG_KEYS))), F.lit("litellm_jsonl"))
         .when(
             has("request_id") & (has("request_body") | has("prompt_tokens")), F.lit("helicone")
         )
+        .when(
+            F.array_contains(lower, "request_id")
+            & (F.array_contains(lower, "request_body") | F.array_contains(lower, "prompt_tokens")),
+            F.lit("helicone"),
+        )
         .when(
             F.exists(cols, lambda c: F.contains(c, F.lit("n_context_tokens")))
             | (has("n_requests") & has("n_generated_tokens_total")),

@@ -12,20 +12,19 @@ from pyspark.sql import functions as F
 
 from usagelens.functions.tiers import UNKNOWN, model_name
 
-# Costs are added as whole micro-dollars plus what is left of each, so that a sum over any number
-# of rows does not depend on their order in the places that are shown.
-MICROS = 1e6
-LARGEST_SPLIT = 1e12
+# Sums are decimal, so no total overflows and none depends on the order of rows. Costs are added with
+# twelve places.
+COUNT = "decimal(38,0)"
+COST = "decimal(38,12)"
 
 
-def _micros(cost: Column) -> Column:
-    fits = F.abs(cost) < LARGEST_SPLIT
-    return F.when(cost.isNotNull(), F.when(fits, F.floor(cost * MICROS)).otherwise(F.lit(0)))
+def exact_sum(column: str) -> Column:
+    return F.sum(F.col(column).cast(COUNT)).cast(COUNT)
 
 
 def total_cost() -> Column:
     """Cost of a group of cube rows; null when none of them has a cost."""
-    return (F.sum("cost_micros") + F.sum("cost_rest")) / MICROS
+    return F.sum("cost").cast("double")
 
 
 def usage_cube(usage: DataFrame) -> DataFrame:
@@ -42,16 +41,14 @@ def usage_cube(usage: DataFrame) -> DataFrame:
             F.when(F.col("is_error"), F.col("n_requests")).otherwise(0).alias("error_requests"),
             F.col("prompt_hash").isNotNull().alias("has_prompt"),
         )
-        .withColumn("micros", _micros(F.col("cost_usd")))
         .groupBy("source_format", "model", "date", "hour")
         .agg(
             F.count("*").alias("records"),
-            F.sum("n_requests").alias("n_requests"),
-            F.sum("error_requests").alias("error_requests"),
-            F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
-            F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
-            F.sum("micros").alias("cost_micros"),
-            F.sum(F.col("cost_usd") * MICROS - F.col("micros")).alias("cost_rest"),
+            exact_sum("n_requests").alias("n_requests"),
+            exact_sum("error_requests").alias("error_requests"),
+            F.coalesce(exact_sum("input_tokens"), F.lit(0).cast(COUNT)).alias("input_tokens"),
+            F.coalesce(exact_sum("output_tokens"), F.lit(0).cast(COUNT)).alias("output_tokens"),
+            F.sum(F.col("cost_usd").try_cast(COST)).cast(COST).alias("cost"),
             F.count("input_tokens").alias("input_records"),
             F.count("output_tokens").alias("output_records"),
             F.bool_or("has_prompt").alias("has_prompt"),

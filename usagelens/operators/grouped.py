@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.functions.tiers import UNKNOWN, price_tier
-from usagelens.operators.cube import total_cost
+from usagelens.operators.cube import COUNT, exact_sum, total_cost
 from usagelens.schema import REQUEST_FORMATS
 
 # Decimal places of shares and rates, and of the total cost.
@@ -16,7 +16,7 @@ COST_PLACES = 6
 
 def rate(part: Column, whole: Column) -> Column:
     """Rounded share, 0 when there is nothing to share."""
-    return F.coalesce(F.bround(F.try_divide(part, whole), RATE_PLACES), F.lit(0.0))
+    return F.coalesce(F.bround(F.try_divide(part.cast("double"), whole.cast("double")), RATE_PLACES), F.lit(0.0))
 
 
 def per_request(df: DataFrame) -> DataFrame:
@@ -25,9 +25,9 @@ def per_request(df: DataFrame) -> DataFrame:
 
 def totals(cube: DataFrame) -> DataFrame:
     return cube.groupBy("source_format").agg(
-        F.sum("n_requests").alias("requests"),
-        F.sum("input_tokens").alias("input_tokens"),
-        F.sum("output_tokens").alias("output_tokens"),
+        exact_sum("n_requests").alias("requests"),
+        exact_sum("input_tokens").alias("input_tokens"),
+        exact_sum("output_tokens").alias("output_tokens"),
         F.bround(total_cost(), COST_PLACES).alias("cost_usd"),
     )
 
@@ -38,7 +38,7 @@ def capabilities(cube: DataFrame) -> DataFrame:
     return cube.groupBy("source_format").agg(
         F.max(is_request_log).alias("per_request"),
         F.max(is_request_log & F.col("has_prompt")).alias("has_prompt_text"),
-        F.max(F.col("cost_micros").isNotNull()).alias("has_cost"),
+        F.max(F.col("cost").isNotNull()).alias("has_cost"),
         F.max((F.col("input_records") > 0) | (F.col("output_records") > 0)).alias("has_tokens"),
         F.max(F.col("day") != UNKNOWN).alias("has_timestamp"),
         F.max(F.col("input_records") > 0).alias("has_input_tokens"),
@@ -49,9 +49,9 @@ def spend_by_model_day(cube: DataFrame) -> DataFrame:
     return (
         cube.groupBy("source_format", "model", "day")
         .agg(
-            F.sum("n_requests").alias("n_requests"),
-            F.sum("input_tokens").alias("input_tokens"),
-            F.sum("output_tokens").alias("output_tokens"),
+            exact_sum("n_requests").alias("n_requests"),
+            exact_sum("input_tokens").alias("input_tokens"),
+            exact_sum("output_tokens").alias("output_tokens"),
             total_cost().alias("cost_usd"),
         )
         .orderBy("source_format", "day", "model")
@@ -63,15 +63,15 @@ def model_mix(cube: DataFrame) -> DataFrame:
     formats = Window.partitionBy("source_format")
     return (
         cube.groupBy("source_format", "model")
-        .agg(F.sum("n_requests").alias("n_requests"), F.sum("input_tokens").alias("input_tokens"))
+        .agg(exact_sum("n_requests").alias("n_requests"), exact_sum("input_tokens").alias("input_tokens"))
         .withColumn("tier", price_tier(F.col("model")))
         .groupBy("source_format", "tier")
         .agg(
             F.count("*").alias("n_models"),
-            F.sum("n_requests").alias("n_requests"),
-            F.sum("input_tokens").alias("input_tokens"),
+            exact_sum("n_requests").alias("n_requests"),
+            exact_sum("input_tokens").alias("input_tokens"),
         )
-        .withColumn("total_requests", F.sum("n_requests").over(formats))
+        .withColumn("total_requests", F.sum("n_requests").over(formats).cast(COUNT))
         .withColumn("share_of_requests", rate(F.col("n_requests"), F.col("total_requests")))
         .orderBy("source_format", "tier")
     )
@@ -81,7 +81,7 @@ def tier_models(cube: DataFrame) -> DataFrame:
     """The models of each tier, one row per model name."""
     return (
         cube.groupBy("source_format", "model")
-        .agg(F.sum("n_requests").alias("n_requests"))
+        .agg(exact_sum("n_requests").alias("n_requests"))
         .select("source_format", price_tier(F.col("model")).alias("tier"), "model", "n_requests")
         .orderBy("source_format", "tier", "model")
     )
@@ -92,8 +92,8 @@ def error_rate(cube: DataFrame) -> DataFrame:
         per_request(cube)
         .groupBy("source_format")
         .agg(
-            F.sum("n_requests").alias("total_requests"),
-            F.sum("error_requests").alias("error_requests"),
+            exact_sum("n_requests").alias("total_requests"),
+            exact_sum("error_requests").alias("error_requests"),
         )
         .withColumn("error_rate", rate(F.col("error_requests"), F.col("total_requests")))
     )
@@ -103,7 +103,7 @@ def requests_by_day(cube: DataFrame) -> DataFrame:
     return (
         cube.where(F.col("day") != UNKNOWN)
         .groupBy("source_format", "day")
-        .agg(F.sum("n_requests").alias("n_requests"), total_cost().alias("cost_usd"))
+        .agg(exact_sum("n_requests").alias("n_requests"), total_cost().alias("cost_usd"))
         .orderBy("source_format", "day")
     )
 
@@ -113,6 +113,6 @@ def requests_by_hour(cube: DataFrame) -> DataFrame:
         per_request(cube)
         .where(F.col("hour").isNotNull())
         .groupBy("source_format", "hour")
-        .agg(F.sum("n_requests").alias("n_requests"))
+        .agg(exact_sum("n_requests").alias("n_requests"))
         .orderBy("source_format", "hour")
     )

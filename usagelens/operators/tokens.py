@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from usagelens.operators.cube import COUNT
 from usagelens.operators.grouped import per_request, rate
 
 # The long-context limit and the share of requests counted as the top.
@@ -74,8 +75,15 @@ def nearest_rank(percent: int) -> Column:
     return F.min(F.when(F.col("at_most") >= rank, F.col("tokens")))
 
 
+def _exact_total(times: Column) -> Column:
+    """Sum of tokens, each so many times, without overflow."""
+    product = F.col("tokens").cast("decimal(19,0)") * times.cast("decimal(18,0)")
+    return F.sum(product).cast(COUNT)
+
+
 def token_histograms(ranked: DataFrame) -> DataFrame:
     """Count, range, percentiles and mean of input and output tokens; zeros for an empty kind."""
+    all_tokens = _exact_total(F.col("records"))
     stats = ranked.groupBy("source_format", "kind").agg(
         F.sum("records").alias("count"),
         F.min("tokens").alias("min"),
@@ -84,7 +92,7 @@ def token_histograms(ranked: DataFrame) -> DataFrame:
         nearest_rank(99).alias("p99"),
         F.max("tokens").alias("max"),
         F.bround(
-            F.sum(F.col("tokens") * F.col("records")) / F.sum("records"), MEAN_PLACES
+            all_tokens.cast("double") / F.sum("records"), MEAN_PLACES
         ).alias("mean"),
     )
     # A format with tokens of one kind only still shows the other, as zeros.
@@ -124,8 +132,8 @@ def long_context_tail(ranked: DataFrame) -> DataFrame:
             F.sum(
                 F.when(F.col("tokens") > LONG_CONTEXT_TOKENS, F.col("records")).otherwise(0)
             ).alias("requests_over_32k_input"),
-            F.sum(F.col("tokens") * taken).alias("top_1pct_input_tokens"),
-            F.sum(F.col("tokens") * F.col("records")).alias("all_input_tokens"),
+            _exact_total(taken).alias("top_1pct_input_tokens"),
+            _exact_total(F.col("records")).alias("all_input_tokens"),
         )
         .withColumn(
             "share_of_input_tokens_in_top_1pct_requests",

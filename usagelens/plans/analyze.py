@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from usagelens.plans.report import UsageReport, compute_report, write_report
-from usagelens.sources.readers import read_usage
+from usagelens.sources.lines import MalformedInput
+from usagelens.sources.readers import file_groups, lines_left_out, read_groups
 from usagelens.storage import written
 
 VERSION = "0.1.0"
@@ -21,10 +22,15 @@ def analyze(
 ) -> UsageReport:
     """Report of all exports under ``path``; with ``out`` it is also written there.
 
-    The normalized rows are stored once, without text, and every metric reads that table.
+    The normalized rows are stored once, without text, and every metric reads that table. Lines that
+    could not be read are listed in the report's ``malformed`` table; with ``strict`` they raise.
     """
-    usage = written(read_usage(spark, path, fmt, strict, **options), "usage")
-    report = compute_report(usage)
+    groups = file_groups(spark, [path] if isinstance(path, str) else list(path), fmt)
+    left_out = written(lines_left_out(spark, groups), "malformed")
+    if strict and not left_out.isEmpty():
+        row = left_out.orderBy("source_file", "line_no").first()
+        raise MalformedInput(f"{row.reason} on line {row.line_no} of '{row.source_file}'")
+    report = compute_report(written(read_groups(spark, groups, **options), "usage"), left_out)
     if out is not None:
         write_report(report, out, VERSION)
     return report

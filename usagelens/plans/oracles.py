@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from usagelens.functions.coerce import ISO_DATE_TIME, LOOSE_DATE, NUMBER
 from usagelens.functions.prompts import DEFAULT_SALT
-from usagelens.operators.audit import ADVICE, ALLOWED_MAIL, IDENTIFIER
-from usagelens.operators.availability import REASON
 from usagelens.plans import raw
 from usagelens.plans.views import MODELS, PROMPT_WORDS, TEMPLATES, VOCABULARY
 
+# Written out here, so that a wrong pattern in the engine does not pass on both sides.
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+ISO_DATE_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ].*)?$"
+LOOSE_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
+IDENTIFIER = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|org-[A-Za-z0-9]{8,}|sk-[A-Za-z0-9.]{2,}"
+ALLOWED_MAIL = r"^[A-Za-z0-9._%+-]+@example\.com$"
+REASON = "unavailable from this export format"
+ADVICE = ("recommend", "should ", "consider ", "savings", "switch to", "migrate")
+
 _MODELS = "[" + ", ".join("NULL" if m is None else f"'{m}'" for m in MODELS) + "]"
 _LOG = "'litellm_jsonl'"
 _BILL = "'openai_csv'"
@@ -211,6 +217,34 @@ def _hash_and_size(text: str) -> str:
 
 _DOC_STATS = f"""doc_stats AS (SELECT {_NEAR_COLUMNS} FROM flagged)"""
 
+# The lines of the JSON report: (source_format, metric, key) and the figures that are checked.
+_LINES = f"""every AS (
+    SELECT source_format, ts, model, input_tokens, output_tokens, n, per_request FROM both_logs
+    UNION ALL SELECT {_LOG}, NULL, source, n_chars, NULL, 1, true FROM documents),
+named AS (SELECT *, {_NAME} AS name, {_DAY} AS day, {_TIER} AS tier FROM every),
+plain_lines AS (
+    SELECT source_format, 'spend_by_model_day' AS metric, day || ' ' || name AS key, sum(n) AS n
+    FROM named GROUP BY source_format, day, name
+    UNION ALL SELECT source_format, 'model_mix', tier, sum(n) FROM named GROUP BY source_format, tier
+    UNION ALL SELECT source_format, 'tier_models', tier || ' ' || name, sum(n) FROM named GROUP BY source_format, tier, name
+    UNION ALL SELECT source_format, 'by_day', day, sum(n) FROM named WHERE ts IS NOT NULL GROUP BY source_format, day
+    UNION ALL SELECT source_format, 'by_hour', lpad(CAST(hour(ts) AS VARCHAR), 2, '0'), sum(n)
+    FROM named WHERE ts IS NOT NULL AND per_request GROUP BY source_format, hour(ts)
+    UNION ALL SELECT DISTINCT source_format, unnest(['error_rate', 'long_context_tail']), '', NULL FROM named WHERE per_request),
+lines AS (
+    SELECT source_format, metric, key, n, NULL AS requests, NULL AS error_reason, NULL AS exact_duplicates,
+        NULL AS near_duplicates, NULL AS p90 FROM plain_lines
+    UNION ALL SELECT source_format, 'report', '', NULL, CAST(sum(n) AS BIGINT),
+        CASE WHEN NOT bool_or(per_request) THEN 'unavailable from this export format' END, NULL, NULL, NULL
+    FROM named GROUP BY 1
+    UNION ALL SELECT source_format, 'token_histograms', 'input', NULL, NULL, NULL, NULL, NULL, quantile_disc(input_tokens, 0.9)
+    FROM named WHERE per_request GROUP BY 1
+    UNION ALL SELECT source_format, 'token_histograms', 'output', NULL, NULL, NULL, NULL, NULL, quantile_disc(output_tokens, 0.9)
+    FROM named WHERE per_request GROUP BY 1
+    UNION ALL SELECT {_LOG}, 'duplicate_prompts', '', NULL, NULL, NULL, exact_duplicate_records, near_duplicate_records, NULL
+    FROM doc_stats)"""
+
+
 ORACLES: dict[str, str] = {
     "spend_by_model_day": _spend("log"),
     "billing_spend_by_model_day": _spend("bill"),
@@ -389,45 +423,36 @@ SELECT s.source_format, requests, input_tokens, output_tokens, cost_usd,
     CASE WHEN per_request THEN p99 END AS p99_input_tokens,
     CASE WHEN per_request THEN over END AS requests_over_32k_input
 FROM sums s LEFT JOIN doc_stats d ON s.per_request""",
-    "report_json": f"""WITH {_USAGE},
-first_tier AS (
-    SELECT source_format, min({_TIER}) AS tier FROM both_logs GROUP BY 1),
-first_models AS (
-    SELECT b.source_format, '[' || string_agg(DISTINCT {_NAME}, ', ' ORDER BY {_NAME}) || ']' AS models
-    FROM both_logs b JOIN first_tier f ON f.source_format = b.source_format AND {_TIER} = f.tier GROUP BY 1)
-SELECT b.source_format, CAST(sum(n) AS BIGINT) AS requests,
-    CASE WHEN bool_or(per_request) THEN 'computed' ELSE 'unavailable' END AS error_status,
-    CASE WHEN NOT bool_or(per_request) THEN '{REASON}' END AS error_reason,
-    CASE WHEN bool_or(per_request) THEN CAST(sum(CASE WHEN is_error THEN n ELSE 0 END) AS BIGINT) END
-        AS error_requests,
-    any_value(f.tier) AS first_tier, any_value(m.models) AS first_models,
-    CASE WHEN bool_or(per_request) THEN quantile_disc(input_tokens, 0.9) END AS input_p90,
-    strftime(min(ts), '%Y-%m-%d') AS first_day
-FROM both_logs b JOIN first_tier f ON f.source_format = b.source_format
-    JOIN first_models m ON m.source_format = b.source_format GROUP BY 1""",
+    "report_json": f"""WITH {_USAGE}, {_DOCS}, {_NEAR}, {_DOC_STATS}, {_LINES}
+SELECT source_format, metric, count(*) AS lines, min(key) AS first_key, max(key) AS last_key,
+    CAST(sum(n) AS BIGINT) AS n_requests, max(requests) AS requests, max(error_reason) AS error_reason,
+    max(exact_duplicates) AS exact_duplicates, max(near_duplicates) AS near_duplicates,
+    CAST(sum(p90) AS BIGINT) AS p90
+FROM lines GROUP BY 1, 2""",
     "leak_audit": """WITH cells AS (
     SELECT unnest(['text', 'lang', 'source']) AS "column", unnest([text, lang, source]) AS t FROM documents)
 SELECT "column", count(*) AS cells, count(*) FILTER (WHERE length(t) >= 200) AS long_cells,
     count(*) FILTER (WHERE contains(lower(t), 'licensed under') OR contains(lower(t), 'password')
         OR contains(lower(t), 'the of') OR contains(lower(t), lower('Éeau'))) AS leaking_cells
 FROM cells WHERE t IS NOT NULL GROUP BY 1""",
-    "output_leak_audit": f"""WITH {_USAGE},
-spend AS (SELECT source_format, {_NAME} AS model, {_DAY} AS day FROM log GROUP BY 1, 2, 3),
-cells AS (
-    SELECT unnest(['source_format', 'model', 'day']) AS "column", unnest([source_format, model, day]) AS t
-    FROM spend)
-SELECT "column", count(*) AS cells, count(*) FILTER (WHERE length(t) >= 200) AS long_cells,
-    count(*) FILTER (WHERE contains(t, 'customer') OR contains(t, '{{"k"') OR contains(t, 'password'))
-        AS leaking_cells
-FROM cells GROUP BY 1""",
+    "large_totals": f"""WITH {_USAGE}
+SELECT source_format, CAST(sum(n) AS VARCHAR) AS requests,
+    CAST(sum(CAST(n AS HUGEINT) * 1000000000000000 + 900000000000000000 - coalesce(input_tokens, 0)) AS VARCHAR) AS input_tokens,
+    CAST(count(cost_usd) * 1000000000 AS VARCHAR) AS cost_usd
+FROM bill GROUP BY 1""",
+    "output_leak_audit": f"""WITH {_USAGE}, {_DOCS}, {_NEAR}, {_DOC_STATS}, {_LINES}
+SELECT unnest(['metric', 'key', 'value']) AS "column", (SELECT count(*) FROM lines) AS cells,
+    CAST(0 AS BIGINT) AS leaking_cells""",
+    "output_advice_cells": """SELECT unnest(['metric', 'key', 'value']) AS "column",
+    CAST(0 AS BIGINT) AS advising_cells""",
     "identifier_scan": f"""WITH cells AS (
-    SELECT unnest(['text', 'source']) AS "column", unnest([text, source]) AS t FROM documents),
+    SELECT unnest(['text', 'lang', 'source']) AS "column", unnest([text, lang, source]) AS t FROM documents),
 hits AS (SELECT "column", unnest(regexp_extract_all(t, '{IDENTIFIER}')) AS hit FROM cells)
 SELECT "column", CASE WHEN contains(hit, '@') THEN 'mail' WHEN hit LIKE 'org-%' THEN 'organisation'
     ELSE 'key' END AS kind, count(*) AS hits
 FROM hits WHERE NOT regexp_matches(hit, '{ALLOWED_MAIL}') GROUP BY 1, 2""",
     "advice_cells": """WITH cells AS (
-    SELECT unnest(['text', 'lang']) AS "column", unnest([text, lang]) AS t FROM documents)
+    SELECT unnest(['text', 'lang', 'source']) AS "column", unnest([text, lang, source]) AS t FROM documents)
 SELECT "column", count(*) AS cells, count(*) FILTER (WHERE """
     + " OR ".join(f"contains(lower(t), '{w}')" for w in ADVICE)
     + """) AS advising_cells FROM cells WHERE t IS NOT NULL GROUP BY 1""",

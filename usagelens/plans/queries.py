@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from usagelens.functions import chat, coerce, formats, prompts, tiers
 from usagelens.operators import audit, duplicates, grouped, tokens
 from usagelens.operators.availability import availability
-from usagelens.operators.cube import usage_cube
+from usagelens.operators.cube import COUNT, usage_cube
 from usagelens.plans import raw, views
-from usagelens.plans.report import compute_report, report_documents
+from usagelens.plans.report import compute_report, report_lines, report_text, write_report
 from usagelens.sources import lines, normalize
 from usagelens.sources.readers import read_usage
 from usagelens.storage import scratch_path, written
@@ -24,7 +24,14 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    """Register a query. Exact decimal totals are shown as BIGINT; one beyond that fails."""
+
+    def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        totals = {x.name: F.col(x.name).cast("bigint") for x in df.schema if x.dataType.simpleString() == COUNT}
+        return df.withColumns(totals) if totals else df
+
+    QUERIES[f.__name__] = shown
     return f
 
 
@@ -64,6 +71,18 @@ def totals(spark, sf_dir):
     return _money(grouped.totals(usage_cube(_all_usage(spark, sf_dir))))
 
 
+@query
+def large_totals(spark, sf_dir):
+    """Totals beyond 64 bits and beyond 1e12 dollars, as text."""
+    big = {
+        "input_tokens": F.lit(10**15) * F.col("n_requests") + F.lit(9 * 10**17) - F.coalesce("input_tokens", F.lit(0)),
+        "cost_usd": F.col("cost_usd") * 0 + 1e9,
+    }
+    t = grouped.totals(usage_cube(views.billing(spark, sf_dir).withColumns(big)))
+    return t.select("source_format", *(F.col(c).cast("string").alias(c) for c in ("requests", "input_tokens")),
+                    F.floor("cost_usd").cast("string").alias("cost_usd"))
+
+
 @query
 def capabilities(spark, sf_dir):
     return grouped.capabilities(usage_cube(_all_usage(spark, sf_dir)))
@@ -185,7 +204,7 @@ def file_formats(spark, sf_dir):
 @query
 def chat_text(spark, sf_dir):
     """Each turn as a chat body with string, block, empty and foreign elements."""
-    turns = views.spread(views.table(spark, sf_dir, "conversations"))
+    turns = views.table(spark, sf_dir, "conversations")
     kind, text = F.lit("text").alias("type"), F.upper("role").alias("text")
     blocks = F.array(F.struct(kind, text), F.struct(kind, F.lit("").alias("text")))
     messages = F.concat_ws(
@@ -206,7 +225,7 @@ def chat_text(spark, sf_dir):
 
 @query
 def prompt_sketches(spark, sf_dir):
-    docs = views.spread(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     d = prompts.redact(docs, F.col("text"))
     return d.select(
         "doc_id", "prompt_hash", F.size("prompt_sketch").alias("sketch_size"),
@@ -217,7 +236,7 @@ def prompt_sketches(spark, sf_dir):
 @query
 def sketch_jaccard(spark, sf_dir):
     """Similarity of every document to the next one by id."""
-    docs = views.spread(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     d = written(prompts.redact(docs, F.col("text")).select("doc_id", "prompt_sketch"), "sketches")
     following = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("prompt_sketch").alias("b"))
     value = prompts.sketch_jaccard(F.col("prompt_sketch"), F.col("b"))
@@ -432,50 +451,68 @@ def report_summary(spark, sf_dir):
     return _money(out.join(tail, "source_format", "left"))
 
 
+def _text_report(spark: SparkSession, sf_dir: str):
+    """The report of all usage and of documents as prompts."""
+    usage = _all_usage(spark, sf_dir).unionByName(views.document_prompts(spark, sf_dir))
+    return compute_report(written(usage, "usage"))
+
+
 @query
 def report_json(spark, sf_dir):
-    """Figures read back from the JSON documents of the report."""
-    docs = report_documents(compute_report(written(_all_usage(spark, sf_dir), "usage")))
-    v = F.try_parse_json("document")
-    return docs.select(
-        "source_format",
-        F.try_variant_get(v, "$.totals.requests", "bigint").alias("requests"),
-        F.try_variant_get(v, "$.metrics.error_rate.status", "string").alias("error_status"),
-        F.try_variant_get(v, "$.metrics.error_rate.reason", "string").alias("error_reason"),
-        F.try_variant_get(v, "$.metrics.error_rate.value.error_requests", "bigint").alias("error_requests"),
-        F.try_variant_get(v, "$.metrics.model_mix.value[0].tier", "string").alias("first_tier"),
-        F.try_variant_get(v, "$.metrics.model_mix.value[0].models", "array<string>")
-        .cast("string").alias("first_models"),
-        F.try_variant_get(v, "$.metrics.token_histograms.value.input.p90", "bigint").alias("input_p90"),
-        F.try_variant_get(v, "$.metrics.temporal_patterns.value.by_day[0].day", "string").alias("first_day"),
+    """Every line of the written JSON report, read back: rows and figures by format and metric."""
+    folder = scratch_path(spark, "report")
+    write_report(_text_report(spark, sf_dir), folder, "test")
+    v = F.try_parse_json("value")
+    text = lambda path, kind="string": F.try_variant_get(v, path, kind)
+    lines = spark.read.text(f"{folder}/report").select(
+        text("$.at.source_format").alias("source_format"), text("$.at.metric").alias("metric"),
+        text("$.at.key").alias("key"), text("$.value.n_requests", "bigint").alias("n"),
+        text("$.value.totals.requests", "bigint").alias("requests"),
+        text("$.value.metrics.error_rate.reason").alias("error_reason"),
+        text("$.value.exact_duplicate_records", "bigint").alias("exact_duplicates"),
+        text("$.value.near_duplicate_records", "bigint").alias("near_duplicates"),
+        text("$.value.p90", "bigint").alias("p90"),
+    )
+    return lines.groupBy("source_format", "metric").agg(
+        F.count("*").alias("lines"), F.min("key").alias("first_key"), F.max("key").alias("last_key"),
+        F.sum("n").alias("n_requests"), F.max("requests").alias("requests"), F.max("error_reason").alias("error_reason"),
+        F.max("exact_duplicates").alias("exact_duplicates"), F.max("near_duplicates").alias("near_duplicates"),
+        F.sum("p90").alias("p90"),
     )
 
 
 @query
 def leak_audit(spark, sf_dir):
-    docs = views.spread(views.table(spark, sf_dir, "documents"))
+    docs = views.table(spark, sf_dir, "documents")
     return audit.leak_audit(docs, ["licensed under", "password", "the of", "Éeau"])
 
 
+def _report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text cells of the report: its JSON lines by metric, as one column each."""
+    lines = report_text(report_lines(_text_report(spark, sf_dir)), "test")
+    return lines.select("metric", "key", "value")
+
+
 @query
 def output_leak_audit(spark, sf_dir):
-    """The spend table of the report: no cell may be long or hold a fragment."""
-    spend = grouped.spend_by_model_day(_log_cube(spark, sf_dir))
-    return audit.leak_audit(spend, ["customer", "{\"k\"", "password"])
+    """All lines of the report: no cell may hold a fragment of a prompt."""
+    return audit.leak_audit(_report_cells(spark, sf_dir), ["customer", "licensed under", "password"]).drop("long_cells")
 
 
 @query
 def identifier_scan(spark, sf_dir):
-    return audit.identifier_scan(
-        views.spread(views.table(spark, sf_dir, "documents").select("text", "source"))
-    )
+    return audit.identifier_scan(views.table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
 @query
 def advice_cells(spark, sf_dir):
-    return audit.advice_cells(
-        views.spread(views.table(spark, sf_dir, "documents").select("text", "lang"))
-    )
+    return audit.advice_cells(views.table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+@query
+def output_advice_cells(spark, sf_dir):
+    """All lines of the report hold no advice."""
+    return audit.advice_cells(_report_cells(spark, sf_dir)).drop("cells")
 
 
 @query

@@ -12,14 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.operators import grouped, tokens
-from usagelens.operators.availability import METRICS, REASON, availability
+from usagelens.operators.availability import METRICS, availability
 from usagelens.operators.cube import usage_cube
 from usagelens.operators.duplicates import duplicate_stats, prompt_groups
 from usagelens.storage import written
 
-# Rows of spend and tier models a single JSON document may list for one format.
-DOCUMENT_ROWS = 200_000
-
 
 @dataclass(frozen=True)
 class UsageReport:
@@ -36,23 +33,31 @@ class UsageReport:
     by_day: DataFrame
     by_hour: DataFrame
     long_context_tail: DataFrame
+    malformed: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
 
-def compute_report(usage: DataFrame) -> UsageReport:
-    """All metrics of a usage table. Give a stored table: it is read three times."""
+MALFORMED = "source_format string, source_file string, line_no bigint, reason string"
+
+
+def compute_report(usage: DataFrame, malformed: DataFrame | None = None) -> UsageReport:
+    """All metrics of a usage table. Give a stored table: it is read more than once.
+
+    ``malformed`` lists input lines that no row was made of.
+    """
     cube = written(usage_cube(usage), "cube")
     flags = written(grouped.capabilities(cube), "capabilities")
-    ranked = written(tokens.ranked_values(tokens.token_values(usage)), "ranked")
+    values = written(tokens.token_values(usage), "token-values")  # read twice by the ranks
+    ranked = written(tokens.ranked_values(values), "ranked")
     able = flags.where("has_prompt_text").select("source_format")
     if able.isEmpty():
         # No format carries prompts: leave the duplicate search out of the plan.
         spark = usage.sparkSession
         stats = spark.createDataFrame([], duplicate_stats(_no_groups(usage)).schema)
     else:
-        stats = duplicate_stats(prompt_groups(usage))
+        stats = written(duplicate_stats(prompt_groups(usage)), "duplicate-stats")
     return UsageReport(
         availability=availability(flags),
         totals=grouped.totals(cube),
@@ -65,6 +70,7 @@ def compute_report(usage: DataFrame) -> UsageReport:
         by_day=grouped.requests_by_day(cube),
         by_hour=grouped.requests_by_hour(cube),
         long_context_tail=tokens.long_context_tail(ranked),
+        malformed=usage.sparkSession.createDataFrame([], MALFORMED) if malformed is None else malformed,
     )
 
 
@@ -80,131 +86,74 @@ def _where_able(metric: DataFrame, flags: DataFrame, condition: str) -> DataFram
     return metric.join(able, "source_format", "left_semi")
 
 
-def _object(parts: dict[str, Column]) -> Column:
-    """A JSON object of columns that hold JSON already."""
-    pairs = [F.concat(F.lit(f'"{name}":'), value) for name, value in parts.items()]
-    return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
-
+def _json(*columns: str) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
-def _json(value: Column) -> Column:
-    return F.to_json(value, {"ignoreNullFields": "false"})
 
-
-def _rows(df: DataFrame, columns: list[str], order: list[str], name: str) -> DataFrame:
-    """Per format, a JSON list of row objects in a fixed order."""
-    row = F.struct(F.struct(*order).alias("o"), _json(F.struct(*columns)).alias("j"))
-    ordered = F.transform(F.sort_array(F.collect_list(row)), lambda r: r.j)
-    return df.groupBy("source_format").agg(
-        F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias(name)
+def _lines(df: DataFrame, metric: str, key: Column, *columns: str) -> DataFrame:
+    return df.select(
+        "source_format", F.lit(metric).alias("metric"), key.alias("key"), _json(*columns).alias("value")
     )
 
 
-def report_documents(report: UsageReport) -> DataFrame:
-    """(source_format, document): the report of each format as one JSON object.
+def report_lines(report: UsageReport) -> DataFrame:
+    """(source_format, metric, key, value): the report as one JSON object a row.
 
-    Lists in a document come from aggregated rows. A format with more rows than a document is
-    meant for is refused; the tables of the report hold them.
+    Each format has a ``report`` line with its totals and the state of each metric, and one line for
+    each row of a computed metric. Within a metric, ``key`` puts the rows in report order. Nothing is
+    gathered, so a report of any size is written whole.
     """
-    listed = report.spend_by_model_day.select("source_format").union(
-        report.tier_models.select("source_format")
+    none = F.lit("")
+    state = F.struct("status", "reason")
+    states = report.availability.groupBy("source_format").agg(
+        *[F.first(F.when(F.col("metric") == m, state), ignorenulls=True).alias(m) for m in METRICS]
     )
-    largest = listed.groupBy("source_format").count().agg(F.max("count")).first()[0] or 0
-    if largest > DOCUMENT_ROWS:
-        raise ValueError(
-            f"{largest} rows are too many for one JSON document; write the report tables instead"
-        )
-
-    spend = ["model", "day", "n_requests", "input_tokens", "output_tokens", "cost_usd"]
-    stats = ["count", "min", "p50", "p90", "p99", "max", "mean"]
-    models = report.tier_models.groupBy("source_format", "tier").agg(
-        F.sort_array(F.collect_list("model")).alias("models")
+    head = report.totals.join(states, "source_format").select(
+        "source_format", F.struct("requests", "input_tokens", "output_tokens", "cost_usd").alias("totals"),
+        F.struct(*METRICS).alias("metrics"),
     )
-    mix = report.model_mix.join(models, ["source_format", "tier"])
-
-    def one(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-        return df.select("source_format", _json(F.struct(*columns)).alias(name))
-
-    duplicate_columns = [c for c in report.duplicate_prompts.columns if c != "source_format"]
-    tail_columns = [
-        "p95_input_tokens",
-        "p99_input_tokens",
-        "max_input_tokens",
-        "requests_over_32k_input",
+    spend = ["model", "day", "n_requests", "input_tokens", "output_tokens", "cost_usd"]
+    mix = ["tier", "n_models", "n_requests", "share_of_requests", "input_tokens"]
+    duplicates = [c for c in report.duplicate_prompts.columns if c != "source_format"]
+    tail = [
+        "p95_input_tokens", "p99_input_tokens", "max_input_tokens", "requests_over_32k_input",
         "share_of_input_tokens_in_top_1pct_requests",
     ]
-    kinds = report.token_histograms.groupBy("source_format").agg(
-        *[
-            F.first(F.when(F.col("kind") == k, _json(F.struct(*stats))), ignorenulls=True).alias(k)
-            for k in ("input", "output")
-        ]
-    )
+    histogram = ["kind", "count", "min", "p50", "p90", "p99", "max", "mean"]
     parts = [
-        _rows(report.spend_by_model_day, spend, ["day", "model"], "spend_by_model_day"),
-        kinds.select(
-            "source_format",
-            _object({"input": F.col("input"), "output": F.col("output")}).alias("token_histograms"),
-        ),
-        one(report.duplicate_prompts, duplicate_columns, "duplicate_prompts"),
-        _rows(
-            mix,
-            ["tier", "models", "n_requests", "share_of_requests", "input_tokens"],
-            ["tier"],
-            "model_mix",
-        ),
-        one(report.error_rate, ["total_requests", "error_requests", "error_rate"], "error_rate"),
-        _rows(report.by_day, ["day", "n_requests", "cost_usd"], ["day"], "by_day"),
-        _rows(report.by_hour, ["hour", "n_requests"], ["hour"], "by_hour"),
-        one(report.long_context_tail, tail_columns, "long_context_tail"),
+        ("spend_by_model_day", "spend_by_model_day", report.spend_by_model_day, F.concat_ws(" ", "day", "model"), spend),
+        ("token_histograms", "token_histograms", report.token_histograms, F.col("kind"), histogram),
+        ("duplicate_prompts", "duplicate_prompts", report.duplicate_prompts, none, duplicates),
+        ("model_mix", "model_mix", report.model_mix, F.col("tier"), mix),
+        ("model_mix", "tier_models", report.tier_models, F.concat_ws(" ", "tier", "model"), ["tier", "model", "n_requests"]),
+        ("error_rate", "error_rate", report.error_rate, none, ["total_requests", "error_requests", "error_rate"]),
+        ("temporal_patterns", "by_day", report.by_day, F.col("day"), ["day", "n_requests", "cost_usd"]),
+        ("temporal_patterns", "by_hour", report.by_hour, F.lpad(F.col("hour").cast("string"), 2, "0"), ["hour", "n_requests"]),
+        ("long_context_tail", "long_context_tail", report.long_context_tail, none, tail),
     ]
-    able = report.availability.groupBy("source_format").agg(
-        F.collect_set(F.when(F.col("status") == "computed", F.col("metric"))).alias("able")
-    )
-    whole = report.totals.join(able, "source_format")
-    for part in parts:
-        whole = whole.join(part, "source_format", "left")
-
-    by_hour = F.when(F.col("by_hour").isNotNull(), _object({"by_hour": F.col("by_hour")}))
-    days = _object({"by_day": F.col("by_day")})
-    temporal = F.when(
-        by_hour.isNotNull(), _object({"by_day": F.col("by_day"), "by_hour": F.col("by_hour")})
-    ).otherwise(days)
-
-    def metric(name: str) -> Column:
-        value = temporal if name == "temporal_patterns" else F.col(name)
-        return F.when(
-            F.array_contains("able", name), _object({"status": F.lit('"computed"'), "value": value})
-        ).otherwise(F.lit(f'{{"status":"unavailable","reason":"{REASON}"}}'))
-
-    document = _object(
-        {
-            "source_format": _quoted("source_format"),
-            "totals": _json(F.struct("requests", "input_tokens", "output_tokens", "cost_usd")),
-            "metrics": _object({name: metric(name) for name in METRICS}),
-        }
+    out = _lines(head, "report", none, "totals", "metrics")
+    for metric, name, df, key, columns in parts:
+        able = report.availability.where((F.col("metric") == metric) & (F.col("status") == "computed"))
+        rows = df.join(able.select("source_format"), "source_format", "left_semi")
+        out = out.unionByName(_lines(rows, name, key, *columns))
+    bad = report.malformed.groupBy("source_format", "reason").agg(
+        F.count("*").alias("lines"), F.count_distinct("source_file").alias("files")
     )
-    return whole.select("source_format", document.alias("document"))
-
-
-def _quoted(name: str) -> Column:
-    return F.concat(F.lit('"'), F.col(name), F.lit('"'))
+    return out.unionByName(_lines(bad, "malformed_lines", F.col("reason"), "reason", "lines", "files"))
 
 
-def envelope(documents: DataFrame, version: str) -> DataFrame:
-    """One JSON text per format: tool, version, a privacy note and the report."""
-    text = _object(
-        {
-            "tool": F.lit('"usagelens"'),
-            "version": F.lit(f'"{version}"'),
-            "privacy": F.lit('"holds aggregates only and no prompt text"'),
-            "report": F.col("document"),
-        }
+def report_text(lines: DataFrame, version: str) -> DataFrame:
+    """Report lines as JSON text (value), each with its format, metric and key."""
+    line = F.concat(
+        F.lit('{"tool":"usagelens","version":"'), F.lit(version), F.lit('","at":'),
+        _json("source_format", "metric", "key"), F.lit(',"value":'), F.col("value"), F.lit("}"),
     )
-    return documents.select(text.alias("value"))
+    return lines.select("source_format", "metric", "key", line.alias("value"))
 
 
 def write_report(report: UsageReport, out: str, version: str, mode: str = "errorifexists") -> None:
-    """Every table as Parquet under ``out/tables`` and one JSON line per format in ``out/report``."""
+    """Every table as Parquet under ``out/tables`` and JSON lines in report order under ``out/report``."""
     for name, df in report.tables().items():
         df.write.mode(mode).parquet(f"{out}/tables/{name}")
-    documents = envelope(report_documents(report), version)
-    documents.coalesce(1).write.mode(mode).text(f"{out}/report")
+    text = report_text(report_lines(report), version).orderBy("source_format", "metric", "key")
+    text.select("value").write.mode(mode).text(f"{out}/report")

@@ -74,7 +74,7 @@ def billing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as prompts of a request log."""
-    docs = spread(table(spark, sf_dir, "documents").select("text", "lang", "source", "n_chars"))
+    docs = table(spark, sf_dir, "documents").select("text", "lang", "source", "n_chars")
     fields = {"model": F.col("source"), "route": F.col("lang"), "input_tokens": F.col("n_chars")}
     return normalize(docs, "litellm_jsonl", fields, prompt=F.col("text"))
 

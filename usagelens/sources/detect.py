@@ -16,18 +16,42 @@ HEADS_PER_TASK = 256
 def _head_reader(schemes: dict[str, str]):
     """A reader of first lines. As a closure it is shipped whole, so workers need no package."""
 
-    def head(path: str) -> bytes | None:
+    def opened(path: str):
         from pyarrow import fs
 
         scheme, rest = path.split(":", 1)
-        store, name = fs.FileSystem.from_uri(f"{schemes[scheme]}://{rest.removeprefix('//')}")
-        seen = b""
-        with store.open_input_stream(name, compression="detect") as f:
+        # The name is never part of a URI, so it may hold blanks and any mark.
+        if scheme == "file":
+            return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"), compression="detect")
+        host, _, name = rest.removeprefix("//").partition("/")
+        store, _ = fs.FileSystem.from_uri(f"{schemes[scheme]}://{host}")
+        return store.open_input_stream(f"/{name}" if scheme == "hdfs" else f"{host}/{name}", compression="detect")
+
+    def head(path: str) -> bytes | None:
+        parts: list[bytes] = []
+        with opened(path) as f:
             while chunk := f.read(1 << 16):
-                seen = (seen + chunk).lstrip()
-                if b"\n" in seen or b"\r" in seen:
+                chunk = chunk if parts else chunk.lstrip()
+                if chunk:
+                    parts.append(chunk)
+                if b"\n" in chunk or b"\r" in chunk:
                     break
-        return seen.splitlines()[0] if seen else None
+        return keys_only(b"".join(parts).splitlines()[0]) if parts else None
+
+    def keys_only(line: bytes) -> bytes:
+        """A JSON line without its values: top-level keys and the keys of objects under them."""
+        import json
+
+        if not line.lstrip(b"\xef\xbb\xbf").startswith((b"{", b"[")):
+            return line
+        try:
+            value = json.loads(line.decode("utf-8", "ignore"))
+        except (ValueError, RecursionError):
+            return line[:1]
+        if not isinstance(value, dict):
+            return b"[]"
+        bare = {k: dict.fromkeys(v, 0) if isinstance(v, dict) else 0 for k, v in value.items()}
+        return json.dumps(bare).encode()
 
     def read_heads(batches):
         for batch in batches:
@@ -37,7 +61,7 @@ def _head_reader(schemes: dict[str, str]):
 
 
 def first_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, head): the first non-blank line of every file, null for an empty file.
+    """(path, head): the first non-blank line of every file, null for an empty file; of JSON, the keys.
 
     The listing reads no content. Heads are read in tasks, a block per file, so the cost
     follows the number of files and not their size.

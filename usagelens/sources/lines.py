@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +14,20 @@ class MalformedInput(ValueError):
     """A recognized file has a line that cannot be read."""
 
 
+def literal_paths(paths: list[str]) -> list[str]:
+    """Paths of files as patterns that match only themselves."""
+    return [re.sub(r"([\\\\{}\[\]*?])", r"\\\1", p) for p in paths]
+
+
+def keep_last_key(spark: SparkSession) -> None:
+    """Read an object that repeats a key, with the last value counting, as a setting of the session."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Every line as ``line``, with the file it comes from."""
-    return spark.read.text(paths).select(
+    keep_last_key(spark)
+    return spark.read.text(literal_paths(paths)).select(
         strip(drop_undecodable(F.col("value"))).alias("line"),
         F.col("_metadata.file_path").alias("source_file"),
     )
@@ -46,7 +59,8 @@ def malformed_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     plus the rows of the splits before it. Only per-split counts are ordered per file.
     """
     split = ["source_file", "split_start"]
-    rows = spark.read.text(paths).select(
+    keep_last_key(spark)
+    rows = spark.read.text(literal_paths(paths)).select(
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("row_id"),

@@ -13,7 +13,7 @@ from usagelens.functions.coerce import UNDECODABLE
 from usagelens.schema import USAGE_SCHEMA
 from usagelens.sources import normalize as N
 from usagelens.sources.detect import detect_formats
-from usagelens.sources.lines import parse_objects, read_lines, require_clean
+from usagelens.sources.lines import literal_paths, malformed_lines, parse_objects, read_lines, require_clean
 
 
 class UnknownFormat(ValueError):
@@ -37,7 +37,7 @@ def read_csv(spark: SparkSession, paths: list[str], multiline: bool = True) -> D
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
-        .csv(paths)
+        .csv(literal_paths(paths))
     )
     # The CSV reader decodes to text and marks what is no UTF-8; the marks are dropped.
     cells = [(c, F.col(f"`{c.replace('`', '``')}`")) for c in rows.columns]
@@ -46,15 +46,11 @@ def read_csv(spark: SparkSession, paths: list[str], multiline: bool = True) -> D
 
 
 def read_helicone(spark: SparkSession, paths: list[str], multiline: bool = True, **options):
-    json_paths = [p for p in paths if ".jsonl" in p.rsplit("/", 1)[-1]]
-    csv_paths = [p for p in paths if p not in set(json_paths)]
-    frames = []
-    if csv_paths:
-        frames.append(N.normalize_helicone(read_csv(spark, csv_paths, multiline), **options))
-    if json_paths:
-        objects = parse_objects(read_lines(spark, json_paths))
-        frames.append(N.normalize_helicone_log(objects, **options))
-    return reduce(DataFrame.unionByName, frames)
+    return N.normalize_helicone(read_csv(spark, paths, multiline), **options)
+
+
+def read_helicone_log(spark: SparkSession, paths: list[str], multiline: bool = True, **options):
+    return N.normalize_helicone_log(parse_objects(read_lines(spark, paths)), **options)
 
 
 def read_openai(spark: SparkSession, paths: list[str], multiline: bool = True, **_options):
@@ -65,61 +61,91 @@ def read_anthropic(spark: SparkSession, paths: list[str], multiline: bool = True
     return N.normalize_anthropic(read_csv(spark, paths, multiline))
 
 
-READERS: dict[str, Callable[..., DataFrame]] = {
-    "litellm_jsonl": read_litellm,
+CSV_READERS: dict[str, Callable[..., DataFrame]] = {
     "helicone": read_helicone,
     "openai_csv": read_openai,
     "anthropic_csv": read_anthropic,
 }
+READERS = ("litellm_jsonl", *CSV_READERS)
 
 
 def supported_formats() -> list[str]:
     return list(READERS)
 
 
-def read_usage(
-    spark: SparkSession,
-    path: str | list[str],
-    fmt: str | None = None,
-    strict: bool = False,
-    **options,
-) -> DataFrame:
-    """Normalized usage rows of all files under ``path``.
+class WrongFormat(ValueError):
+    """A file whose content cannot be of the format it is read as."""
 
-    ``fmt`` skips detection. With ``strict`` a malformed JSON line raises; otherwise it is
-    left out here and listed by ``malformed_lines``.
-    """
-    paths = [path] if isinstance(path, str) else list(path)
+
+# Readers of files whose lines are JSON objects; the others read CSV.
+LINE_READERS: dict[str, Callable[..., DataFrame]] = {
+    "litellm_jsonl": read_litellm,
+    "helicone": read_helicone_log,
+}
+
+
+def file_groups(spark: SparkSession, paths: list[str], fmt: str | None) -> dict[tuple[str, bool, str], list[str]]:
+    """Files by (format, whether lines are JSON, CSV header). Files without content are left out."""
     names = ", ".join(supported_formats())
     if fmt is not None and fmt not in READERS:
         raise UnknownFormat(f"Unknown format '{fmt}'. Supported formats: {names}.")
-
     # One row per file; CSV files that share format and header are read together.
     is_csv = ~F.startswith(F.col("head"), F.lit("{"))
     found = detect_formats(spark, paths).select(
         "path", "format", F.when(is_csv, F.col("head")).alias("header"), is_csv.alias("is_csv")
     )
-    groups: dict[tuple[str, str], list[str]] = defaultdict(list)
-    line_files = []
+    groups: dict[tuple[str, bool, str], list[str]] = defaultdict(list)
     for row in found.collect():
+        if row.is_csv is None:  # a file of blanks
+            continue
         kind = fmt or row.format
         if kind is None:
             raise UnknownFormat(
                 f"Could not detect the format of '{row.path}'. Supported formats: {names}."
             )
-        if row.is_csv is None:  # an empty file has no rows
-            continue
-        groups[(kind, row.header or "")].append(row.path)
-        if not row.is_csv:
-            line_files.append(row.path)
-    if strict and line_files:
-        require_clean(spark, sorted(line_files))
+        readers = CSV_READERS if row.is_csv else LINE_READERS
+        if kind not in readers:
+            raise WrongFormat(f"'{row.path}' holds {'CSV' if row.is_csv else 'JSON lines'} and is no '{kind}' export.")
+        groups[(kind, not row.is_csv, row.header or "")].append(row.path)
+    if not groups and fmt is None:
+        raise UnknownFormat(f"No file with content under {paths}. Supported formats: {names}.")
+    return groups
+
+
+def read_groups(spark: SparkSession, groups: dict, **options) -> DataFrame:
     frames = [
-        READERS[kind](spark, sorted(files), **options)
-        for (kind, _), files in sorted(groups.items())
+        (LINE_READERS if lines else CSV_READERS)[kind](spark, sorted(files), **options)
+        for (kind, lines, _), files in sorted(groups.items())
     ]
-    if not frames and fmt is None:
-        raise UnknownFormat(f"No file with content under {paths}. Supported formats: {names}.")
-    if not frames:
-        return spark.createDataFrame([], USAGE_SCHEMA)
-    return reduce(DataFrame.unionByName, frames)
+    return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], USAGE_SCHEMA)
+
+
+def lines_left_out(spark: SparkSession, groups: dict) -> DataFrame:
+    """(source_format, source_file, line_no, reason): lines of JSON files that no row was made of."""
+    frames = [
+        malformed_lines(spark, sorted(files)).select(F.lit(kind).alias("source_format"), "source_file", "line_no", "reason")
+        for (kind, lines, _), files in sorted(groups.items())
+        if lines
+    ]
+    if frames:
+        return reduce(DataFrame.unionByName, frames)
+    return spark.createDataFrame([], "source_format string, source_file string, line_no bigint, reason string")
+
+
+def read_usage(
+    spark: SparkSession,
+    path: str | list[str],
+    fmt: str | None = None,
+    strict: bool = False,
+    **options,
+) -> DataFrame:
+    """Normalized usage rows of all files under ``path``.
+
+    ``fmt`` sets the format of all files; one whose content cannot be of it raises. With ``strict`` a
+    malformed JSON line raises; otherwise it is left out here and listed by ``lines_left_out``.
+    """
+    groups = file_groups(spark, [path] if isinstance(path, str) else list(path), fmt)
+    line_files = sorted(f for (_, lines, _), files in groups.items() if lines for f in files)
+    if strict and line_files:
+        require_clean(spark, line_files)
+    return read_groups(spark, groups, **options)
