@@ -39,6 +39,7 @@ WINDOW = 80
 CONTEXTS = 2
 GENERALISE = 0.95
 REMOVE = 0.99
+FILTER_BITS = 1 << 22
 
 
 def places(text: Column, pattern: str) -> Column:
@@ -134,23 +135,47 @@ def found_entities(docs: DataFrame) -> DataFrame:
     return written(t.drop("text"), "entities")
 
 
+def _term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, df_t): rows that hold each of ``terms``.
+
+    Words of the corpus pass a filter of ``FILTER_BITS`` bits first, a table of that bounded size, so
+    that only words that may be asked for are shuffled.
+    """
+    place = lambda t: F.pmod(F.xxhash64(t), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    bits = terms.select(place("term").alias("place")).groupBy(F.expr("place div 64").alias("slot")).agg(
+        F.bit_or(bit).alias("bits")
+    )
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    seen = docs.where(F.col("text").isNotNull()).select(F.explode(words).alias("term"))
+    seen = seen.withColumn("place", place("term")).withColumn("slot", F.expr("place div 64"))
+    seen = seen.join(F.broadcast(bits), "slot").where(F.col("bits").bitwiseAND(bit) != 0)
+    counts = seen.groupBy("term").agg(F.count("*").alias("df_t"))
+    return counts.join(terms, "term")
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, share): how much of an entity's information a term near it carries."""
     seen = F.array_distinct(F.transform("near", lambda n: F.struct(n["entity"], n["term"], n["context"])))
     pairs = found.where(F.size("near") > 0).select(F.explode(seen).alias("p")).select("p.*")
     pairs = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"))
-    pairs = written(pairs.where(F.col("contexts") >= CONTEXTS), "pairs")
+    pairs = pairs.where(F.col("contexts") >= CONTEXTS)
     rows = docs.count()
+    # A term near many other entities cannot reveal this one: rows with it near any are a lower bound
+    # on df(t), and no entity carries more than log2 N.
+    near_terms = F.array_distinct(F.transform("near", lambda n: n["term"]))
+    of_near = found.where(F.size("near") > 0).select(F.explode(near_terms).alias("term")).groupBy("term").agg(
+        F.count("*").alias("df_near")
+    )
+    most = float(max(rows, 1)) ** (1 - GENERALISE)
+    pairs = written(pairs.join(of_near, "term").where(F.col("df_near") <= F.col("n") * most).drop("df_near"), "pairs")
     names = F.array_distinct(F.transform("near", lambda n: n["entity"]))
     of_entity = found.where(F.size("near") > 0).select(F.explode(names).alias("entity")).groupBy("entity").agg(
         F.count("*").alias("df_e")
     )
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    of_term = docs.where(F.col("text").isNotNull()).select(F.explode(words).alias("term")).groupBy("term").agg(
-        F.count("*").alias("df_t")
-    )
-    p = pairs.join(of_entity, "entity").join(of_term.join(pairs.select("term").distinct(), "term", "leftsemi"), "term")
+    of_term = _term_counts(docs, pairs.select("term").distinct())
+    p = pairs.join(of_entity, "entity").join(of_term, "term")
     excess = F.log2(F.greatest(F.lit(1.0), F.col("df_t") / F.col("n")))
     own = F.log2(F.lit(float(max(rows, 1))) / F.col("df_e"))
     p = p.withColumn("share", F.when(own > 0, 1 - excess / own).otherwise(F.lit(0.0)))
