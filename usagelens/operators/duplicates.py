@@ -5,13 +5,15 @@ reaches the threshold. Members of an exact group count as near by definition. Th
 complete, with no cap on bucket, candidate or check counts, and its work stays small because
 
 1. only one copy of every exact group is searched;
-2. every prompt that occurs once is first compared with two pivots per sketch value, at most
-   32 checks a prompt, which settles templates however many variants they have;
-3. only prompts still unsettled search all others, through prefix filtering: near prompts
-   must share one of the first few values of any common value order. The order is rarest
-   first, so boilerplate seldom brings two prompts together;
-4. the pairs this would make are counted beforehand. While they are many, further pivot rounds
-   settle what they can; each is linear, and the search that follows stays complete.
+2. every prompt that occurs once is first compared with two pivots for each of its smallest values,
+   which settles templates however many variants they have;
+3. only prompts still unsettled search all others, through prefix filtering: near prompts must share
+   one of the first few values of any common value order. The order is rarest first, so boilerplate
+   seldom brings two prompts together;
+4. prompts that meet under a value are not all paired. Each is compared with one pivot of the value.
+   Two prompts either share a value that the pivot lacks, and meet under it, or all they share is in
+   the pivot; then what each has in common with the pivot bounds their likeness. Prompts whose bound
+   cannot reach the threshold with any other drop out, so shared boilerplate costs linear work.
 """
 
 from __future__ import annotations
@@ -29,15 +31,6 @@ from usagelens.storage import written
 NEAR_THRESHOLD = 0.5
 PIVOT_VALUES = 16
 
-# From this many prompts on, a shared value is matched by sketch size too.
-COMMON_VALUE = 256
-
-# While the search would make more pairs a prompt than this, pivot rounds go on, up to a number
-# of rounds and as long as a round settles at least this share of the prompts still searching.
-PAIRS_PER_PROMPT = 32
-MAX_ROUNDS = 8
-MIN_PROGRESS = 0.02
-
 _SLACK = 1e-9
 
 
@@ -122,40 +115,17 @@ def _pivot_pairs(prompts: DataFrame, values: DataFrame) -> DataFrame:
     )
 
 
-def _round_pairs(seekers: DataFrame, turn: int) -> DataFrame:
-    """Seekers with two other seekers per prefix value: the smallest, and one by lot."""
-    lot = F.xxhash64("pid", F.lit(turn))
-    pivots = seekers.groupBy("source_format", "v").agg(
-        F.count("*").alias("n_seekers"), F.min_by("pid", "n").alias("smallest"),
-        F.min_by("pid", lot).alias("drawn"),
-    )
-    pivots = written(
-        pivots.where("n_seekers > 1").select(
-            "source_format", "v", F.array("smallest", "drawn").alias("pivots")
-        ),
-        "round-pivots",
-    )
-    return (
-        seekers.select("source_format", "v", F.col("pid").alias("a"))
-        .join(pivots, ["source_format", "v"])
-        .select("a", F.explode("pivots").alias("b"))
-        .where("a <> b")
-        .repartition(_check_tasks(seekers), "a", "b")
-        .distinct()
-    )
-
-
 def _prefix_size(n: Column, threshold: float) -> Column:
     """A near partner shares at least ceil(t n) values, so one is among the first n - that + 1."""
     return n - F.ceil(n * threshold - _SLACK) + 1
 
 
-def _postings(prompts: DataFrame, values: DataFrame, threshold: float, common: int) -> DataFrame:
+def _postings(prompts: DataFrame, values: DataFrame, threshold: float) -> DataFrame:
     """The values that can bring a prompt to a partner, one row each, stored.
 
     Values are ordered by how many prompts hold them, then by value. Values held by one prompt
     come first and match nothing, so only their number matters; a prompt with too few shared
-    values for any partner drops out. ``left`` counts the values from this one to the end.
+    values for any partner drops out.
     """
     cut = _prefix_size(F.col("n"), threshold)
     shared = (
@@ -167,101 +137,87 @@ def _postings(prompts: DataFrame, values: DataFrame, threshold: float, common: i
         .withColumn("alone", F.col("n") - F.size("shared"))
     )
     kept = F.slice("shared", F.lit(1), F.greatest(cut - F.col("alone"), F.lit(0)).cast("int"))
-    rows = (
-        shared.select("source_format", "pid", "n", "alone", F.posexplode(kept).alias("pos", "x"))
-        .select(
-            "source_format",
-            "pid",
-            "n",
-            (F.col("n") - F.col("alone") - F.col("pos")).alias("left"),
-            F.col("x.v").alias("v"),
-            (F.col("x.df") >= common).alias("is_common"),
-        )
-    )
-    return written(rows, "postings")
-
-
-def _partner_sizes(n: Column, left: Column, threshold: float, k: int) -> Column:
-    """Sketch sizes a partner can have when the first shared value has ``left`` values to go."""
-    smallest = F.ceil(n * threshold - _SLACK).cast("int")
-    largest = F.least(
-        F.floor(n / threshold + _SLACK),
-        F.floor(left * ((1 + threshold) / threshold) - n + _SLACK),
-        F.lit(k - 1),
-    ).cast("int")
-    sampled_from = math.ceil(threshold * k - _SLACK)
-    whole = F.when(largest >= smallest, F.sequence(smallest, largest)).otherwise(
-        F.array().cast("array<int>")
-    )
-    full = F.when((n >= sampled_from) & (left >= sampled_from), F.array(F.lit(k))).otherwise(
-        F.array().cast("array<int>")
-    )
-    any_size = F.sequence(F.lit(sampled_from), F.lit(k))
-    return F.when(n < k, F.concat(whole, full)).otherwise(
-        F.when(left >= sampled_from, any_size).otherwise(F.array().cast("array<int>"))
-    )
+    rows = shared.select("source_format", "pid", "n", F.explode(kept).alias("x"))
+    return written(rows.select("source_format", "pid", "n", F.col("x.v").alias("v")), "postings")
 
 
-def _keyed(seekers: DataFrame, postings: DataFrame, threshold: float, k: int):
-    """Both sides of the search with their join key (source_format, v, size).
+def _pivot_facts(seekers: DataFrame, postings: DataFrame, prompts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Every prompt against the pivots of its values, the smallest prompt of each, stored.
 
-    Under a common value the partner's sketch size joins the key, so prompts whose shared
-    boilerplate is too small a part of them never meet.
+    ``both``: values shared with the pivot; ``place``: where in the prompt's sketch the last of the
+    first ceil(threshold k) shared ones stands; ``rest``: the values that the pivot lacks.
     """
-    no_size = F.array(F.lit(0))
-    sizes = _partner_sizes(F.col("n"), F.col("left"), threshold, k)
-    probe = seekers.select(
-        "source_format",
-        "v",
-        F.explode(F.when(F.col("is_common"), sizes).otherwise(no_size)).alias("size"),
-        F.col("pid").alias("a"),
-        F.col("n").alias("n_a"),
-        F.col("left").alias("left_a"),
-    )
-    index = postings.select(
-        "source_format",
-        "v",
-        F.when(F.col("is_common"), F.col("n")).otherwise(0).alias("size"),
-        F.col("pid").alias("b"),
-        F.col("n").alias("n_b"),
-        F.col("left").alias("left_b"),
+    key = ["source_format", "v"]
+    wanted = seekers.select(*key).distinct()
+    lists = postings.join(wanted, key, "left_semi")
+    pivots = lists.groupBy(*key).agg(F.count("*").alias("members"), F.min_by("pid", "n").alias("pivot"))
+    pairs = lists.join(pivots.where("members > 1"), key).select("pivot", "pid").distinct()
+    mine = prompts.select("pid", "sketch")
+    of_pivot = prompts.select(F.col("pid").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
+    shared = F.array_intersect("sketch", "pivot_sketch")  # in the sketch's order, smallest first
+    facts = pairs.join(mine, "pid").join(of_pivot, "pivot").withColumn("shared", shared)
+    nth = F.get("shared", F.lit(math.ceil(threshold * k - _SLACK) - 1))
+    return written(
+        facts.select(
+            "pivot", "pid", F.size("sketch").alias("n"), F.size("shared").alias("both"),
+            F.array_position("sketch", nth).alias("place"),
+            F.array_except("sketch", "pivot_sketch").alias("rest"),
+            (sketch_jaccard(F.col("sketch"), F.col("pivot_sketch"), k) >= threshold).alias("near"),
+        ),
+        "pivot-facts",
     )
-    return probe, index
 
 
-def _pair_count(seekers: DataFrame, postings: DataFrame, threshold: float, k: int) -> int:
-    """How many rows the search join would make, from counts per key."""
-    key = ["source_format", "v", "size"]
-    probe, index = _keyed(seekers, postings, threshold, k)
-    left = probe.groupBy(*key).agg(F.count("*").cast("double").alias("l"))
-    right = index.groupBy(*key).agg(F.count("*").cast("double").alias("r"))
-    return int(left.join(right, key).agg(F.sum(F.col("l") * F.col("r"))).first()[0] or 0)
+def _can_reach(n_a, both_a, place_a, n_b, both_b, place_b, threshold: float, k: int) -> Column:
+    """Whether two prompts can be near if all they share is in the pivot.
 
-
-def _candidate_pairs(
-    seekers: DataFrame, postings: DataFrame, threshold: float, k: int
-) -> DataFrame:
-    """Pairs that share a prefix value and could still reach the threshold."""
-    probe, index = _keyed(seekers, postings, threshold, k)
-    both_whole = (F.col("n_a") < k) & (F.col("n_b") < k)
-    needed = F.when(
-        both_whole, (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold))
-    ).otherwise(threshold * k)
-    return (
-        probe.join(index, ["source_format", "v", "size"])
-        .where(F.col("a") != F.col("b"))
-        .where(F.least("left_a", "left_b", "n_a", "n_b") >= needed - _SLACK)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .repartition(_check_tasks(postings), "a", "b")
-        .distinct()
+    Whole sketches share at most the smaller ``both``. Otherwise the estimate takes ceil(threshold k)
+    shared values among the k smallest of the union. The last of them stands no earlier than
+    ``place`` in either sketch, and its rank in the union is the sum of both places less those shared.
+    """
+    enough = math.ceil(threshold * k - _SLACK)
+    whole = F.least(both_a, both_b) >= (n_a + n_b) * (threshold / (1 + threshold)) - _SLACK
+    sampled = place_a + place_b - enough <= k
+    return F.when((n_a < k) & (n_b < k), whole).otherwise(F.coalesce(sampled, F.lit(False)))
+
+
+def _candidate_pairs(seekers: DataFrame, facts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Pairs (a, b) of a seeker and another prompt of a common pivot that can still be near."""
+    ids = seekers.select("pid").distinct()
+    pid = F.col("pid")
+    # A pair with the pivot itself is compared already.
+    members = facts.where(pid != F.col("pivot"))
+    bests = members.groupBy("pivot").agg(
+        F.min("n").alias("n_b"), F.min("place").alias("place_b"), F.max("both").alias("both_b")
+    )
+    # Against the most favourable figures of the group; sketch sizes decide which rule can apply.
+    alone = F.when(
+        (F.col("n") < k) & (F.col("n_b") < k),
+        (F.col("both") >= (F.col("n") + F.col("n_b")) * (threshold / (1 + threshold)) - _SLACK)
+        | F.coalesce(F.col("place") + F.col("place_b") - math.ceil(threshold * k - _SLACK) <= k, F.lit(False)),
+    ).otherwise(F.coalesce(F.col("place") + F.col("place_b") - math.ceil(threshold * k - _SLACK) <= k, F.lit(False)))
+    hopeful = members.join(bests, "pivot").where(alone).select("pivot", "pid", "n", "both", "place")
+    probe = hopeful.join(ids, "pid", "left_semi").select(
+        "pivot", pid.alias("a"), F.col("n").alias("n_a"), F.col("both").alias("both_a"), F.col("place").alias("place_a")
     )
+    figures = [F.col(c) for c in ("n_a", "both_a", "place_a", "n", "both", "place")]
+    bounded = probe.join(hopeful, "pivot").where(pid != F.col("a")).where(_can_reach(*figures, threshold, k))
+
+    rest = members.select("pivot", "pid", "n", F.explode("rest").alias("v"))
+    met = rest.groupBy("pivot", "v").agg(F.count("*").alias("holders")).where("holders > 1").select("pivot", "v")
+    rest = written(rest.join(met, ["pivot", "v"]), "rest")
+    probe = rest.join(ids, "pid", "left_semi").select("pivot", "v", pid.alias("a"), F.col("n").alias("n_a"))
+    fits = (F.least("n_a", "n") >= F.greatest("n_a", "n") * threshold - _SLACK) | (F.greatest("n_a", "n") >= k)
+    apart = probe.join(rest, ["pivot", "v"]).where((pid != F.col("a")) & fits)
+
+    ends = [F.least("a", "pid").alias("a"), F.greatest("a", "pid").alias("b")]
+    return bounded.select(ends).union(apart.select(ends)).distinct()
 
 
 def prompt_groups(
     usage: DataFrame,
     threshold: float = NEAR_THRESHOLD,
     k: int = SKETCH_SIZE,
-    common: int = COMMON_VALUE,
 ) -> DataFrame:
     """(source_format, prompt_hash, n_records, is_near): every distinct prompt, flagged."""
     prompts = _distinct_prompts(usage)
@@ -269,24 +225,15 @@ def prompt_groups(
     near = written(
         _near_ids(_pivot_pairs(prompts, values), prompts, threshold, k), "near-pivot"
     )
-    postings = _postings(prompts, values, threshold, common)
-    repeated = prompts.where("n_records > 1").select("pid")
-    allowed = PAIRS_PER_PROMPT * prompts.count()
-    for turn in range(MAX_ROUNDS):
-        seekers = postings.join(repeated.union(near), "pid", "left_anti")
-        if _pair_count(seekers, postings, threshold, k) <= allowed:
-            break
-        found = written(
-            _near_ids(_round_pairs(seekers, turn), prompts, threshold, k), f"near-{turn}"
-        )
-        near = near.union(found)
-        searching = seekers.agg(F.count_distinct("pid")).first()[0]
-        if found.count() < MIN_PROGRESS * searching:
-            break
-    seekers = postings.join(repeated.union(near), "pid", "left_anti")
-    searched = _near_ids(
-        _candidate_pairs(seekers, postings, threshold, k), prompts, threshold, k
-    )
+    postings = _postings(prompts, values, threshold)
+    settled = prompts.where("n_records > 1").select("pid").union(near)
+    seekers = postings.join(settled, "pid", "left_anti")
+    facts = _pivot_facts(seekers, postings, prompts, threshold, k)
+    met = facts.where(F.col("near") & (F.col("pid") != F.col("pivot")))
+    near = near.union(met.select(F.explode(F.array("pid", "pivot")).alias("pid")))
+    seekers = seekers.join(near, "pid", "left_anti")
+    pairs = written(_candidate_pairs(seekers, facts, threshold, k), "pairs")
+    searched = _near_ids(pairs, prompts, threshold, k)
     near = near.union(searched).distinct().withColumn("found", F.lit(True))
     return (
         prompts.select("source_format", "prompt_hash", "n_records", "pid")
