@@ -12,11 +12,12 @@ similarity agree in at least ``MATCHES`` coordinates but for a chance below 1e-5
   when the collisions of a pair that met elsewhere are counted (skip merging);
 - pairs whose collisions reach ``MATCHES`` are confirmed on their full sets.
 
-Only components are asked for, so pairs inside a posting list are not all formed. In three rounds each
-list links its members to one pivot (the smallest, the largest, one by hash), and components grow.
-Then every list whose members are still in different components yields all its pairs across
-components that involve a class outside its largest component. That search is complete: a pair it
-leaves out is connected already.
+Only components are asked for, so pairs inside a posting list are not all formed. First each list
+links its members to one pivot, the member whose pairs are the commonest, and components grow from
+those links. What two members share with the pivot then bounds how alike they can be. Only pairs
+across components that this bound leaves open, or that share a shingle rare beside the pivot, are
+compared.
+That search is complete: a pair it leaves out is connected already or cannot be alike enough.
 
 Edge cases: a null text, or one without words, has 0 shingles and no links; a text with fewer words
 than a shingle has one, the whole sequence; rows without doc_id are kept with a null component and
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.llm.components import components
@@ -42,6 +43,7 @@ PERCENT = 80
 COORDINATES = 64
 MATCHES = 36  # a pair at 0.8 has 51 on average; fewer than 36 in about 5 of a million
 SEED = 11
+USUAL = 16  # members of a pivot that must hold a shingle to count it as the pivot's
 SEGMENT = 1 << 20  # bytes hashed at once
 
 _rng = np.random.default_rng(SEED)
@@ -160,21 +162,27 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, FULL)
 
 
-def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of (u, v, set_u, set_v), the pairs whose sets are alike enough."""
+def compared(pairs: DataFrame, rest: bool) -> DataFrame:
+    """(u, v, both, rest) of (u, v, set_u, set_v): shingles in both, and those of v that u lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = [], []
-            for a, b, x, y in zip(*batch.columns):
+            both, more = [], []
+            for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    u.append(a.as_py())
-                    v.append(b.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                same = np.intersect1d(x, y, assume_unique=True)
+                both.append(len(same))
+                more.append(np.setdiff1d(y, same, assume_unique=True).view(np.int64) if rest else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(more, pa.list_(pa.int64()))],
+                names=["u", "v", "both", "rest"],
+            )
+
+    return pairs.mapInArrow(run, "u bigint, v bigint, both bigint, rest array<bigint>")
 
-    return pairs.mapInArrow(run, "u bigint, v bigint")
+
+def alike(both: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    return 100 * both >= percent * (n_a + n_b - both)
 
 
 def near_duplicates(
@@ -199,11 +207,14 @@ def near_duplicates(
     own = own.select(
         "node", F.col("own.pair").alias("own"),
         F.slice("own.pair", F.lit(1), F.size("own") - (matches - 1)).alias("prefix"),
+        F.aggregate("own.holders", F.lit(0.0), lambda a, h: a + F.log2(h)).alias("weight"),
     )
     own = written(own.join(classes.select("node", "n"), "node"), "own-pairs")
-    posts = own.select("node", F.explode("prefix").alias("pair"))
-    met = posts.groupBy("pair").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    posts = written(posts.join(met.select("pair"), "pair"), "posts")
+    posts = own.select("node", "weight", "n", F.explode("prefix").alias("pair"))
+    met = posts.groupBy("pair").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.max_by("node", "weight").alias("pivot")
+    ).where("low < high")
+    posts = written(posts.drop("weight").join(met.select("pair", "pivot"), "pair"), "posts")
 
     live = classes.join(posts.select("node").distinct(), "node", "leftsemi")
     named = live.select("k1", "k2", "node")
@@ -212,30 +223,25 @@ def near_duplicates(
         full_sets(texts, words).join(named, ["k1", "k2"]).select("node", "members").dropDuplicates(["node"]), "full-sets"
     )
 
-    def verified(found: DataFrame) -> DataFrame:
-        """Links among distinct (u, v): enough collisions, sizes that can reach it, full sets."""
+    def verified(found: DataFrame, rest: bool) -> DataFrame:
+        """Distinct (u, v) with enough collisions, compared on their full sets."""
         side = lambda x: own.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}"), F.col("n").alias(f"n_{x}"))
         blob = lambda x: full.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}"))
         p = found.join(side("u"), "u").join(side("v"), "v")
-        p = p.where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
-        p = p.where(F.size(F.array_intersect("own_u", "own_v")) >= matches).select("u", "v")
-        p = p.join(blob("u"), "u").join(blob("v"), "v").select("u", "v", "set_u", "set_v")
-        return written(confirmed(p, percent), "confirmed")
-
-    hashed = F.xxhash64(F.lit(SEED), "node")
-    pivots = (F.min("node"), F.max("node"), F.min_by("node", hashed))
-    labels, links = None, None
-    for pivot in pivots:
-        lists = _labelled(posts, labels)
-        stars = lists.groupBy("pair").agg(
-            pivot.alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")
-        ).where("low < high").select("pair", "pivot")
-        met = lists.join(stars, "pair").where(F.col("node") != F.col("pivot"))
-        found = met.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
-        new = verified(found)
-        links = new if labels is None else new.unionByName(_stars(labels))
-        labels = written(components(links), "labels")
-    labels = written(components(verified(_across(posts, labels)).unionByName(_stars(labels))), "labels")
+        p = p.where(F.size(F.array_intersect("own_u", "own_v")) >= matches).select("u", "v", "n_u", "n_v")
+        sets_of = p.join(blob("u"), "u").join(blob("v"), "v").select("u", "v", "set_u", "set_v")
+        sizes = classes.select("node", "n")
+        got = compared(sets_of, rest).join(sizes.select(F.col("node").alias("u"), F.col("n").alias("n_u")), "u")
+        return written(got.join(sizes.select(F.col("node").alias("v"), F.col("n").alias("n_v")), "v"), "compared")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        return pairs.where(alike(F.col("both"), F.col("n_u"), F.col("n_v"), percent)).select("u", "v")
+
+    stars = posts.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
+    near = verified(stars, True)
+    labels = written(components(links_of(near)), "labels")
+    left = links_of(verified(_across(posts, near, labels, percent), False))
+    labels = written(components(left.unionByName(_stars(labels))), "labels")
 
     least = classes.join(labels, "node").groupBy("label").agg(F.min("first_doc").alias("component"))
     linked = labels.join(least, "label").select("node", "component")
@@ -251,24 +257,69 @@ def near_duplicates(
     )
 
 
-def _stars(labels: DataFrame) -> DataFrame:
-    return labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
+def _few_with_all(rows: DataFrame, key: list[str], label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """Of each key whose rows have several labels: rows outside the commonest label, and all rows."""
+    sizes = rows.groupBy(*key, label).agg(F.count("*").alias("size"))
+    main = sizes.groupBy(*key).agg(F.max_by(label, "size").alias("main"), F.count("*").alias("parts"))
+    rows = written(rows.join(main.where("parts > 1").drop("parts"), key), "open")
+    few = rows.where(F.col(label) != F.col("main"))
+    return few.select(*key, *(F.col(c).alias(f"a_{c}") for c in few.columns if c not in (*key, "main"))), rows
 
 
-def _labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return posts.withColumn("label", F.col("node"))
-    return posts.join(labels, "node", "left").select("node", "pair", F.coalesce("label", "node").alias("label"))
+def _apart() -> Column:
+    """Each pair across labels once: its first member lies outside the commonest label."""
+    return (F.col("label") != F.col("a_label")) & (
+        (F.col("label") == F.col("main")) | (F.col("a_node") < F.col("node"))
+    )
 
 
-def _across(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of a posting list that lie in different components, but for those already connected."""
-    lists = _labelled(posts, labels)
-    sizes = lists.groupBy("pair", "label").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("pair").agg(F.max_by("label", "size").alias("main"), F.count("*").alias("parts"))
-    lists = written(lists.join(main.where("parts > 1"), "pair"), "open-lists")
-    few = lists.where("label <> main").select("pair", F.col("node").alias("a"), F.col("label").alias("a_label"))
-    met = few.join(lists, "pair").where(
-        (F.col("label") != F.col("a_label")) & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("node")))
+def _across(posts: DataFrame, near: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components that may still be alike, as (u, v).
+
+    Take two members a and b of a posting list with pivot p, both compared with p. Let P be p and the
+    shingles that ``USUAL`` or more of those compared with p have beside it. Either a and b share a
+    shingle outside P, and meet under it with fewer than ``USUAL`` others; or all they share is in P,
+    so at most m = min(|a & P|, |b & P|) shingles, and m must do for their sizes. Members not
+    compared with p are paired with all others of the list whose size allows it.
+    """
+    own = near.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "both", "rest")
+    lists = posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lists = written(lists.join(own.drop("rest"), ["pivot", "node"], "left"), "lists")
+
+    group = lists.where("both is not null").select("pivot", "node", "label", "both", "n").distinct()
+    every = _few_with_all(group, ["pivot"])[1]
+    rest = written(
+        every.select("pivot", "node", "label").join(
+            own.select("pivot", "node", F.explode("rest").alias("shingle")), ["pivot", "node"]
+        ),
+        "rest",
+    )
+    held = rest.groupBy("pivot", "shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    # Shingles that many members have beside the pivot count as the pivot's own.
+    usual = held.where(F.col("holders") >= USUAL).select("pivot", "shingle")
+    more = rest.join(usual, ["pivot", "shingle"]).groupBy("pivot", "node").agg(F.count("*").alias("more"))
+    every = written(
+        every.join(more, ["pivot", "node"], "left").withColumn("both", F.col("both") + F.coalesce("more", F.lit(0))).drop("more"),
+        "members",
     )
-    return met.select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v")).distinct()
+    few = every.where("label <> main").select("pivot", *(F.col(c).alias(f"a_{c}") for c in ("node", "label", "both", "n")))
+    m = F.least("a_both", "both")
+    # Alone with the smallest other member a member must be able to reach the likeness at all.
+    least_n = every.groupBy("pivot").agg(F.min("n").alias("least_n"))
+    few = few.join(least_n, "pivot").where(alike(F.col("a_both"), F.col("a_n"), F.col("least_n"), percent)).drop("least_n")
+    bounded = few.join(every, "pivot").where(_apart() & alike(m, F.col("a_n"), F.col("n"), percent))
+
+    seldom = held.where(F.col("holders") < USUAL).select("pivot", "shingle")
+    few, every = _few_with_all(rest.join(seldom, ["pivot", "shingle"]), ["pivot", "shingle"])
+    shared = few.join(every, ["pivot", "shingle"]).where(_apart())
+
+    few, every = _few_with_all(lists.select("pair", "node", "label", "n", F.col("both").isNull().alias("far")), ["pair"])
+    fits = 100 * F.least("a_n", "n") >= percent * F.greatest("a_n", "n")
+    met = few.join(every, "pair").where(_apart() & (F.col("far") | F.col("a_far")) & fits)
+
+    ends = [F.least("a_node", "node").alias("u"), F.greatest("a_node", "node").alias("v")]
+    return bounded.select(ends).unionByName(shared.select(ends)).unionByName(met.select(ends)).distinct()
+
+
+def _stars(labels: DataFrame) -> DataFrame:
+    return labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
