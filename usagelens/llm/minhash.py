@@ -14,8 +14,8 @@ similarity agree in at least ``MATCHES`` coordinates but for a chance below 1e-5
 
 Only components are asked for, so pairs inside a posting list are not all formed. First each list
 links its members to one pivot, the member whose pairs are the commonest, and components grow from
-those links. What two members share with the pivot then bounds how alike they can be. Only pairs
-across components that this bound leaves open, or that share a shingle rare beside the pivot, are
+those links; members left out are compared with the most central one of the rest. What two members
+share with the pivot then bounds how alike they can be. Only pairs across components that this bound leaves open, or that share a shingle rare beside the pivot, are
 compared.
 That search is complete: a pair it leaves out is connected already or cannot be alike enough.
 
@@ -240,7 +240,10 @@ def near_duplicates(
     stars = posts.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
     near = verified(stars, True)
     labels = written(components(links_of(near)), "labels")
-    left = links_of(verified(_across(posts, near, labels, percent), False))
+    groups = Groups(posts, near, labels)
+    central = links_of(verified(groups.with_centres(), False))
+    labels = written(components(central.unionByName(_stars(labels))), "labels")
+    left = links_of(verified(groups.left(labels, percent), False))
     labels = written(components(left.unionByName(_stars(labels))), "labels")
 
     least = classes.join(labels, "node").groupBy("label").agg(F.min("first_doc").alias("component"))
@@ -273,52 +276,72 @@ def _apart() -> Column:
     )
 
 
-def _across(posts: DataFrame, near: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs in different components that may still be alike, as (u, v).
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    Take two members a and b of a posting list with pivot p, both compared with p. Let P be p and the
-    shingles that ``USUAL`` or more of those compared with p have beside it. Either a and b share a
-    shingle outside P, and meet under it with fewer than ``USUAL`` others; or all they share is in P,
-    so at most m = min(|a & P|, |b & P|) shingles, and m must do for their sizes. Members not
-    compared with p are paired with all others of the list whose size allows it.
+
+class Groups:
+    """Members of posting lists by the pivot they were compared with, and the pairs still to compare.
+
+    Let P be a pivot p and the shingles that ``USUAL`` or more of those compared with p have beside
+    it. ``members`` holds how many shingles of each member are in P, for pivots whose members are not
+    all connected; ``rest`` holds the shingles beside p.
     """
-    own = near.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "both", "rest")
-    lists = posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lists = written(lists.join(own.drop("rest"), ["pivot", "node"], "left"), "lists")
-
-    group = lists.where("both is not null").select("pivot", "node", "label", "both", "n").distinct()
-    every = _few_with_all(group, ["pivot"])[1]
-    rest = written(
-        every.select("pivot", "node", "label").join(
-            own.select("pivot", "node", F.explode("rest").alias("shingle")), ["pivot", "node"]
-        ),
-        "rest",
-    )
-    held = rest.groupBy("pivot", "shingle").agg(F.count("*").alias("holders")).where("holders > 1")
-    # Shingles that many members have beside the pivot count as the pivot's own.
-    usual = held.where(F.col("holders") >= USUAL).select("pivot", "shingle")
-    more = rest.join(usual, ["pivot", "shingle"]).groupBy("pivot", "node").agg(F.count("*").alias("more"))
-    every = written(
-        every.join(more, ["pivot", "node"], "left").withColumn("both", F.col("both") + F.coalesce("more", F.lit(0))).drop("more"),
-        "members",
-    )
-    few = every.where("label <> main").select("pivot", *(F.col(c).alias(f"a_{c}") for c in ("node", "label", "both", "n")))
-    m = F.least("a_both", "both")
-    # Alone with the smallest other member a member must be able to reach the likeness at all.
-    least_n = every.groupBy("pivot").agg(F.min("n").alias("least_n"))
-    few = few.join(least_n, "pivot").where(alike(F.col("a_both"), F.col("a_n"), F.col("least_n"), percent)).drop("least_n")
-    bounded = few.join(every, "pivot").where(_apart() & alike(m, F.col("a_n"), F.col("n"), percent))
-
-    seldom = held.where(F.col("holders") < USUAL).select("pivot", "shingle")
-    few, every = _few_with_all(rest.join(seldom, ["pivot", "shingle"]), ["pivot", "shingle"])
-    shared = few.join(every, ["pivot", "shingle"]).where(_apart())
-
-    few, every = _few_with_all(lists.select("pair", "node", "label", "n", F.col("both").isNull().alias("far")), ["pair"])
-    fits = 100 * F.least("a_n", "n") >= percent * F.greatest("a_n", "n")
-    met = few.join(every, "pair").where(_apart() & (F.col("far") | F.col("a_far")) & fits)
-
-    ends = [F.least("a_node", "node").alias("u"), F.greatest("a_node", "node").alias("v")]
-    return bounded.select(ends).unionByName(shared.select(ends)).unionByName(met.select(ends)).distinct()
+
+    def __init__(self, posts: DataFrame, near: DataFrame, labels: DataFrame):
+        own = near.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "both", "rest")
+        self.lists = written(posts.join(own.drop("rest"), ["pivot", "node"], "left"), "lists")
+        group = self.lists.where("both is not null").select("pivot", "node", "both", "n").distinct()
+        open_ = _few_with_all(_labelled(group, labels), ["pivot"])[1]
+        self.rest = written(
+            open_.select("pivot", "node").join(
+                own.select("pivot", "node", F.explode("rest").alias("shingle")), ["pivot", "node"]
+            ),
+            "rest",
+        )
+        self.held = self.rest.groupBy("pivot", "shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+        usual = self.held.where(F.col("holders") >= USUAL).select("pivot", "shingle")
+        more = self.rest.join(usual, ["pivot", "shingle"]).groupBy("pivot", "node").agg(F.count("*").alias("more"))
+        both = F.col("both") + F.coalesce("more", F.lit(0))
+        open_ = open_.join(more, ["pivot", "node"], "left").withColumn("both", both)
+        self.open = written(open_.drop("more"), "members")
+        self.members = self.open.select("pivot", "node", "both", "n")
+
+    def with_centres(self) -> DataFrame:
+        """(u, v): members outside the commonest component with that component's member nearest to P."""
+        centre = self.open.where("label = main").groupBy("pivot").agg(F.max_by("node", "both").alias("centre"))
+        met = self.open.where("label <> main").join(centre, "pivot")
+        return met.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
+
+    def left(self, labels: DataFrame, percent: int) -> DataFrame:
+        """(u, v): pairs in different components that may still be alike.
+
+        Two members of a list that were both compared with its pivot p either share a shingle outside
+        P, and meet under it with fewer than ``USUAL`` others; or all they share is in P, so at most
+        m = min(|a & P|, |b & P|) shingles, and m must do for their sizes. Members not compared with
+        p are paired with all others of the list whose size allows it.
+        """
+        few, every = _few_with_all(_labelled(self.members, labels), ["pivot"])
+        m = F.least("a_both", "both")
+        # With the smallest other member a member must be able to reach the likeness at all.
+        least_n = every.groupBy("pivot").agg(F.min("n").alias("least_n"))
+        few = few.join(least_n, "pivot").where(alike(F.col("a_both"), F.col("a_n"), F.col("least_n"), percent)).drop("least_n")
+        bounded = few.join(every, "pivot").where(_apart() & alike(m, F.col("a_n"), F.col("n"), percent))
+
+        seldom = self.held.where(F.col("holders") < USUAL).select("pivot", "shingle")
+        rest = self.rest.join(seldom, ["pivot", "shingle"]).join(
+            every.select("pivot", "node", "label"), ["pivot", "node"]
+        )
+        few, every = _few_with_all(rest, ["pivot", "shingle"])
+        shared = few.join(every, ["pivot", "shingle"]).where(_apart())
+
+        far = self.lists.select("pair", "node", "n", F.col("both").isNull().alias("far"))
+        few, every = _few_with_all(_labelled(far, labels), ["pair"])
+        fits = 100 * F.least("a_n", "n") >= percent * F.greatest("a_n", "n")
+        met = few.join(every, "pair").where(_apart() & (F.col("far") | F.col("a_far")) & fits)
+
+        ends = [F.least("a_node", "node").alias("u"), F.greatest("a_node", "node").alias("v")]
+        return bounded.select(ends).unionByName(shared.select(ends)).unionByName(met.select(ends)).distinct()
 
 
 def _stars(labels: DataFrame) -> DataFrame:
