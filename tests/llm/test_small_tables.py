@@ -239,6 +239,27 @@ def test_mixing_targets_and_reruns(documents):
     assert {r[0]: r[1] for r in drawn} == {r[0]: r[4] for r in first if r[4]}
 
 
+def test_mixed_sizes_add_up_the_placed_copies(documents, monkeypatch):
+    made = documents([(1, "a b c", "en", "s"), (1, "d e", "en", "t"), (1, "d e", "en", "t"), (None, "f", "en", None)] + [
+        (i, "w " * 200, "en", "st"[i % 2]) for i in range(2, 600)
+    ])
+    want = Counter(r["taken"] for r in mixing.mixed_sizes(made).collect())
+    assert sum(want.values()) == made.count()
+    split = mixing.shard_quotas
+    monkeypatch.setattr(mixing, "shard_quotas", lambda *a: split(*a).where("source = 's'"))
+    got = mixing.mixed_sizes(made).collect()
+    assert sum(r["taken"] for r in got) < sum(k * n for k, n in want.items()) and len(got) == made.count()
+
+
+def test_all_passes_of_a_source_are_placed(documents):
+    made = documents([(i, "w " * 9, "en", "a" if i < 5 else "b") for i in range(60)])
+    shares = {"budget": 4.0, "most": 6}
+    sizes = mixing.mixed_sizes(made, **shares).collect()
+    drawn = mixing.mixed_documents(made, **shares).groupBy("doc_id").sum("words").collect()
+    assert sum(r["taken"] for r in sizes if r["doc_id"] < 5) == 5 * 9 * 6
+    assert {r[0]: r[1] for r in drawn} == {r["doc_id"]: r["taken"] for r in sizes if r["taken"]}
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = [("a", 1000), ("b", 7), (None, 93), ("c", 1)]
     made = spark.createDataFrame(quotas, "source string, quota bigint")

@@ -16,6 +16,8 @@ result; columns of the input beyond doc_id, text and source are not looked at.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,12 +160,20 @@ def draw_plan(docs: DataFrame, seed: int = 0, carry=(), **shares) -> dict[str, D
     }
 
 
-def mixed_sizes(docs: DataFrame, seed: int = 0, **shares) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken."""
-    plan = draw_plan(docs, seed, **shares)
+def mixed_sizes(docs: DataFrame, seed: int = 0, shards: int = SHARDS, **shares) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken.
+
+    ``taken`` adds up the words of the document's copies in the mix, as they are placed on shards.
+    """
+    # Kept with the stored sizes, so that rows which share an id or are equal stay apart.
+    rows = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("row"))
+    plan = draw_plan(rows, seed, ("row",), **shares)
+    copies = placed_copies(plan, shards, seed, ("row",), **shares)
+    taken = copies.groupBy(F.col("row").alias("of_row")).agg(F.sum("words").alias("taken"))
+    sizes = plan["sizes"].join(taken, F.col("row") == F.col("of_row"), "left")
     sources = plan["sources"].select(F.col("source").alias("of"), "source_size", "target")
-    return plan["taken"].join(sources, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "size", "source_size", "target", "taken"
+    return sizes.join(sources, F.col("source").eqNullSafe(F.col("of"))).select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken")
     )
 
 
@@ -262,11 +272,17 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 0, carry=
     ``order_key``. ``words`` is below the document's size only for the last draw of a source.
     More shards than blocks leave some without rows.
     """
-    plan = draw_plan(docs, seed, carry, **shares)
+    return placed_copies(draw_plan(docs, seed, carry, **shares), shards, seed, carry, **shares)
+
+
+def placed_copies(
+    plan: dict[str, DataFrame], shards: int = SHARDS, seed: int = 0, carry=(), most: float = MOST_REPEATS, **_
+) -> DataFrame:
+    """Rows of ``mixed_documents`` for a ``draw_plan`` with the same ``seed``, ``carry`` and ``most``."""
     src = plan["sources"].select(F.col("source").alias("of"), "passes")
     blocks = plan["blocks"].join(src, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     of_source = Window.partitionBy("source")
-    passes = F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS)), lambda i: i)
+    passes = F.transform(F.sequence(F.lit(0), F.lit(math.ceil(most))), lambda i: i)
     drawn = (F.col("pass") < F.col("passes")) | (
         (F.col("pass") == F.col("passes")) & (F.col("before") < F.col("rest"))
     )
