@@ -93,6 +93,36 @@ def test_ids_equal_those_of_the_tokenizers_library(rows):
         assert tokens.token_ids(text).tolist() == own + [1]
 
 
+MARKED = [
+    "<|endoftext|>", "a  b\n\n c\t<|endoftext|> don't ß日本  x", "x  <|endoftext|><|endoftext|>  y", "<|endoftext|", "a <|ENDOFTEXT|>",
+]
+
+
+def test_ids_equal_those_of_the_library_at_its_defaults():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in [r[1] for r in ROWS] + MARKED + ["'" * 40, "1" * 500, " \n "]:
+        own = t.encode(text or "", add_special_tokens=False).ids
+        assert tokens.token_ids(text, encode_special_tokens=False).tolist() == own + [1]
+
+
+def test_added_tokens_inside_texts(documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: t.encode(text, add_special_tokens=False).ids + [1] for i, text in enumerate(MARKED)}
+    made = documents(list(enumerate(MARKED)))
+    counted = token_counts.count_tokens(made).collect()
+    assert {r["doc_id"]: r["tokens"] for r in counted} == {i: len(ids) for i, ids in want.items()}
+    for r in packing.pack(made).collect():
+        own = np.array(want[r["doc_id"]], dtype="<u4")
+        assert r["doc_tokens"] == len(own)
+        assert zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+
+
 def test_token_counts(rows, empty):
     for block in (7, 64, 1 << 16):
         got = Counter((r["doc_id"], r["tokens"]) for r in collected(token_counts.count_tokens(rows, block_tokens=block)))

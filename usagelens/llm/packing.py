@@ -96,7 +96,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None) ->
         for batch in batches:
             texts = batch.column(1)
             for i, doc in enumerate(batch.column(0).to_pylist()):
-                ids = token_ids(texts[i].as_py(), ranks)
+                ids = token_ids(texts[i].as_py(), ranks, encode_special_tokens=False)
                 data, n, start = memoryview(ids).cast("B"), len(ids), 0
                 for length in piece_lengths(n, capacity):
                     crc = zlib.crc32(data[4 * start : 4 * (start + length)])

@@ -26,7 +26,7 @@ from usagelens.llm.tokens import token_ids
 from usagelens.storage import scratch_path
 
 BLOCK_TOKENS = 1 << 16
-SEPARATOR = 50256  # an id that no text yields
+SEPARATOR = 65535  # an id that no text yields: the vocabulary, with its added token, ends at 50256
 BLOCKS = "file string, block bigint, ids binary"
 FOUND = "file string, block bigint, tokens bigint, ends array<bigint>"
 
@@ -70,7 +70,7 @@ def write_tokens(docs: DataFrame, ranks: str | None = None, block_tokens: int =
 
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1)):
-                ids = token_ids(text.as_py(), ranks, SEPARATOR).astype("<u2")
+                ids = token_ids(text.as_py(), ranks, SEPARATOR, encode_special_tokens=False).astype("<u2")
                 held.append(ids)
                 size += len(ids)
                 ended.append((size, doc.as_py()))
