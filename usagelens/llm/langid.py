@@ -22,13 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from usagelens.storage import written
+
 SAMPLE_ROWS = 20000
 MAX_WORDS = 200_000
 MAX_GRAMS = 100_000
+LEAST_ROWS = 200  # of a language, whatever the bounds
+LEAST_ENTRIES = 1000  # words, and n-grams, of a language, whatever the bounds
 LONGEST_GRAM = 4
 CACHE = 200_000
 UNKNOWN = "und"
@@ -93,18 +97,42 @@ class Model:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
+def even_share(sizes: list[int], most: int, least: int) -> int:
+    """How much each may have, so that all have about ``most``: what small ones leave goes to the others."""
+    left, level = most, least
+    for i, n in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - i)
+        level = max(level, share)
+        left -= min(n, share)
+    return level
+
+
+def _sizes(df: DataFrame) -> dict[str, int]:
+    return {r["lang"]: r["count"] for r in df.groupBy("lang").count().collect()}  # one row a language
+
+
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """Learn from about ``sample_rows`` labelled rows; the most frequent words and n-grams stay."""
+    """Learn from about ``sample_rows`` labelled rows; the most frequent words and n-grams stay.
+
+    Each bound is shared evenly by language: what one leaves goes to those with more, so a language is
+    cut only if it has more than its share, and all of it stays up to ``LEAST_ROWS`` and ``LEAST_ENTRIES``.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    share = min(1.0, sample_rows / max(1, labelled.count()))
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    sizes = _sizes(labelled)
+    rows = even_share(list(sizes.values()), sample_rows, LEAST_ROWS)
+    shares = [(lang, int(min(1.0, rows / n) * (1 << 30))) for lang, n in sizes.items()]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, below bigint")
+    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("below")
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")))
-    counts = labelled.where(pick).select("lang", words.alias("word")).groupBy("lang", "word").count()
+    sample = labelled.join(F.broadcast(shares), "lang").where(pick)
+    counts = written(sample.select("lang", words.alias("word")).groupBy("lang", "word").count(), "lang-words")
     grams = counts.select("lang", "count", F.explode(_grams("word")).alias("gram")).groupBy("lang", "gram")
-    grams = grams.agg(F.sum("count").alias("count"))
+    grams = written(grams.agg(F.sum("count").alias("count")), "lang-grams")
 
     def bounded(df: DataFrame, key: str, most: int):
-        top = df.where("count > 1").orderBy(F.desc("count"), "lang", key).limit(most)
+        each = even_share(list(_sizes(df.where("count > 1")).values()), most, LEAST_ENTRIES)
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), key))
+        top = df.withColumn("rank", rank).where((F.col("rank") <= each) & ((F.col("count") > 1) | (F.col("rank") <= LEAST_ENTRIES)))
         return [tuple(r) for r in top.select("lang", key, "count").collect()]
 
     return Model(*_tables(bounded(counts, "word", max_words), bounded(grams, "gram", max_grams)))
