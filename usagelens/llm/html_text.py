@@ -21,6 +21,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +39,12 @@ SEED = 3
 # How HTML groups its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER = frozenset("script style template noscript head title svg iframe object canvas math select textarea".split())
+NEVER = frozenset("script style template noscript head title svg iframe object canvas select textarea".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr input button".split()
+    "small span strike strong sub sup time tt u var wbr input button "
+    "math semantics annotation mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts none mtable mtr mtd mstyle mpadded mphantom mfenced menclose merror".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
@@ -186,10 +189,10 @@ def features(nodes: list[Node]) -> np.ndarray:
             paras[i] = 1
         for t in (f"<{node.tag}>", *node.tokens):
             hashed[i, zlib.crc32(t.encode()) % BUCKETS] = 1
-        tags = [c.tag for c in node.children]
+        tags = Counter(c.tag for c in node.children)
         for k, c in enumerate(node.children):
             j = c.index
-            depth[j], place[j], brothers[j], alike[j] = depth[i] + 1, k, len(tags), tags.count(c.tag) if len(tags) < 200 else len(tags)
+            depth[j], place[j], brothers[j], alike[j] = depth[i] + 1, k, len(node.children), tags[c.tag]
     for node in reversed(nodes):
         i = node.index
         if node.parent is not None:
