@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import ann, html_text, langid, minhash, mixing, packing, pii, quality, token_counts, topk
+from usagelens.llm import ann, collocations, html_text, langid, minhash, mixing, packing, pii, quality, token_counts, topk
 from usagelens.plans.views import table
 
 
@@ -51,15 +51,50 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_token_counts, op3_exact_top_k, op4_packing, op5_main_text, op6_near_duplicates,
         op7_nearest_neighbours, op8_personal_data, op9_language_id, op10_mixing,
+        op11_collocations,
     )
 }
 
 ORACLES = {
+    "op11_collocations": r"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k
+), f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT * FROM f WHERE k >= 2 AND a >= 100),
+cuts AS (
+    SELECT lang, phrase, a, j, array_to_string(w[:j], ' ') AS first, array_to_string(w[j + 1:], ' ') AS rest
+    FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM c)
+), s AS (
+    SELECT x.lang, x.phrase, x.a, x.j, l.a AS l, r.a AS r, n.n,
+        (CAST(1000 AS HUGEINT) * x.a * n.n) // (CAST(l.a AS HUGEINT) * r.a) AS score
+    FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = x.first JOIN f r ON r.lang = x.lang AND r.phrase = x.rest
+    JOIN n ON n.lang = x.lang
+), low AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS i FROM s) WHERE i = 1
+), kept AS (
+    SELECT * FROM low WHERE NOT EXISTS (
+        SELECT 1 FROM c WHERE c.lang = low.lang AND length(c.phrase) > length(low.phrase) AND 100 * c.a >= 100 * low.a
+            AND contains(' ' || c.phrase || ' ', ' ' || low.phrase || ' '))
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+""",
     "op6_near_duplicates": r"""
 WITH RECURSIVE w AS MATERIALIZED (
     SELECT doc_id, list_filter(
