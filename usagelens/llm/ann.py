@@ -5,20 +5,23 @@ sample). A code is split into eight substrings, and each shard is indexed by eac
 codes that differ in at most 8 (t + 1) - 1 bits agree up to t bits in one substring. A search probes
 all substrings within t = 0, 1, 2, ... bits, which retrieves every code within that radius, and
 reranks the retrieved rows by their floats. It ends when the radius covers the one that neighbours
-better than the k-th found need. How far codes of a given cosine lie apart is measured on the sample:
-the radius is the ``cover`` quantile for that cosine.
+better than the k-th found so far need. How far codes of a given cosine lie apart is measured on the sample:
+the radius is the ``cover`` quantile for that cosine. Queries of a block that share the value of a
+substring share its probes, and a block keeps its best from shard to shard, so radii shrink.
 
 Vectors are scaled by the largest norm and given one more component that fills them up to length 1,
 so the largest inner product is the smallest angle, whatever the norms are.
 
 Edge cases: null and zero vectors, and vectors with a null, NaN or infinite component, take no part;
-of rows with one id, one counts; ties go to the smaller id; fewer candidates than k give all of them;
-an empty table gives an empty result.
+rows with the id of the query are not its candidates; rows that share an id are candidates each on
+their own, and what several queries of one id find is ranked together; ties go to the smaller id; fewer candidates
+than k give all of them; other columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,7 @@ PARTS = 8
 SAMPLE_ROWS = 3000  # rows that rotation and radii are learned from
 COVER = 0.98
 SEED = 7
-BYTE_DISTANCE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8))
+TILE = 1 << 23  # pairs of queries and rows looked at together
 # Bytes by their number of set bits: what to flip to probe at a distance.
 FLIPS = [np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8)) == t) for t in range(9)]
 
@@ -103,37 +106,85 @@ def open_index(data: bytes, n: int) -> tuple[np.ndarray, list[tuple[np.ndarray,
     return code, tables
 
 
-def probe_search(
-    query: np.ndarray, unit: np.ndarray, query_code: np.ndarray, own: int, ids, rows, code, tables, radii,
-    norm: float, k: int,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of one query in one shard, best first."""
-    words = code.view(">u8").ravel() if code.flags.c_contiguous else np.ascontiguousarray(code).view(">u8").ravel()
-    target = query_code.view(">u8")[0]
-    seen = np.zeros(len(ids), bool)
-    ranked = np.zeros(len(ids), bool)
-    scores = np.full(len(ids), -np.inf)
-    mine = ids == own
-    length = float(np.sqrt(query @ query)) * norm
-    need = BITS
-    for t in range(9):
-        for p, (order, starts) in enumerate(tables):
-            for v in query_code[p] ^ FLIPS[t]:
-                seen[order[starts[v] : starts[v + 1]]] = True
-        reach = min(PARTS * (t + 1) - 1, BITS)
-        new = np.flatnonzero(seen & ~ranked & ~mine)
-        new = new[np.bitwise_count(words[new] ^ target) <= min(reach, need)]
-        ranked[new] = True
-        scores[new] = rows[new] @ query
-        have = np.count_nonzero(ranked)
-        if have >= k:
-            kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-            need = radii[int(np.clip((1 - kth / length) / 0.05, 0, 40))] if length else BITS
-            if reach >= need:
+def probe(code: np.ndarray, active: np.ndarray, tables, t: int, seen: np.ndarray) -> None:
+    """Mark the rows that differ from an active query in exactly ``t`` bits of some substring."""
+    for p, (order, starts) in enumerate(tables):
+        by_value = active[np.argsort(code[active, p], kind="stable")]
+        values, begin = np.unique(code[by_value, p], return_index=True)
+        for v, who in zip(values, np.split(by_value, begin[1:])):
+            rows = np.concatenate([order[starts[u] : starts[u + 1]] for u in v ^ FLIPS[t]])
+            seen[who[:, None], rows[None, :]] = True
+
+
+class Asked:
+    """A block of queries and its best so far."""
+
+    def __init__(self, rows: list[dict], k: int, rotation: np.ndarray, radii: np.ndarray, norm: float, dims: int):
+        parts = [S.opened(r, "<f8") for r in rows]
+        self.ids, q = np.concatenate([p[0] for p in parts]), S.stacked([p[1] for p in parts])
+        self.q = S.same_width(q, np.zeros((0, dims)))[0]
+        self.code = codes(flat(self.q), rotation)
+        self.words = np.ascontiguousarray(self.code).view(">u8").ravel()
+        self.length = np.linalg.norm(self.q, axis=1) * norm
+        self.radii = radii
+        self.score = np.full((len(self.ids), k), -np.inf)
+        self.best = np.full((len(self.ids), k), -1, np.int64)
+
+    def scan(self, row: dict) -> None:
+        ids, rows, _ = S.opened(row, "<f8")
+        rows = S.same_width(rows, np.zeros((0, self.q.shape[1])))[0]
+        code, tables = open_index(row["extra"], len(ids))
+        words = np.ascontiguousarray(code).view(">u8").ravel()
+        step = max(1, TILE // max(1, len(ids)))
+        for i in range(0, len(self.ids), step):
+            self._scan(np.arange(i, min(i + step, len(self.ids))), ids, rows, words, tables)
+
+    def needed(self, who: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        """The radius that holds nearly all rows better than ``kth``; all bits while there is none."""
+        with np.errstate(invalid="ignore"):
+            at = np.clip((1 - kth / self.length[who]) / 0.05, 0, 40)
+        return np.where(kth > -np.inf, self.radii[np.nan_to_num(at, nan=40.0).astype(int)], BITS)
+
+    def _scan(self, own: np.ndarray, ids, rows, words, tables) -> None:
+        q, k = self.q[own], self.score.shape[1]
+        scores = q @ rows.T
+        scores[self.ids[own][:, None] == ids[None, :]] = -np.inf
+        seen = np.zeros(scores.shape, bool)
+        distance = np.full(scores.shape, 255, np.uint8)  # of retrieved rows
+        need = self.needed(own, self.score[own, -1])
+        active = np.arange(len(own))
+        reach = np.zeros(len(own), np.int64)
+        for t in range(9):
+            probe(self.code[own], active, tables, t, seen)
+            at, row = np.nonzero(seen[active] & (distance[active] == 255))
+            at = active[at]
+            distance[at, row] = np.bitwise_count(words[row] ^ self.words[own[at]])
+            reach[active] = min(PARTS * (t + 1) - 1, BITS)
+            inside = np.where(distance[active] <= np.minimum(reach, need)[active, None], scores[active], -np.inf)
+            kth = self.score[own[active], -1]
+            if inside.shape[1] >= k:
+                kth = np.maximum(kth, np.partition(inside, -k, axis=1)[:, -k])
+            need[active] = self.needed(own[active], kth)
+            active = active[reach[active] < need[active]]
+            if not len(active):
                 break
-    found = np.flatnonzero(ranked)
-    best = found[np.lexsort((ids[found], -scores[found]))[:k]]
-    return ids[best], scores[best]
+        inside = np.where(distance <= np.minimum(reach, need)[:, None], scores, -np.inf)
+        least = self.score[own, -1]
+        if inside.shape[1] >= k:
+            least = np.maximum(least, np.partition(inside, -k, axis=1)[:, -k])
+        slack = 1e-12 * np.abs(np.where(np.isfinite(least), least, 0.0)) + 1e-12 * self.length[own]
+        at, row = np.nonzero((inside > -np.inf) & (inside >= (least - slack)[:, None]))
+        exact = (q[at] * rows[row]).sum(axis=1)  # does not depend on how rows are dealt
+        S.keep_best(self.score, self.best, own[at], exact, ids[row], -np.inf)
+
+    def result(self) -> pd.DataFrame:
+        return S.best_rows(self.ids, self.score, self.best, -np.inf)
+
+
+def flat(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1 with an empty last component, as queries have."""
+    unit = rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-300)[:, None]
+    return np.concatenate([unit, np.zeros((len(rows), 1))], axis=1)
 
 
 def nearest(
@@ -146,48 +197,21 @@ def nearest(
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     facts = v64.agg(F.max(F.sqrt(square)).alias("norm"), F.max(F.size("v")).alias("dims"), F.count("*").alias("n")).first()
     norm, dims = facts["norm"] or 1.0, facts["dims"] or 1
-    # A bounded sample by hash: about sample_rows rows, whatever the table's size.
+    # A bounded sample by hash: about sample_rows rows, whatever the table's size and however often an id repeats.
     share = min(1.0, sample_rows / max(1, facts["n"]))
-    part = F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = S.matrix([r["v"] for r in v64.where(part).orderBy("vec_id").collect()], dims, "<f8")
+    row = F.monotonically_increasing_id()
+    part = F.pmod(F.xxhash64(F.lit(SEED), "vec_id", "row"), F.lit(1 << 30)) < int(share * (1 << 30))
+    chosen = v64.withColumn("row", row).where(part).orderBy("vec_id", "row").select("v").collect()
+    sample = S.matrix([r["v"] for r in chosen], dims, "<f8")
     x = filled_up(sample, norm)
     rotation = learn_rotation(x)
-    flat = lambda rows: np.concatenate([rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-300)[:, None], np.zeros((len(rows), 1))], axis=1)
     radii = learn_radii(x, flat(sample), rotation, cover)
 
-    def arrange(ids: np.ndarray, rows: np.ndarray):
+    def arrange(ids: np.ndarray, rows: np.ndarray, labels: np.ndarray):
         rows, _ = S.same_width(rows, np.zeros((0, dims)))
         return np.arange(len(ids)), index_of(codes(filled_up(rows, norm), rotation))
 
-    stored, n = S.build(v64, "<f8", arrange, "ann-shards", shard_rows)
-
-    def questions(batches):
-        for frame in batches:
-            out = []
-            for row in frame.to_dict("records"):
-                ids, rows = S.opened(row, "<f8")
-                asked = ids % every == 0
-                if asked.any():
-                    out.append((row["dims"], ids[asked].tobytes(), rows[asked].tobytes()))
-            if out:
-                yield type(frame)(out, columns=["q_dims", "q_ids", "q_data"])
-
-    queries = stored.mapInPandas(questions, "q_dims int, q_ids binary, q_data binary")
-
-    def find(row):
-        ids, rows = S.opened(row, "<f8")
-        q_ids = np.frombuffer(row["q_ids"], np.int64)
-        q = np.frombuffer(row["q_data"], "<f8").reshape(len(q_ids), row["q_dims"])
-        q, rows = S.same_width(q, rows)
-        wide = S.same_width(q, np.zeros((0, dims)))[0]
-        unit = flat(wide)
-        q_codes = codes(unit, rotation)
-        code, tables = open_index(row["extra"], len(ids))
-        found = [
-            probe_search(q[i], unit[i], q_codes[i], q_ids[i], ids, rows, code, tables, radii, norm, k)
-            for i in range(len(q_ids))
-        ]
-        sizes = [len(f[0]) for f in found]
-        return np.repeat(q_ids, sizes), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-    return S.search(stored, queries, n, find, "double", k)
+    stored = S.build(v64, "<f8", every, arrange, "ann-shards", shard_rows)
+    asked = S.queries(stored, every)
+    begin = lambda rows: Asked(rows, k, rotation, radii, norm, dims)
+    return S.ranked(S.search(stored, asked, begin, "query_id bigint, vec_id bigint, score double"), k)

@@ -22,7 +22,6 @@ digits.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +36,14 @@ LONGEST = 5
 LEAST = 100
 TOP = 2000
 ROUTE_BYTES = 8 << 20  # of text, a range
-MOST_ROUTES = 1 << 12  # bounds the ranges that every task holds; longer ranges are read in batches all the same
+MOST_ROUTES = 1 << 17  # bounds what every task holds of ranges; longer ranges are sorted on disk and read in batches
+EDGE_BYTES = 64  # of a key, that a range begins with
 SAMPLE_BYTES = 16 << 20  # of text, that ranges are taken from
-SAMPLE_KEYS = 40_000
-SEGMENT = 4 << 20  # bytes of text whose pointers are sorted at once
+KEYS_A_ROUTE = 32
+MOST_KEYS = 1 << 20
+SEGMENT = 2 << 20  # bytes of text whose pointers are sorted at once
 CUTOFF = 4096  # partitions up to this size are finished by one comparison sort
-BATCH_ROWS = 1 << 18
+BATCH_ROWS = 1 << 17
 UNKNOWN = "und"
 
 _KIND = np.zeros(256, np.uint8)  # 0: word, 1: blank, 2: end of a piece
@@ -144,7 +145,8 @@ def sorted_suffixes(
     columns = [np.array([at[p[0]] for p in parts], np.int32)[of]]
     for k in range(longest):
         c = np.zeros(n, np.int32)
-        c[: n - k] = np.where(piece[k:] == piece[: n - k], ids[k:], 0)
+        m = max(0, n - k)
+        c[:m] = np.where(piece[k:] == piece[:m], ids[k:], 0)
         columns.append(c)
     order = multikey_sort(columns, np.flatnonzero(own), cutoff)
     if not len(order):
@@ -167,14 +169,13 @@ def sorted_suffixes(
 
 def suffixes(docs: DataFrame, bounds: list[bytes], longest: int = LONGEST, segment: int = SEGMENT) -> DataFrame:
     """Counted suffixes of (lang, text) with the range each belongs to."""
-    shared = docs.sparkSession.sparkContext.broadcast(bounds)  # at most MOST_ROUTES keys
+    width = f"S{EDGE_BYTES}"
+    # At most MOST_ROUTES heads of keys. Padding with zeros keeps their order, as 0 is below all that words hold.
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(bounds, width))
 
     def made(parts) -> pa.RecordBatch:
         keys, counts = sorted_suffixes(parts, longest)
-        at = range(len(keys))
-        edges = [bisect_left(at, b, key=lambda i: keys[i].as_py()) for b in shared.value]
-        sizes = np.diff([0, *edges, len(keys)])
-        route = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        route = np.searchsorted(shared.value, np.array(keys.to_pylist(), width), "right").astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(route), keys, pa.array(counts)], names=["route", "key", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +264,7 @@ def _flush(held: list[pa.RecordBatch], rows_of) -> pa.RecordBatch:
 
 
 def range_bounds(docs: DataFrame, longest: int = LONGEST, route_bytes: int = ROUTE_BYTES) -> list[bytes]:
-    """Keys that cut the order of suffixes into ranges of about ``route_bytes`` of text each."""
+    """Heads of keys that cut the order of suffixes into ranges of about ``route_bytes`` of text each."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cores = docs.sparkSession.sparkContext.defaultParallelism
     routes = min(MOST_ROUTES, max(2 * cores, -(-total // route_bytes)))
@@ -273,8 +274,9 @@ def range_bounds(docs: DataFrame, longest: int = LONGEST, route_bytes: int = ROU
 
     some = docs.where(share(SAMPLE_BYTES / max(1, total), "text"))
     words = min(total, SAMPLE_BYTES) / 6  # about one key a word
-    keys = suffixes(some, [], longest).where(share(SAMPLE_KEYS / max(1.0, words), "key")).select("key")
-    keys = sorted({bytes(r["key"]) for r in keys.collect()})
+    wanted = min(MOST_KEYS, KEYS_A_ROUTE * routes)
+    keys = suffixes(some, [], longest).where(share(wanted / max(1.0, words), "key")).select("key")
+    keys = sorted({bytes(r["key"])[:EDGE_BYTES] for r in keys.collect()})
     return sorted({keys[i * len(keys) // routes] for i in range(1, routes)}) if keys else []
 
 
@@ -290,7 +292,7 @@ def collocations(
     d = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
     bounds = range_bounds(d, longest, route_bytes)
     # Ranges follow the order of keys, so rows in the order of keys are in that of ranges too.
-    routed = suffixes(d, bounds, longest, segment).repartition(F.col("route")).sortWithinPartitions("key")
+    routed = suffixes(d, bounds, longest, segment).repartitionById(len(bounds) + 1, "route").sortWithinPartitions("key")
     counts = phrase_counts(routed, least).groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
     counts = written(counts.where((F.col("a") >= least) | (F.col("words") == 0)), "phrase-counts")
     totals = counts.where("words = 0").select("lang", F.col("a").alias("n"))

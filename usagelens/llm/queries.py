@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import ann, collocations, html_text, langid, minhash, mixing, packing, pii, quality, token_counts, topk
+from usagelens.llm import (
+    ann, collocations, hard_negatives, html_text, langid, minhash, mixing, packing, pii, quality, token_counts,
+    token_files, topk,
+)
 from usagelens.plans.views import table
 
 
@@ -55,16 +58,51 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of rows whose id is divisible by 7 move on by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", moved.cast("bigint").alias("label"), "embedding")
+    return hard_negatives.hard_negatives(vectors)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.stored_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_token_counts, op3_exact_top_k, op4_packing, op5_main_text, op6_near_duplicates,
         op7_nearest_neighbours, op8_personal_data, op9_language_id, op10_mixing,
-        op11_collocations,
+        op11_collocations, op12_hard_negatives, op13_token_files,
     )
 }
 
 ORACLES = {
+    "op12_hard_negatives": """
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+    SELECT a.rid, a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same,
+        CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v a JOIN v c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id
+), p AS (
+    SELECT rid, anchor_id, id AS positive_id, score AS positive_score, r FROM (
+        SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, id) AS r FROM s WHERE same
+    ) WHERE r <= 5
+), n AS (
+    SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.rid, p.r ORDER BY s.score DESC, s.id) AS rank
+    FROM p JOIN s ON s.rid = p.rid AND NOT s.same
+        AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 3
+""",
     "op11_collocations": r"""
 WITH p AS (
     SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(

@@ -4,31 +4,28 @@ The rows of a shard are ordered so that like rows meet, and cut into blocks, ran
 block keeps the largest and smallest value of each term. For a query, the sum over terms of the
 better product is a bound on every score in the block. Blocks are taken in order of that sum and
 scored whole from their rows, until the bound is below the k-th best score. A query starts with the
-k-th score of its own shard, so other shards prune from the first block on.
+k-th score of its own shard and goes on with its best so far, so other shards prune from the first block on.
 
-Edge cases: null vectors, and vectors with a null, NaN or infinite component, take no part; of rows
-with one id, one counts; ties go to the smaller id; shorter vectors count as filled up with zeros;
-fewer candidates than k give all of them; an empty table gives an empty result.
+Edge cases: null vectors, and vectors with a null, NaN or infinite component, take no part; rows with
+the id of the query are not its candidates; rows that share an id are candidates each on their own,
+and what several queries of one id find is ranked together; ties go to the smaller id; shorter vectors count as
+filled up with zeros; fewer candidates than k give all of them; other columns are not looked at; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from usagelens.llm import shards as S
+from usagelens.llm.shards import NONE
 
 K = 5
 QUERY_EVERY = 50
 BLOCK_ROWS = 256
 SCALE = 256
-NONE = np.iinfo(np.int64).min + 1  # below every score; its negative is a number too
-
-
-def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    v = F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
-    return S.usable(vectors).select("vec_id", v.alias("v"))
 
 
 def like_rows(rows: np.ndarray, block: int = BLOCK_ROWS) -> np.ndarray:
@@ -46,25 +43,17 @@ def like_rows(rows: np.ndarray, block: int = BLOCK_ROWS) -> np.ndarray:
     return np.concatenate(done) if done else np.arange(0)
 
 
-def product(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; in doubles where every partial sum fits them."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, q.shape[1])
-    if top < 2**53:
-        return (q.astype(np.float64) @ rows.T.astype(np.float64)).astype(np.int64)
-    return q @ rows.T
-
-
 def block_search(
     q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int,
-    block: int = BLOCK_ROWS,
+    block: int = BLOCK_ROWS, score: np.ndarray | None = None, best: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, int]:
     """Best scores and ids per query (-1: none), and the number of scores made.
 
-    ``floor``: a score that k candidates of the query are known to reach, per query.
+    ``floor``: a score that k candidates of the query are known to reach, per query. ``score`` and
+    ``best``, if given, are what was found before; they are kept up to date.
     """
-    least = NONE
-    score = np.full((len(q), k), least)
-    best = np.full((len(q), k), -1, np.int64)
+    score = np.full((len(q), k), NONE) if score is None else score
+    best = np.full((len(q), k), -1, np.int64) if best is None else best
     edges = np.arange(0, len(rows), block)
     if not len(q) or not len(rows):
         return score, best, 0
@@ -85,26 +74,40 @@ def block_search(
         for b in np.unique(now):
             who = active[now == b]
             part = slice(edges[b], edges[b] + block)
-            s, cand = product(q[who], rows[part]), ids[part]
+            s, cand = S.product(q[who], rows[part]), ids[part]
             made += s.size
-            s[q_ids[who][:, None] == cand[None, :]] = least
-            hit = s.max(axis=1) >= np.maximum(score[who, k - 1], floor[who])
-            who, s = who[hit], s[hit]
-            all_s = np.concatenate([score[who], s], axis=1)
-            all_i = np.concatenate([best[who], np.broadcast_to(cand, s.shape)], axis=1)
-            all_i[all_s == least] = -1
-            pick = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-            score[who] = np.take_along_axis(all_s, pick, 1)
-            best[who] = np.take_along_axis(all_i, pick, 1)
+            need = np.maximum(score[who, k - 1], floor[who])
+            hit, col = np.nonzero((s >= need[:, None]) & (q_ids[who][:, None] != cand[None, :]))
+            if len(hit):
+                S.keep_best(score, best, who[hit], s[hit, col], cand[col], NONE)
     return score, best, made
 
 
+class Asked:
+    """A block of queries and its best so far."""
+
+    def __init__(self, rows: list[dict], k: int):
+        parts = [S.opened(r, "<i8") for r in rows]
+        self.ids, self.q = np.concatenate([p[0] for p in parts]), S.stacked([p[1] for p in parts])
+        self.floor = np.concatenate([np.frombuffer(r["extra"], np.int64) for r in rows])
+        self.score = np.full((len(self.ids), k), NONE)
+        self.best = np.full((len(self.ids), k), -1, np.int64)
+
+    def scan(self, row: dict) -> None:
+        ids, rows, _ = S.opened(row, "<i8")
+        q, rows = S.same_width(self.q, rows)
+        block_search(self.ids, q, self.floor, ids, rows, self.score.shape[1], score=self.score, best=self.best)
+
+    def result(self) -> pd.DataFrame:
+        return S.best_rows(self.ids, self.score, self.best, NONE)
+
+
 def top_k(
     vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, shard_rows: int = S.SHARD_ROWS
 ) -> DataFrame:
     """For each row with an id divisible by ``every``: its ``k`` best others."""
 
-    def arrange(ids: np.ndarray, rows: np.ndarray):
+    def arrange(ids: np.ndarray, rows: np.ndarray, labels: np.ndarray):
         order = like_rows(rows)
         ids, rows = ids[order], rows[order]
         asked = np.flatnonzero(ids % every == 0)
@@ -112,29 +115,7 @@ def top_k(
         own = block_search(ids[asked], rows[asked], none, ids, rows, k)[0][:, k - 1]
         return order, own.astype(np.int64).tobytes()
 
-    stored, n = S.build(quantized(vectors), "<i8", arrange, "topk-shards", shard_rows)
-
-    def questions(batches):
-        for frame in batches:
-            out = []
-            for row in frame.to_dict("records"):
-                ids, rows = S.opened(row, "<i8")
-                asked = ids % every == 0
-                if asked.any():
-                    out.append((row["dims"], ids[asked].tobytes(), rows[asked].tobytes(), row["extra"]))
-            if out:
-                yield type(frame)(out, columns=["q_dims", "q_ids", "q_data", "q_floor"])
-
-    queries = stored.mapInPandas(questions, "q_dims int, q_ids binary, q_data binary, q_floor binary")
-
-    def find(row):
-        ids, rows = S.opened(row, "<i8")
-        q_ids = np.frombuffer(row["q_ids"], np.int64)
-        q = np.frombuffer(row["q_data"], np.int64).reshape(len(q_ids), row["q_dims"])
-        floor = np.frombuffer(row["q_floor"], np.int64)
-        q, rows = S.same_width(q, rows)
-        score, best, _ = block_search(q_ids, q, floor, ids, rows, k)
-        some = score > NONE
-        return np.repeat(q_ids, k)[some.ravel()], best[some], score[some]
-
-    return S.search(stored, queries, n, find, "bigint", k)
+    stored = S.build(S.quantized(vectors, SCALE), "<i8", every, arrange, "topk-shards", shard_rows)
+    asked = S.queries(stored, every, lambda row, at: row["extra"])
+    found = S.search(stored, asked, lambda rows: Asked(rows, k), "query_id bigint, vec_id bigint, score bigint")
+    return S.ranked(found, k)
