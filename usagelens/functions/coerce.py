@@ -37,8 +37,11 @@ def strip(c: Column) -> Column:
 
 
 def drop_undecodable(c: Column) -> Column:
-    """Drop bytes that are not UTF-8."""
-    return F.replace(F.make_valid_utf8(c), F.lit(UNDECODABLE), F.lit(""))
+    """Drop bytes that are not UTF-8, and nothing else: a mark that was in the text itself stays."""
+    own = F.replace(F.replace(c, F.lit("\x01"), F.lit("\x01E")), F.lit(UNDECODABLE), F.lit("\x01F"))
+    clean = F.replace(F.make_valid_utf8(own), F.lit(UNDECODABLE), F.lit(""))
+    whole = F.replace(F.replace(clean, F.lit("\x01F"), F.lit(UNDECODABLE)), F.lit("\x01E"), F.lit("\x01"))
+    return F.when(F.is_valid_utf8(c), c).otherwise(whole)
 
 
 def first_filled(candidates: Iterable[Column]) -> Column:

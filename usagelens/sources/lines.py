@@ -24,6 +24,18 @@ def keep_last_key(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
+# Characters of one string that the plain JSON parser takes, and bytes that a VARIANT holds.
+STRING_LIMIT = 20_000_000
+VARIANT_BYTES = 128 << 20
+LONG_STRINGS = {"maxStringLen": str((1 << 31) - 1), "allowNonNumericNumbers": "false"}
+
+
+def parse_json(line: Column) -> Column:
+    """VARIANT of a JSON text, null if it is none. Texts with longer strings take a parser with a raised limit."""
+    long = F.when(F.length(line) > STRING_LIMIT, F.from_json(line, "variant", LONG_STRINGS))
+    return F.coalesce(F.try_parse_json(line), long)
+
+
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Every line as ``line``, with the file it comes from."""
     keep_last_key(spark)
@@ -35,7 +47,7 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def parse_objects(lines: DataFrame) -> DataFrame:
     """VARIANT column ``v`` for every line that is a JSON object; other lines are left out."""
-    parsed = F.when(F.startswith("line", F.lit("{")), F.try_parse_json("line"))
+    parsed = F.when(F.startswith("line", F.lit("{")), parse_json(F.col("line")))
     # Exploding an optional value drops the nulls and parses once; a filter on the parsed
     # column would be pushed below it and parse a second time.
     found = F.filter(F.array(parsed), lambda v: v.isNotNull())
@@ -47,7 +59,10 @@ def fault(line: Column) -> Column:
     """Why a line cannot be read, without its text; null for a good or blank line."""
     return (
         F.when(line == "", F.lit(None).cast("string"))
-        .when(F.try_parse_json(line).isNull(), F.lit("malformed JSON"))
+        .when(
+            parse_json(line).isNull(),
+            F.when(F.octet_length(line) > VARIANT_BYTES, F.lit("longer than 128 MB")).otherwise(F.lit("malformed JSON")),
+        )
         .when(~F.startswith(line, F.lit("{")), F.lit("expected a JSON object"))
     )
 

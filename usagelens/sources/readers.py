@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from usagelens.functions.coerce import UNDECODABLE
 from usagelens.schema import USAGE_SCHEMA
 from usagelens.sources import normalize as N
-from usagelens.sources.detect import detect_formats
+from usagelens.sources.csv_records import read_cells
+from usagelens.sources.detect import detect_formats, first_lines
 from usagelens.sources.lines import literal_paths, malformed_lines, parse_objects, read_lines, require_clean
 
 
@@ -25,12 +26,14 @@ def read_litellm(spark: SparkSession, paths: list[str], multiline: bool = True,
     return N.normalize_litellm(parse_objects(read_lines(spark, paths)), **options)
 
 
-def read_csv(spark: SparkSession, paths: list[str], multiline: bool = True) -> DataFrame:
-    """CSV cells as text. Files must share one header.
+def read_csv(spark: SparkSession, paths: list[str], multiline: bool = True, header: str | None = None) -> DataFrame:
+    """CSV cells as text. Files must share one ``header``, which is looked up if it is not given.
 
-    ``multiline`` accepts line feeds in quoted cells, at the price of one task per file; turn
-    it off for large files known to hold none, which makes them splittable.
+    Large files are read in splits. ``multiline`` accepts line feeds in quoted cells, for which the text is
+    scanned twice; turn it off for files known to hold none.
     """
+    if multiline:
+        return read_cells(spark, paths, first_lines(spark, paths[:1]).first()["head"] if header is None else header)
     rows = (
         spark.read.option("header", True)
         .option("inferSchema", False)
@@ -45,20 +48,20 @@ def read_csv(spark: SparkSession, paths: list[str], multiline: bool = True) -> D
     return rows.select(*clean, F.col("_metadata.file_path").alias("source_file"))
 
 
-def read_helicone(spark: SparkSession, paths: list[str], multiline: bool = True, **options):
-    return N.normalize_helicone(read_csv(spark, paths, multiline), **options)
+def read_helicone(spark: SparkSession, paths: list[str], multiline: bool = True, header: str | None = None, **options):
+    return N.normalize_helicone(read_csv(spark, paths, multiline, header), **options)
 
 
 def read_helicone_log(spark: SparkSession, paths: list[str], multiline: bool = True, **options):
     return N.normalize_helicone_log(parse_objects(read_lines(spark, paths)), **options)
 
 
-def read_openai(spark: SparkSession, paths: list[str], multiline: bool = True, **_options):
-    return N.normalize_openai(read_csv(spark, paths, multiline))
+def read_openai(spark: SparkSession, paths: list[str], multiline: bool = True, header: str | None = None, **_options):
+    return N.normalize_openai(read_csv(spark, paths, multiline, header))
 
 
-def read_anthropic(spark: SparkSession, paths: list[str], multiline: bool = True, **_options):
-    return N.normalize_anthropic(read_csv(spark, paths, multiline))
+def read_anthropic(spark: SparkSession, paths: list[str], multiline: bool = True, header: str | None = None, **_options):
+    return N.normalize_anthropic(read_csv(spark, paths, multiline, header))
 
 
 CSV_READERS: dict[str, Callable[..., DataFrame]] = {
@@ -114,8 +117,9 @@ def file_groups(spark: SparkSession, paths: list[str], fmt: str | None) -> dict[
 
 def read_groups(spark: SparkSession, groups: dict, **options) -> DataFrame:
     frames = [
-        (LINE_READERS if lines else CSV_READERS)[kind](spark, sorted(files), **options)
-        for (kind, lines, _), files in sorted(groups.items())
+        LINE_READERS[kind](spark, sorted(files), **options) if lines
+        else CSV_READERS[kind](spark, sorted(files), header=header, **options)
+        for (kind, lines, header), files in sorted(groups.items())
     ]
     return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], USAGE_SCHEMA)
 
