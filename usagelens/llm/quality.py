@@ -30,7 +30,7 @@ PAD = 256
 SAMPLE_ROWS = 4000  # labelled rows that the network is fitted on, about
 SAMPLE_CHARS = 20000  # of texts no longer than this
 STEP_CHUNKS = 12  # chunks of a document that one training step reads
-EPOCHS = 8
+STEPS = 1000  # of training, whatever the number of rows
 BATCH_DOCS = 32
 SCORE_CHUNKS = 128  # chunks in one product when scoring
 THRESHOLD = 0.3
@@ -147,8 +147,8 @@ class Network:
         }
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Fit by Adam on whole documents, or on chunks drawn anew each epoch from long ones."""
+def train(texts: list[str | None], labels: list[int], steps: int = STEPS, seed: int = SEED) -> Network:
+    """Fit by Adam on whole documents, or on chunks drawn anew each time from long ones."""
     net, rng = Network(seed), np.random.default_rng(seed)
     y = np.array(labels, np.float64)
     cut = [chunks(t) for t in texts]
@@ -156,21 +156,20 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
     net.p["base"][0] = np.log(rate / (1 - rate))
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step = 0
-    for epoch in range(epochs):
-        lr = 0.01 * (1 - epoch / epochs) + 0.0005
-        order = rng.permutation(len(cut))
-        for at in range(0, len(order), BATCH_DOCS):
-            batch = order[at : at + BATCH_DOCS]
-            docs = [
-                cut[i] if len(cut[i]) <= STEP_CHUNKS else cut[i][np.sort(rng.choice(len(cut[i]), STEP_CHUNKS, False))]
-                for i in batch
-            ]
-            step += 1
-            for k, g in net.gradients(docs, y[batch]).items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                s[k] = 0.99 * s[k] + 0.01 * g * g
-                net.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+    order = np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        lr = 0.01 * (1 - step / steps) + 0.0005
+        if not len(order):
+            order = rng.permutation(len(cut))
+        batch, order = order[:BATCH_DOCS], order[BATCH_DOCS:]
+        docs = [
+            cut[i] if len(cut[i]) <= STEP_CHUNKS else cut[i][np.sort(rng.choice(len(cut[i]), STEP_CHUNKS, False))]
+            for i in batch
+        ]
+        for k, g in net.gradients(docs, y[batch]).items():
+            m[k] = 0.9 * m[k] + 0.1 * g
+            s[k] = 0.99 * s[k] + 0.01 * g * g
+            net.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     return net
 
 
