@@ -6,11 +6,13 @@ largest sum wins; its score is its share after a softmax over the sums, divided
 number of words, so that long texts do not all score 1.
 
 The model is fitted on a bounded sample of labelled rows, chosen by hash, and holds a bounded number
-of words and n-grams.
+of words and n-grams: one matrix of numbers, and the row of each word or n-gram. A word is a run of
+letters (Unicode's category L), when learning and when predicting.
 
 Edge cases: ``und`` with score 0 for a null text, a text without letters, or without a model (no
-labelled rows); repeated rows are predicted each on their own; an empty table gives an empty result;
-other columns are not looked at.
+labelled rows); texts of any length are read whole; repeated rows are predicted each on their own; an
+empty table gives an empty result; other columns are carried along and not looked at, and columns
+named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from usagelens.storage import written
 
@@ -34,9 +36,11 @@ MAX_GRAMS = 100_000
 LEAST_ROWS = 200  # of a language, whatever the bounds
 LEAST_ENTRIES = 1000  # words, and n-grams, of a language, whatever the bounds
 LONGEST_GRAM = 4
-CACHE = 200_000
+CACHE = 50_000  # unseen words whose logs a worker keeps
+CACHED_CHARS = 64  # of the longest of them
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
+EXACT = regex.compile(r"\p{L}+")
 SMOOTH = 0.5
 
 
@@ -44,32 +48,31 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
+def words_of(text: str) -> Iterable[str]:
+    for run in LETTERS.findall(text.lower()):
+        if run.isalpha():
+            yield run
+        else:  # numerals that are no digits, as in a fraction, are no letters
+            yield from EXACT.findall(run)
+
+
 class Model:
-    """Log frequencies per language of words and n-grams."""
-
-    def __init__(self, words: dict[str, np.ndarray], grams: dict[str, np.ndarray], langs: list[str]):
-        self.langs, self.cache = langs, {}
-        n = max(1, len(langs))
-        total = lambda t: sum(t.values(), np.zeros(n))
-        self.words = self._logs(words, total(words))
-        by_size = [{g: c for g, c in grams.items() if len(g) == i} for i in range(1, LONGEST_GRAM + 1)]
-        self.grams = {}
-        for own in by_size:
-            self.grams.update(self._logs(own, total(own)))
-
-    @staticmethod
-    def _logs(counts: dict[str, np.ndarray], total: np.ndarray) -> dict[str, np.ndarray]:
-        base = np.log(total + SMOOTH * max(1, len(counts)))
-        return {w: (np.log(c + SMOOTH) - base).astype(np.float32) for w, c in counts.items()}
+    """Log frequencies per language of words and n-grams, a row of one matrix each."""
+
+    def __init__(self, words: dict[str, int], grams: dict[str, int], logs: np.ndarray, langs: list[str]):
+        self.words, self.grams, self.langs = words, grams, langs
+        self.logs = logs  # of all words and n-grams
+        self.cache: dict[str, int] = {}
+        self.kept = np.zeros((0, logs.shape[1]), np.float32)
 
     def unseen(self, word: str) -> np.ndarray:
         padded, i, steps = f" {word} ", 0, 0
-        out = np.zeros(max(1, len(self.langs)), np.float32)
+        out = np.zeros(self.logs.shape[1], np.float32)
         while i < len(padded):
             for size in range(LONGEST_GRAM, 0, -1):
                 known = self.grams.get(padded[i : i + size])
                 if known is not None:
-                    out += known
+                    out += self.logs[known]
                     steps += 1
                     break
             else:
@@ -77,21 +80,38 @@ class Model:
             i += max(1, size - 1)
         return out / max(1, steps)
 
-    def word(self, word: str) -> np.ndarray:
-        got = self.words.get(word)
-        if got is None and (got := self.cache.get(word)) is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            got = self.cache[word] = self.unseen(word)
-        return got
+    def _places(self, words: Iterable[str]) -> list[int | str]:
+        """Rows of words: of the matrix, or after its end of the unseen words kept; else the word."""
+        if not len(self.kept):
+            self.kept = np.zeros((2 * CACHE, self.logs.shape[1]), np.float32)
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        n, spare, out = len(self.logs), len(self.kept), []
+        for word in words:
+            at = self.words.get(word)
+            if at is None and (at := self.cache.get(word)) is None:
+                if len(word) > CACHED_CHARS or len(self.cache) == spare:
+                    out.append(word)
+                    continue
+                self.kept[len(self.cache)] = self.unseen(word)
+                at = self.cache[word] = n + len(self.cache)
+            out.append(at)
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        seen = Counter(LETTERS.findall(text.lower())) if text else None
+        seen = Counter(words_of(text)) if text else None
         if not seen or not self.langs:
             return UNKNOWN, 0.0
-        rows = np.array([self.word(w) for w in seen])
         counts = np.fromiter(seen.values(), np.float64, len(seen))
-        sums = counts @ rows / math.sqrt(counts.sum())
+        places = self._places(seen)
+        sums = np.zeros(self.logs.shape[1])
+        at = np.array([p if isinstance(p, int) else -1 for p in places])
+        known, kept = (at >= 0) & (at < len(self.logs)), at >= len(self.logs)
+        sums += counts[known] @ self.logs[at[known]]
+        sums += counts[kept] @ self.kept[at[kept] - len(self.logs)]
+        for i in np.flatnonzero(at < 0):
+            sums += counts[i] * self.unseen(places[i])
+        sums /= math.sqrt(counts.sum())
         odds = np.exp(sums - sums.max())
         best = int(sums.argmax())
         return self.langs[best], float(odds[best] / odds.sum())
@@ -135,7 +155,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WO
         top = df.withColumn("rank", rank).where((F.col("rank") <= each) & ((F.col("count") > 1) | (F.col("rank") <= LEAST_ENTRIES)))
         return [tuple(r) for r in top.select("lang", key, "count").collect()]
 
-    return Model(*_tables(bounded(counts, "word", max_words), bounded(grams, "gram", max_grams)))
+    return _model(bounded(counts, "word", max_words), bounded(grams, "gram", max_grams))
 
 
 def _grams(word: str):
@@ -151,41 +171,47 @@ def _grams(word: str):
     return F.concat(*runs, longest)
 
 
-def _tables(words: list[tuple], grams: list[tuple]):
+def _model(words: list[tuple], grams: list[tuple]) -> Model:
     langs = sorted({r[0] for r in words} | {r[0] for r in grams})
     at = {lang: i for i, lang in enumerate(langs)}
 
-    def table(rows):
-        out: dict[str, np.ndarray] = {}
+    def logs(rows: list[tuple], first: int) -> tuple[dict[str, int], np.ndarray]:
+        place: dict[str, int] = {}
+        for _, key, _ in rows:
+            place.setdefault(key, first + len(place))
+        counts = np.zeros((len(place), max(1, len(langs))))
         for lang, key, count in rows:
-            out.setdefault(key, np.zeros(len(langs)))[at[lang]] = count
-        return out
+            counts[place[key] - first, at[lang]] = count
+        base = np.log(counts.sum(axis=0) + SMOOTH * max(1, len(place)))
+        return place, (np.log(counts + SMOOTH) - base).astype(np.float32)
 
-    return table(words), table(grams), langs
+    words_at, parts = logs(words, 0)
+    grams_at, matrix = {}, [parts]
+    for size in range(1, LONGEST_GRAM + 1):  # each length has its own frequencies
+        own, part = logs([r for r in grams if len(r[1]) == size], sum(map(len, matrix)))
+        grams_at.update(own)
+        matrix.append(part)
+    return Model(words_at, grams_at, np.concatenate(matrix), langs)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` with lang_pred and lang_score, which replace columns of these names."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by max_words and max_grams
-    names = docs.columns
-    made = [n for n in ("lang_pred", "lang_score") if n in names]
-    kept = docs.drop(*made)
-    schema = StructType(
-        [*kept.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]
-    )
-    at = kept.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
+
+    @F.arrow_udf("lang_pred string, lang_score double")
+    def predicted(texts: pa.Array) -> pa.Array:
         own = shared.value
-        for batch in batches:
-            got = [own.predict(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "lang_score"],
-            )
-
-    return kept.mapInArrow(run, schema)
+        got = [own.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays(
+            [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
+            names=["lang_pred", "lang_score"],
+        )
+
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
+    inner = [F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)]  # no clash with what is made here
+    got = docs.select(*inner, predicted("text").alias("made"))
+    kept = [F.col(f"in_{i}").alias(c) for i, c in enumerate(names)]
+    return got.select(*kept, "made.lang_pred", "made.lang_score")
 
 
 def identify(docs: DataFrame, **bounds) -> DataFrame:
