@@ -11,7 +11,8 @@ in random page plans, with known labels, with or without telling tags and attrib
 article or main element give labels of their own.
 
 Edge cases: a null, empty or markup-free page is its own text or an empty one; unclosed, misnested and
-truncated markup is repaired in part; character references are decoded once; repeated rows are
+truncated markup is repaired in part, and a quote that is never closed ends with its tag; pages of
+any length are read whole, forward only; character references are decoded once; repeated rows are
 extracted each on their own; an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -21,7 +22,7 @@ import html
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,10 +56,14 @@ SIBLINGS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
     "th": ("td", "th"), "option": ("option",),
 }
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S
-)
-NAMED = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+MARK = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+PLAIN = re.compile(r"((?:\s++[a-zA-Z-]++(?:=\"[^\"<>]*+\")?+)*+)\s*+/?>")  # what most tags hold after their name
+SKIP = re.compile(r"[\s/]*+")
+ATTRIBUTE = re.compile(r"(=?[^\s/>=]*+)(\s*+=\s*+)?+")
+VALUE = re.compile(r"[^\s>]*+")
+NAMED = re.compile(r"(class|id|role)=(\"[^\"]*\")", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 STOP = re.compile(r"[.!?,;:]")
 
@@ -75,34 +80,83 @@ class Node:
             parent.parts.append(self)
 
 
+def attributes(page: str, at: int, unclosed: set[str]) -> tuple[int, list[str]]:
+    """Where the tag ends whose name ends at ``at``, and the values of its telling attributes.
+
+    Reads forward only. A quote that is never closed does not hide the rest of the page: its value ends
+    like one without quotes. ``unclosed`` holds the quotes known not to come again.
+    """
+    if plain := PLAIN.match(page, at):
+        return plain.end(), [m[2] for m in NAMED.finditer(plain[1])] if plain[1] else []
+    told = []
+    while True:
+        at = SKIP.match(page, at).end()
+        if at >= len(page) or page[at] == ">":
+            return min(at + 1, len(page)), told
+        own = ATTRIBUTE.match(page, at)
+        at = own.end()
+        if not own[2]:
+            continue
+        begin, quote, close = at, page[at : at + 1], -1
+        if quote in ('"', "'") and quote not in unclosed:
+            close = page.find(quote, at + 1)
+            if close < 0:
+                unclosed.add(quote)
+        at = close + 1 if close >= 0 else VALUE.match(page, at).end()
+        if own[1].lower() in ("class", "id", "role"):
+            told.append(page[begin:at])
+
+
+class Open:
+    """The open elements, and where those of each tag stand among them."""
+
+    def __init__(self, root: "Node"):
+        self.stack, self.where = [root], defaultdict(list)
+
+    def push(self, node: "Node") -> None:
+        self.where[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.where[self.stack.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The place of the last open element of these tags; 0 if there is none."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+
+    def close(self, tags) -> None:
+        """Close the last of these tags unless a barrier or a list stands above it."""
+        at = self.last(tags)
+        if at and at >= self.last(BARRIER) and (at > self.last(("ul", "ol", "dl"))):
+            self.cut(at)
+
+
 def parse(page: str) -> Node:
     root = Node("#root", (), None)
-    open_, at = [root], 0
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            open_[-1].parts.append(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if not name:
+    open_, at, unclosed = Open(root), 0, set()
+    while mark := MARK.search(page, at):
+        begin = mark.start()
+        if begin > at:
+            open_.stack[-1].parts.append(page[at:begin])
+        tag = TAG.match(page, begin)
+        if tag is None:
+            at = OTHER.match(page, begin).end()
             continue
-        name = name.lower()
-        if m[1]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == name:
-                    del open_[i:]
-                    break
-                if name in INLINE and open_[i].tag in BARRIER:
-                    break
+        at, told = attributes(page, tag.end(), unclosed)
+        name = tag[2].lower()
+        if tag[1]:
+            own = open_.last((name,))
+            if own and (name not in INLINE or own > open_.last(BARRIER)):
+                open_.cut(own)
             continue
         if name in CLOSES_P:
-            _close(open_, ("p",))
+            open_.close(("p",))
         if name in SIBLINGS:
-            _close(open_, SIBLINGS[name])
-        tokens = tuple(
-            w.lower() for a in NAMED.finditer(m[3]) for w in WORD.findall(a[2])
-        ) if m[3] else ()
-        node = Node(name, tokens, open_[-1])
-        if name in VOID or m[3].endswith("/") and name not in INLINE | CLOSES_P:
+            open_.close(SIBLINGS[name])
+        tokens = tuple(w.lower() for value in told for w in WORD.findall(value))
+        node = Node(name, tokens, open_.stack[-1])
+        if name in VOID or page[at - 2 : at] == "/>" and name not in INLINE | CLOSES_P:
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -110,21 +164,12 @@ def parse(page: str) -> Node:
             node.parts.append(page[at:stop])
             at = end.end() if end else len(page)
             continue
-        open_.append(node)
+        open_.push(node)
     if at < len(page):
-        open_[-1].parts.append(page[at:])
+        open_.stack[-1].parts.append(page[at:])
     return root
 
 
-def _close(open_: list[Node], names: tuple[str, ...]) -> None:
-    for i in range(len(open_) - 1, 0, -1):
-        if open_[i].tag in names:
-            del open_[i:]
-            return
-        if open_[i].tag in BARRIER or open_[i].tag in ("ul", "ol", "dl"):
-            return
-
-
 def listed(root: Node) -> list[Node]:
     """Nodes that can be kept, parents first. Text beside block elements becomes a node of its own."""
     out, todo = [], [root]
