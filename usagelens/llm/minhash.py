@@ -122,8 +122,11 @@ SETS = "doc_id bigint, row bigint, n_shingles bigint, k1 bigint, k2 bigint, sig
 FULL = "k1 bigint, k2 bigint, members binary"
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """Per document its set's size, name and signature. ``row`` names the row once this is written."""
+def shingle_sets(docs: DataFrame, words: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document its set's size, name and signature, and bigint columns of its own to ``carry``.
+
+    ``row`` names the row once this is written.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -140,12 +143,13 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * COORDINATES)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(range(row, row + len(n)), pa.int64()), pa.array(n, pa.int64()),
-                 pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(offsets, values)],
-                names=["doc_id", "row", "n_shingles", "k1", "k2", "sig"],
+                 pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(offsets, values),
+                 *batch.columns[2:]],
+                names=["doc_id", "row", "n_shingles", "k1", "k2", "sig", *carry],
             )
             row += len(n)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SETS)
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, SETS + "".join(f", {c} bigint" for c in carry))
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -189,7 +193,18 @@ def near_duplicates(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, matches: int = MATCHES
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
-    sets = written(shingle_sets(docs, words), "sets")
+    return linked(docs, words, percent, matches).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def linked(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, matches: int = MATCHES, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``near_duplicates`` with bigint columns to ``carry`` and ``component``, which names a row's component.
+
+    It differs from component_id where rows with one id lie in several components; it is null for rows
+    that link nothing by definition.
+    """
+    sets = written(shingle_sets(docs, words, carry), "sets")
     real = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = written(
         real.groupBy("k1", "k2").agg(
@@ -223,12 +238,15 @@ def near_duplicates(
         full_sets(texts, words).join(named, ["k1", "k2"]).select("node", "members").dropDuplicates(["node"]), "full-sets"
     )
 
-    def verified(found: DataFrame, rest: bool) -> DataFrame:
-        """Distinct (u, v) with enough collisions, compared on their full sets."""
-        side = lambda x: own.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}"), F.col("n").alias(f"n_{x}"))
-        blob = lambda x: full.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}"))
+    def colliding(found: DataFrame) -> DataFrame:
+        """The (u, v) of ``found`` with enough collisions."""
+        side = lambda x: own.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}"))
         p = found.join(side("u"), "u").join(side("v"), "v")
-        p = p.where(F.size(F.array_intersect("own_u", "own_v")) >= matches).select("u", "v", "n_u", "n_v")
+        return p.where(F.size(F.array_intersect("own_u", "own_v")) >= matches).select("u", "v")
+
+    def verified(p: DataFrame, rest: bool) -> DataFrame:
+        """Distinct (u, v) compared on their full sets."""
+        blob = lambda x: full.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}"))
         sets_of = p.join(blob("u"), "u").join(blob("v"), "v").select("u", "v", "set_u", "set_v")
         sizes = classes.select("node", "n")
         got = compared(sets_of, rest).join(sizes.select(F.col("node").alias("u"), F.col("n").alias("n_u")), "u")
@@ -238,25 +256,26 @@ def near_duplicates(
         return pairs.where(alike(F.col("both"), F.col("n_u"), F.col("n_v"), percent)).select("u", "v")
 
     stars = posts.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-    near = verified(stars, True)
+    near = verified(colliding(stars), True)
     labels = written(components(links_of(near)), "labels")
-    groups = Groups(posts, near, labels)
-    central = links_of(verified(groups.with_centres(), False))
+    groups = Groups(posts, near, labels, own.select("node", "own"), matches)
+    central = links_of(verified(colliding(groups.with_centres()), False))
     labels = written(components(central.unionByName(_stars(labels))), "labels")
     left = links_of(verified(groups.left(labels, percent), False))
     labels = written(components(left.unionByName(_stars(labels))), "labels")
 
     least = classes.join(labels, "node").groupBy("label").agg(F.min("first_doc").alias("component"))
-    linked = labels.join(least, "label").select("node", "component")
-    known = classes.join(linked, "node", "left").select(
-        "k1", "k2", F.coalesce("component", "first_doc").alias("component")
+    smallest = labels.join(least, "label").select("node", "label", F.col("component").alias("smallest"))
+    known = classes.join(smallest, "node", "left").select(
+        "k1", "k2", F.coalesce("label", "node").alias("component"), F.coalesce("smallest", "first_doc").alias("smallest")
     )
     has = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    keyed = sets.select("doc_id", "n_shingles", F.when(has, F.col("k1")).alias("k1"), F.when(has, F.col("k2")).alias("k2"))
-    out = keyed.join(known, ["k1", "k2"], "left")
-    component = F.coalesce("component", "doc_id")
+    ends = [F.when(has, F.col(k)).alias(k) for k in ("k1", "k2")]
+    out = sets.select("doc_id", "n_shingles", *carry, *ends).join(known, ["k1", "k2"], "left")
+    component_id = F.coalesce("smallest", "doc_id")
     return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"),
+        "component", *carry,
     )
 
 
@@ -288,7 +307,8 @@ class Groups:
     all connected; ``rest`` holds the shingles beside p.
     """
 
-    def __init__(self, posts: DataFrame, near: DataFrame, labels: DataFrame):
+    def __init__(self, posts: DataFrame, near: DataFrame, labels: DataFrame, signatures: DataFrame, matches: int):
+        self.signatures, self.matches = signatures, matches
         own = near.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "both", "rest")
         self.lists = written(posts.join(own.drop("rest"), ["pivot", "node"], "left"), "lists")
         group = self.lists.where("both is not null").select("pivot", "node", "both", "n").distinct()
@@ -321,24 +341,31 @@ class Groups:
         m = min(|a & P|, |b & P|) shingles, and m must do for their sizes. Members not compared with
         p are paired with all others of the list whose size allows it.
         """
+        def collide(few: DataFrame, every: DataFrame, key: list[str], fits: Column) -> DataFrame:
+            """Pairs of a key that fit and have enough collisions, counted where they meet."""
+            a = few.join(self.signatures.select(F.col("node").alias("a_node"), F.col("own").alias("a_own")), "a_node")
+            b = every.join(self.signatures, "node")
+            enough = F.size(F.array_intersect("a_own", "own")) >= self.matches
+            return a.join(b, key).where(_apart() & fits & enough)
+
         few, every = _few_with_all(_labelled(self.members, labels), ["pivot"])
         m = F.least("a_both", "both")
         # With the smallest other member a member must be able to reach the likeness at all.
         least_n = every.groupBy("pivot").agg(F.min("n").alias("least_n"))
         few = few.join(least_n, "pivot").where(alike(F.col("a_both"), F.col("a_n"), F.col("least_n"), percent)).drop("least_n")
-        bounded = few.join(every, "pivot").where(_apart() & alike(m, F.col("a_n"), F.col("n"), percent))
+        bounded = collide(few, every, ["pivot"], alike(m, F.col("a_n"), F.col("n"), percent))
 
         seldom = self.held.where(F.col("holders") < USUAL).select("pivot", "shingle")
         rest = self.rest.join(seldom, ["pivot", "shingle"]).join(
             every.select("pivot", "node", "label"), ["pivot", "node"]
         )
         few, every = _few_with_all(rest, ["pivot", "shingle"])
-        shared = few.join(every, ["pivot", "shingle"]).where(_apart())
+        shared = collide(few, every, ["pivot", "shingle"], F.lit(True))
 
         far = self.lists.select("pair", "node", "n", F.col("both").isNull().alias("far"))
         few, every = _few_with_all(_labelled(far, labels), ["pair"])
         fits = 100 * F.least("a_n", "n") >= percent * F.greatest("a_n", "n")
-        met = few.join(every, "pair").where(_apart() & (F.col("far") | F.col("a_far")) & fits)
+        met = collide(few, every, ["pair"], (F.col("far") | F.col("a_far")) & fits)
 
         ends = [F.least("a_node", "node").alias("u"), F.greatest("a_node", "node").alias("v")]
         return bounded.select(ends).unionByName(shared.select(ends)).unionByName(met.select(ends)).distinct()
