@@ -44,6 +44,7 @@ MOST_KEYS = 1 << 20
 SEGMENT = 2 << 20  # bytes of text whose pointers are sorted at once
 CUTOFF = 4096  # partitions up to this size are finished by one comparison sort
 BATCH_ROWS = 1 << 17
+SALTS = 32
 UNKNOWN = "und"
 
 _KIND = np.zeros(256, np.uint8)  # 0: word, 1: blank, 2: end of a piece
@@ -307,7 +308,11 @@ def collocations(
         F.array_join(F.slice("w", F.col("k") + 1, F.size("w") - F.col("k")), " ").alias("rest"),
     )
     part = lambda name, key: phrases.select("lang", F.col("phrase").alias(key), F.col("a").alias(name))
-    cuts = cuts.join(part("l", "first"), ["lang", "first"]).join(part("r", "rest"), ["lang", "rest"]).join(totals, "lang")
+    cuts = cuts.join(part("l", "first"), ["lang", "first"]).join(part("r", "rest"), ["lang", "rest"])
+    # A language may hold most candidates, so its total goes to several places.
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    cuts = cuts.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int"))
+    cuts = cuts.join(totals.select("lang", "n", spread), ["lang", "salt"])
     big = lambda c: F.col(c).cast("decimal(17,0)")
     cuts = cuts.withColumns({"up": F.lit(1000).cast("decimal(4,0)") * big("a") * big("n"), "down": big("l") * big("r")})
     cuts = cuts.withColumn("score", F.expr("up div down"))
