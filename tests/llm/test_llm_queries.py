@@ -79,9 +79,28 @@ def test_stages(spark, documents):
 
 def test_near_duplicate_stage_with_repeated_ids(spark, documents):
     text = "one two three four five six seven eight nine ten"
-    docs = documents([(1, text), (1, text), (2, text + " eleven"), (2, "quite another text"), (None, "a b c"), (None, "a b c"), (3, "")])
-    got = Counter(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
-    assert got == {1: 1, 2: 1, None: 2, 3: 1} or got == {1: 1, 2: 2, None: 2, 3: 1}
+    docs = documents([
+        (1, text), (1, text), (2, text + " eleven"), (2, "quite another text"), (None, "a b c"), (None, "a b c"), (3, ""),
+        (3, ""), (3, None), (4, "a second text under one id"), (4, "and a third one that is not like it at all"),
+    ])
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == {
+        (1, text): 1, (2, "quite another text"): 1, (None, "a b c"): 2, (3, ""): 1, (3, None): 1,
+        (4, "a second text under one id"): 1, (4, "and a third one that is not like it at all"): 1,
+    }
+
+
+CLASHES = ["_text_key", "_k1", "key_1", "shard", "order_key", "rows", "in_0", "made", "lang_pred", "component"]
+
+
+def test_stages_keep_columns_that_clash_with_their_own(spark, documents):
+    docs = documents([(i, f"the text number {i} is here and there", "en", "s") for i in range(30)]).drop("lang_pred", "score")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASHES), name
 
 
 def test_mix_stage_with_equal_rows(spark, documents):
