@@ -37,18 +37,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id.
 
-    Rows that share an id and a text are one document. Rows without an id all stay.
+    A document is an id and a text: rows that share both are one document, rows that share an id alone
+    are judged each by its text. Of a group's documents with the smallest id, one stays. Rows without an id all stay.
     """
-    found = written(
-        minhash.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("kept and doc_id is not null"), "kept"
-    )
-    rows = found.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    alone = docs.join(rows.where("rows = 1").select("doc_id"), "doc_id", "leftsemi")
-    again = docs.join(rows.where("rows > 1").select("doc_id"), "doc_id", "leftsemi")
-    again = again.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
-    unnamed = docs.where(F.col("doc_id").isNull())
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return alone.select(names).unionByName(again.select(names)).unionByName(unnamed.select(names))
+    names = docs.columns
+    inner = {c: f"in_{i}" for i, c in enumerate(names)}  # no clash with the columns made here
+    d = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in inner.items()))
+    parts = [F.col(inner["doc_id"]), F.col(inner["text"])]
+    keys = {f"key_{i}": F.xxhash64(F.lit(i), parts[1].isNull(), *parts) for i in (1, 2)}
+    d = d.withColumns(keys)
+    plain = d.select(parts[0].alias("doc_id"), parts[1].alias("text"), *keys)
+    found = minhash.linked(plain, SHINGLE_WORDS, SIMILAR_PERCENT, carry=tuple(keys))
+    found = written(found.where("doc_id is not null").select("doc_id", "component", *keys), "groups")
+    first = F.min(F.struct("doc_id", *keys)).alias("one")
+    rows = found.groupBy(*keys).agg(F.count("*").alias("rows"))
+    stay = found.where("component is not null").groupBy("component").agg(first).select("one.key_1", "one.key_2")
+    stay = stay.unionByName(found.where("component is null").select(*keys).distinct())
+    stay = written(stay.join(rows, list(keys)), "stay")
+    alone = d.join(stay.where("rows = 1").select(*keys), list(keys), "leftsemi")
+    again = d.join(stay.where("rows > 1").select(*keys), list(keys), "leftsemi").dropDuplicates(list(keys))
+    unnamed = d.where(parts[0].isNull())
+    return alone.unionByName(again).unionByName(unnamed).select(*(F.col(a).alias(c) for c, a in inner.items()))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,19 +71,22 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A source's last draw takes its document whole too, so its words are near its target, not equal.
     """
+    names = docs.columns
+    inner = {c: f"in_{i}" for i, c in enumerate(names)}  # no clash with the columns made here
+    d = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in inner.items()))
     parts = ("doc_id", "source", "text")
-    flags = [F.col(c).isNull() for c in parts]
-    names = {k: F.xxhash64(F.lit(i), *flags, *parts) for i, k in enumerate(("_k1", "_k2"))}
-    d = docs.withColumns(names)
-    drawn = mixing.mixed_documents(d.select(*parts, *names), carry=tuple(names))
-    drawn = written(drawn.select("shard", "order_key", *names), "drawn")
+    own = [F.col(inner[c]) for c in parts]
+    keys = {f"key_{i}": F.xxhash64(F.lit(i), *(c.isNull() for c in own), *own) for i in (1, 2)}
+    d = d.withColumns(keys)
+    drawn = mixing.mixed_documents(d.select(*(c.alias(p) for c, p in zip(own, parts)), *keys), carry=tuple(keys))
+    drawn = written(drawn.select("shard", "order_key", *keys), "drawn")
     # Equal rows share their draws, so one of them stands for all.
-    equal = d.groupBy(*names).agg(F.count("*").alias("rows")).where("rows > 1").select(*names)
-    single = d.join(equal, list(names), "leftanti")
-    stands = d.join(equal, list(names), "leftsemi").dropDuplicates(list(names))
-    rows = single.unionByName(stands).join(drawn, list(names))
+    equal = d.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1").select(*keys)
+    single = d.join(equal, list(keys), "leftanti")
+    stands = d.join(equal, list(keys), "leftsemi").dropDuplicates(list(keys))
+    rows = single.unionByName(stands).join(drawn, list(keys))
     rows = rows.repartition("shard").sortWithinPartitions("shard", "order_key")
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.select(*(F.col(a).alias(c) for c, a in inner.items()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
