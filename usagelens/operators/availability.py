@@ -22,7 +22,7 @@ NEEDS = {
     "spend_by_model_day": "has_tokens or has_cost",
     "token_histograms": "per_request and has_tokens",
     "duplicate_prompts": "has_prompt_text",
-    "model_mix": "true",
+    "model_mix": "has_rows",
     "error_rate": "per_request",
     "temporal_patterns": "has_timestamp",
     "long_context_tail": "per_request and has_tokens and has_input_tokens",
@@ -31,6 +31,8 @@ NEEDS = {
 
 def availability(capabilities: DataFrame) -> DataFrame:
     """(source_format, metric, status, reason), seven rows per format."""
+    if "has_rows" not in capabilities.columns:  # flags of rows that are there
+        capabilities = capabilities.withColumn("has_rows", F.lit(True))
     rows = F.array(
         *[F.struct(F.lit(m).alias("metric"), F.expr(NEEDS[m]).alias("ok")) for m in METRICS]
     )

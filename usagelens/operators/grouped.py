@@ -19,8 +19,13 @@ def rate(part: Column, whole: Column) -> Column:
     return F.coalesce(F.bround(F.try_divide(part.cast("double"), whole.cast("double")), RATE_PLACES), F.lit(0.0))
 
 
+def is_request_log() -> Column:
+    """Whether a source holds one row a request. A source is a format, or a format and a file after a colon."""
+    return F.substring_index("source_format", ":", 1).isin(*REQUEST_FORMATS)
+
+
 def per_request(df: DataFrame) -> DataFrame:
-    return df.where(F.col("source_format").isin(*REQUEST_FORMATS))
+    return df.where(is_request_log())
 
 
 def totals(cube: DataFrame) -> DataFrame:
@@ -32,12 +37,27 @@ def totals(cube: DataFrame) -> DataFrame:
     )
 
 
+FLAGS = ("has_rows", "has_prompt_text", "has_cost", "has_tokens", "has_timestamp", "has_input_tokens")
+
+
+def with_all_sources(metric: DataFrame, sources: DataFrame, **otherwise: Column) -> DataFrame:
+    """``metric`` with a row for each of ``sources`` (source_format), also those without rows."""
+    every = metric.join(sources, "source_format", "full")
+    return every.withColumns({c: F.coalesce(c, v) for c, v in otherwise.items()})
+
+
+def capabilities_of(cube: DataFrame, sources: DataFrame) -> DataFrame:
+    """``capabilities`` of all ``sources``; one without rows can tell nothing but its kind."""
+    none = {c: F.lit(False) for c in FLAGS}
+    flags = capabilities(cube).withColumn("has_rows", F.lit(True))
+    return with_all_sources(flags, sources, per_request=is_request_log(), **none)
+
+
 def capabilities(cube: DataFrame) -> DataFrame:
-    """What each source can tell: five flags per format."""
-    is_request_log = F.col("source_format").isin(*REQUEST_FORMATS)
+    """What each source can tell: six flags per format."""
     return cube.groupBy("source_format").agg(
-        F.max(is_request_log).alias("per_request"),
-        F.max(is_request_log & F.col("has_prompt")).alias("has_prompt_text"),
+        F.max(is_request_log()).alias("per_request"),
+        F.max(is_request_log() & F.col("has_prompt")).alias("has_prompt_text"),
         F.max(F.col("cost").isNotNull()).alias("has_cost"),
         F.max((F.col("input_records") > 0) | (F.col("output_records") > 0)).alias("has_tokens"),
         F.max(F.col("day") != UNKNOWN).alias("has_timestamp"),

@@ -378,6 +378,59 @@ FROM lineitem GROUP BY 1, 2""",
     count(*) AS n_requests, CAST(0 AS BIGINT) AS input_tokens, CAST(0 AS BIGINT) AS output_tokens,
     round(sum(l_quantity), 6) AS cost_usd
 FROM lineitem GROUP BY 2, 3""",
+    "request_log_any_case": f"""WITH c AS (
+    SELECT *, {raw.NUMBER_CELL} AS number, {raw.STATUS_CELL} AS code,
+        CASE WHEN event_id % 2 = 0 AND props <> '' THEN lower(props) WHEN event_id % 3 = 0 THEN lower(event_type) END AS text
+    FROM events)
+SELECT event_type AS route, count(*) AS rows, count(ts) AS dated, CAST(sum({_whole('number')}) AS BIGINT) AS input_tokens,
+    CAST(sum(event_id) AS BIGINT) AS output_tokens, count(*) FILTER (WHERE {_http_error('code')}) AS errors,
+    count(nullif(trim(text), '')) AS prompts, count(DISTINCT nullif(trim(text), '')) AS distinct_prompts
+FROM c GROUP BY 1""",
+    "long_log_lines": """SELECT event_type AS model, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS input_tokens,
+    count(*) AS prompts, count(DISTINCT event_id) AS distinct_prompts, CAST(0 AS BIGINT) AS faults
+FROM events GROUP BY 1""",
+    "quoted_csv": f"""WITH c AS (
+    SELECT event_type AS route, event_id AS input_tokens, event_id || ', said "' || event_type || '"\n\n'
+        || repeat('",\n', CAST(event_id % 7 AS BIGINT)) || coalesce(props, '') AS cell FROM events),
+t AS (SELECT *, lower(trim(regexp_replace(cell, '\\s+', ' ', 'g'))) AS text FROM c)
+SELECT route, input_tokens, sha256('{DEFAULT_SALT}' || text) AS prompt_hash FROM t""",
+    "reports_by_file": f"""WITH {_LOG_ROWS},
+activity AS (
+    SELECT CASE WHEN floor(l_quantity) = 1 THEN 1 ELSE floor(l_quantity - 1) END AS n,
+        floor(l_extendedprice) AS i, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey END AS o FROM lineitem)
+SELECT {_LOG} AS source_format, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+    CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+    (SELECT count(*) FROM events WHERE event_type = 'error' OR event_id % 7 = 0) AS errors,
+    CAST(7 AS BIGINT) AS computed_metrics FROM seen
+UNION ALL SELECT {_BILL}, CAST(sum(n) AS BIGINT), CAST(sum(i) AS BIGINT), CAST(sum(o) AS BIGINT), NULL, 3 FROM activity
+UNION ALL SELECT 'helicone', 0, 0, 0, 0, 1""",
+    "report_document": f"""WITH {_USAGE}, {_DOCS}, {_NEAR}, {_DOC_STATS}, {_LINES},
+parts AS (
+    SELECT *, CASE metric WHEN 'spend_by_model_day' THEN 1 WHEN 'token_histograms' THEN 2 WHEN 'duplicate_prompts' THEN 3
+        WHEN 'model_mix' THEN 4 WHEN 'tier_models' THEN 4 WHEN 'error_rate' THEN 5 WHEN 'by_day' THEN 6
+        WHEN 'by_hour' THEN 6 ELSE 7 END AS section, CASE metric WHEN 'by_hour' THEN 3 ELSE 1 END AS slot,
+        CASE metric WHEN 'tier_models' THEN 1 ELSE 0 END AS sub, split_part(key, ' ', 1) AS list
+    FROM lines WHERE metric <> 'report')
+SELECT source_format, section, slot, sub, count(*) AS elements,
+    count(*) - CASE sub WHEN 1 THEN count(DISTINCT list) ELSE 1 END AS after_others
+FROM parts GROUP BY 1, 2, 3, 4""",
+    "fragment_audit": r"""WITH d AS (SELECT doc_id, text, substr(text, doc_id % 50 + 1, doc_id % 60) AS cut FROM documents),
+plain AS (SELECT trim(regexp_replace(text, '[ 	
+]+', ' ', 'g'), ' ') AS t FROM d),
+blocks AS (
+    SELECT DISTINCT lower(unnest(list_transform(range(0, CAST(length(t) // 16 AS BIGINT)), lambda i: substr(t, i * 16 + 1, 16)))) AS b
+    FROM plain WHERE length(t) >= 16),
+cells AS (
+    SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'cut' ELSE 'reversed' END AS "column",
+        CASE doc_id % 2 WHEN 0 THEN cut ELSE reverse(cut) END AS text FROM d WHERE length(cut) > 0),
+c AS (SELECT *, lower(trim(regexp_replace(text, '[ 	
+]+', ' ', 'g'), ' ')) AS t FROM cells),
+g AS (SELECT doc_id, unnest(list_transform(range(1, length(t) - 14), lambda i: substr(t, i, 16))) AS b FROM c WHERE length(t) >= 16),
+hit AS (SELECT DISTINCT doc_id FROM g JOIN blocks USING (b))
+SELECT "column", count(*) AS cells, count(*) FILTER (WHERE length(text) >= 200) AS long_cells, count(h.doc_id) AS leaking_cells
+FROM c LEFT JOIN hit h USING (doc_id) GROUP BY 1""",
+    "output_fragment_audit": f"""WITH {_USAGE}, {_DOCS}, {_NEAR}, {_DOC_STATS}, {_LINES}
+SELECT metric AS "column", CAST(0 AS BIGINT) AS long_cells, CAST(0 AS BIGINT) AS leaking_cells FROM lines GROUP BY 1""",
     "malformed_log_lines": f"""WITH l AS (SELECT trim({raw.LOG_LINE}) AS line FROM events),
 f AS (
     SELECT CASE WHEN line = '' THEN NULL WHEN NOT json_valid(line) THEN 'malformed JSON'

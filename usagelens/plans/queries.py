@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.functions import chat, coerce, formats, prompts, tiers
-from usagelens.operators import audit, duplicates, grouped, tokens
+from usagelens.operators import audit, duplicates, fragments, grouped, tokens
 from usagelens.operators.availability import availability
 from usagelens.operators.cube import COUNT, usage_cube
 from usagelens.plans import raw, views
+from usagelens.plans.analyze import analyze
+from usagelens.plans.document import document_pieces
 from usagelens.plans.report import compute_report, report_lines, report_text, write_report
 from usagelens.sources import lines, normalize
 from usagelens.sources.readers import read_usage
@@ -408,6 +410,64 @@ def malformed_log_lines(spark, sf_dir):
     return e.where(reason.isNotNull()).groupBy(reason.alias("reason")).agg(F.count("*").alias("lines"))
 
 
+@query
+def request_log_any_case(spark, sf_dir):
+    """Events as JSON lines of a request log export with keys in mixed case; of two that differ in case the last counts."""
+    e = raw.event_cells(spark, sf_dir, cell=raw.NUMBER_CELL, code=raw.STATUS_CELL)
+    body = F.struct(F.array(F.struct(F.col("props").alias("content"))).alias("messages"))
+    line = F.to_json(F.struct(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Created_At"), F.lit("hidden").alias("Path"),
+        F.col("event_type").alias("PATH"), F.col("cell").alias("Prompt_Tokens"), F.col("event_id").alias("COMPLETION_TOKENS"),
+        F.col("code").alias("Status"), F.when(F.col("event_id") % 2 == 0, body).alias("Request_Body"),
+        F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("pRoMpT"),
+    )).alias("line")
+    usage = normalize.normalize_helicone_log(lines.parse_entries(e.select(line)))
+    return usage.groupBy("route").agg(
+        F.count("*").alias("rows"), F.count("timestamp").alias("dated"), F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"), F.count_if("is_error").alias("errors"),
+        F.count("prompt_hash").alias("prompts"), F.count_distinct("prompt_hash").alias("distinct_prompts"),
+    )
+
+
+LONG_PROMPT = 25_000_000
+
+
+@query
+def long_log_lines(spark, sf_dir):
+    """Events as log lines; the prompt of every millionth has ``LONG_PROMPT`` characters."""
+    e = views.spread(views.table(spark, sf_dir, "events"))
+    size = F.when(F.col("event_id") % 1_000_000 == 0, F.lit(LONG_PROMPT)).otherwise(F.lit(20))
+    log = e.select(
+        F.col("event_type").alias("model"), F.struct(F.col("event_id").alias("prompt_tokens")).alias("usage"),
+        F.rpad(F.col("event_id").cast("string"), size, " word").alias("prompt"),
+    )
+    text = lines.read_text(_as_lines(log))
+    usage = normalize.normalize_litellm(lines.parse_objects(text))
+    faults = text.agg(F.count_if(lines.fault(F.col("line")).isNotNull()).alias("faults"))
+    found = usage.groupBy("model").agg(
+        F.count("*").alias("rows"), F.sum("input_tokens").alias("input_tokens"), F.count("prompt_hash").alias("prompts"),
+        F.count_distinct("prompt_hash").alias("distinct_prompts"),
+    )
+    return found.join(F.broadcast(faults))  # one row
+
+
+@query
+def quoted_csv(spark, sf_dir):
+    """Events written as CSV with quotes, commas and line feeds in cells, and read back in splits."""
+    e = views.spread(views.table(spark, sf_dir, "events"))
+    cell = F.concat(
+        F.col("event_id").cast("string"), F.lit(', said "'), "event_type", F.lit('"\n\n'),
+        F.repeat(F.lit('",\n'), (F.col("event_id") % 7).cast("int")), F.coalesce("props", F.lit("")),
+    )
+    folder = f"{scratch_path(spark, 'quoted')}/cells"
+    e.select(
+        F.col("event_id").cast("string").alias("request_id"), F.col("event_id").alias("prompt_tokens"),
+        F.col("event_type").alias("path"), cell.alias("prompt"),
+    ).write.options(header=True, quote='"', escape='"', quoteAll=True).csv(folder)
+    usage = read_usage(spark, folder)
+    return usage.select("route", "input_tokens", "prompt_hash")
+
+
 @query
 def mixed_exports(spark, sf_dir):
     """Write a request log and an activity export to files, detect and read them back."""
@@ -481,6 +541,56 @@ def report_json(spark, sf_dir):
     )
 
 
+@query
+def reports_by_file(spark, sf_dir):
+    """Reports of single files, among them one without rows, added up by format."""
+    folder = scratch_path(spark, "exports")
+    _as_lines(_event_log(spark, sf_dir)).write.text(f"{folder}/log")
+    _activity(spark, sf_dir).write.option("header", True).csv(f"{folder}/activity")
+    heads = views.table(spark, sf_dir, "region").limit(1).select(F.lit("request_id,prompt_tokens,request_body"))
+    heads.write.text(f"{folder}/empty")
+    r = analyze(spark, folder, by_file=True)
+    keys = ["source_format", "source_file"]
+    able = r.availability.groupBy(*keys).agg(F.count_if(F.col("status") == "computed").alias("computed"))
+    errors = r.error_rate.select(*keys, "error_requests")
+    rows = r.totals.join(able, keys).join(errors, keys, "left")
+    return rows.groupBy("source_format").agg(
+        F.sum("requests").cast(COUNT).alias("requests"), F.sum("input_tokens").cast(COUNT).alias("input_tokens"),
+        F.sum("output_tokens").cast(COUNT).alias("output_tokens"), F.sum("error_requests").cast(COUNT).alias("errors"),
+        F.max("computed").alias("computed_metrics"),
+    )
+
+
+@query
+def report_document(spark, sf_dir):
+    """The pieces of the report's JSON documents: elements of each metric, and those that follow another."""
+    pieces = document_pieces(_text_report(spark, sf_dir), "test")
+    comma = F.startswith("text", F.lit(",")).cast("int")
+    return pieces.where("section between 1 and 7 and slot in (1, 3) and sub < 2").groupBy(
+        "source_format", "section", "slot", "sub"
+    ).agg(F.count("*").alias("elements"), F.sum(comma).cast("bigint").alias("after_others"))
+
+
+@query
+def fragment_audit(spark, sf_dir):
+    """Cells cut from documents, and cells of other words, against all documents as prompts."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = F.substring("text", (F.col("doc_id") % 50 + 1).cast("int"), (F.col("doc_id") % 60).cast("int"))
+    cells = docs.where(F.length(cut) > 0).select(
+        F.when(F.col("doc_id") % 2 == 0, "cut").otherwise("reversed").alias("column"),
+        F.col("doc_id").alias("cell"), F.when(F.col("doc_id") % 2 == 0, cut).otherwise(F.reverse(cut)).alias("text"),
+    )
+    return fragments.fragment_audit(docs.select("text"), cells)
+
+
+@query
+def output_fragment_audit(spark, sf_dir):
+    """No string of the report may hold a fragment of any document, or be long."""
+    cells = fragments.report_cells(report_lines(_text_report(spark, sf_dir)))
+    prompts = views.table(spark, sf_dir, "documents").select("text")
+    return fragments.fragment_audit(prompts, cells).drop("cells")
+
+
 @query
 def leak_audit(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents")

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from usagelens.operators import grouped, tokens
 from usagelens.operators.availability import METRICS, availability
-from usagelens.operators.cube import usage_cube
+from usagelens.operators.cube import COUNT, usage_cube
 from usagelens.operators.duplicates import duplicate_stats, prompt_groups
+from usagelens.plans.document import write_documents
 from usagelens.storage import written
 
 
@@ -42,13 +43,41 @@ class UsageReport:
 MALFORMED = "source_format string, source_file string, line_no bigint, reason string"
 
 
-def compute_report(usage: DataFrame, malformed: DataFrame | None = None) -> UsageReport:
+FILE_OF_SOURCE = "^[^:]*:"
+
+
+def compute_report(
+    usage: DataFrame, malformed: DataFrame | None = None, sources: DataFrame | None = None, by_file: bool = False
+) -> UsageReport:
     """All metrics of a usage table. Give a stored table: it is read more than once.
 
-    ``malformed`` lists input lines that no row was made of.
+    ``malformed`` lists input lines that no row was made of. ``sources`` (source_format, source_file)
+    lists the files read, so that those without rows are reported too. With ``by_file`` each file has a
+    report of its own, and every table has the column ``source_file``; duplicates are then sought inside a file.
     """
+    spark = usage.sparkSession
+    sources = spark.createDataFrame([], "source_format string, source_file string") if sources is None else sources
+    if by_file:
+        source = F.concat_ws(":", "source_format", F.coalesce("source_file", F.lit(""))).alias("source_format")
+        usage = usage.select(source, *(c for c in usage.columns if c != "source_format"))
+        sources = sources.select(source)
+        left_out = spark.createDataFrame([], MALFORMED) if malformed is None else malformed
+        whole = _report_by_source(usage, left_out, sources.distinct())
+        tables = {n: df if n == "malformed" else _with_file(df) for n, df in whole.tables().items()}
+        return UsageReport(**tables)
+    return _report_by_source(usage, malformed, sources.select("source_format").distinct())
+
+
+def _with_file(df: DataFrame) -> DataFrame:
+    """The format and the file that a source's name is made of, in the columns' place."""
+    name = F.col("source_format")
+    parts = [F.substring_index(name, ":", 1).alias("source_format"), F.regexp_replace(name, FILE_OF_SOURCE, "").alias("source_file")]
+    return df.select(*parts, *(c for c in df.columns if c != "source_format"))
+
+
+def _report_by_source(usage: DataFrame, malformed: DataFrame | None, sources: DataFrame) -> UsageReport:
     cube = written(usage_cube(usage), "cube")
-    flags = written(grouped.capabilities(cube), "capabilities")
+    flags = written(grouped.capabilities_of(cube, sources), "capabilities")
     values = written(tokens.token_values(usage), "token-values")  # read twice by the ranks
     ranked = written(tokens.ranked_values(values), "ranked")
     able = flags.where("has_prompt_text").select("source_format")
@@ -60,13 +89,19 @@ def compute_report(usage: DataFrame, malformed: DataFrame | None = None) -> Usag
         stats = written(duplicate_stats(prompt_groups(usage)), "duplicate-stats")
     return UsageReport(
         availability=availability(flags),
-        totals=grouped.totals(cube),
+        totals=grouped.with_all_sources(
+            grouped.totals(cube), sources, **{c: F.lit(0).cast(COUNT) for c in ("requests", "input_tokens", "output_tokens")}
+        ),
         spend_by_model_day=_where_able(grouped.spend_by_model_day(cube), flags, "has_tokens or has_cost"),
         token_histograms=tokens.token_histograms(ranked),
         duplicate_prompts=stats,
         model_mix=grouped.model_mix(cube),
         tier_models=grouped.tier_models(cube),
-        error_rate=grouped.error_rate(cube),
+        # Without requests the rate is taken of one.
+        error_rate=grouped.with_all_sources(
+            grouped.error_rate(cube), grouped.per_request(sources), total_requests=F.lit(1).cast(COUNT),
+            error_requests=F.lit(0).cast(COUNT), error_rate=F.lit(0.0),
+        ),
         by_day=grouped.requests_by_day(cube),
         by_hour=grouped.requests_by_hour(cube),
         long_context_tail=tokens.long_context_tail(ranked),
@@ -90,10 +125,12 @@ def _json(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def _lines(df: DataFrame, metric: str, key: Column, *columns: str) -> DataFrame:
-    return df.select(
-        "source_format", F.lit(metric).alias("metric"), key.alias("key"), _json(*columns).alias("value")
-    )
+def _keys(report: UsageReport) -> list[str]:
+    return [c for c in ("source_format", "source_file") if c in report.totals.columns]
+
+
+def _lines(df: DataFrame, keys: list[str], metric: str, key: Column, *columns: str) -> DataFrame:
+    return df.select(*keys, F.lit(metric).alias("metric"), key.alias("key"), _json(*columns).alias("value"))
 
 
 def report_lines(report: UsageReport) -> DataFrame:
@@ -103,18 +140,18 @@ def report_lines(report: UsageReport) -> DataFrame:
     each row of a computed metric. Within a metric, ``key`` puts the rows in report order. Nothing is
     gathered, so a report of any size is written whole.
     """
-    none = F.lit("")
+    none, keys = F.lit(""), _keys(report)
     state = F.struct("status", "reason")
-    states = report.availability.groupBy("source_format").agg(
+    states = report.availability.groupBy(*keys).agg(
         *[F.first(F.when(F.col("metric") == m, state), ignorenulls=True).alias(m) for m in METRICS]
     )
-    head = report.totals.join(states, "source_format").select(
-        "source_format", F.struct("requests", "input_tokens", "output_tokens", "cost_usd").alias("totals"),
+    head = report.totals.join(states, keys).select(
+        *keys, F.struct("requests", "input_tokens", "output_tokens", "cost_usd").alias("totals"),
         F.struct(*METRICS).alias("metrics"),
     )
     spend = ["model", "day", "n_requests", "input_tokens", "output_tokens", "cost_usd"]
     mix = ["tier", "n_models", "n_requests", "share_of_requests", "input_tokens"]
-    duplicates = [c for c in report.duplicate_prompts.columns if c != "source_format"]
+    duplicates = [c for c in report.duplicate_prompts.columns if c not in keys]
     tail = [
         "p95_input_tokens", "p99_input_tokens", "max_input_tokens", "requests_over_32k_input",
         "share_of_input_tokens_in_top_1pct_requests",
@@ -131,29 +168,32 @@ def report_lines(report: UsageReport) -> DataFrame:
         ("temporal_patterns", "by_hour", report.by_hour, F.lpad(F.col("hour").cast("string"), 2, "0"), ["hour", "n_requests"]),
         ("long_context_tail", "long_context_tail", report.long_context_tail, none, tail),
     ]
-    out = _lines(head, "report", none, "totals", "metrics")
+    out = _lines(head, keys, "report", none, "totals", "metrics")
     for metric, name, df, key, columns in parts:
         able = report.availability.where((F.col("metric") == metric) & (F.col("status") == "computed"))
-        rows = df.join(able.select("source_format"), "source_format", "left_semi")
-        out = out.unionByName(_lines(rows, name, key, *columns))
-    bad = report.malformed.groupBy("source_format", "reason").agg(
+        rows = df.join(able.select(*keys), keys, "left_semi")
+        out = out.unionByName(_lines(rows, keys, name, key, *columns))
+    bad = report.malformed.groupBy(*keys, "reason").agg(
         F.count("*").alias("lines"), F.count_distinct("source_file").alias("files")
     )
-    return out.unionByName(_lines(bad, "malformed_lines", F.col("reason"), "reason", "lines", "files"))
+    return out.unionByName(_lines(bad, keys, "malformed_lines", F.col("reason"), "reason", "lines", "files"))
 
 
 def report_text(lines: DataFrame, version: str) -> DataFrame:
-    """Report lines as JSON text (value), each with its format, metric and key."""
+    """Report lines as JSON text (value), each with its source, metric and key."""
+    keys = [c for c in lines.columns if c != "value"]
     line = F.concat(
         F.lit('{"tool":"usagelens","version":"'), F.lit(version), F.lit('","at":'),
-        _json("source_format", "metric", "key"), F.lit(',"value":'), F.col("value"), F.lit("}"),
+        _json(*keys), F.lit(',"value":'), F.col("value"), F.lit("}"),
     )
-    return lines.select("source_format", "metric", "key", line.alias("value"))
+    return lines.select(*keys, line.alias("value"))
 
 
 def write_report(report: UsageReport, out: str, version: str, mode: str = "errorifexists") -> None:
-    """Every table as Parquet under ``out/tables`` and JSON lines in report order under ``out/report``."""
+    """Tables as Parquet under ``out/tables``, JSON lines in report order under ``out/report``, documents under ``out/documents``."""
     for name, df in report.tables().items():
         df.write.mode(mode).parquet(f"{out}/tables/{name}")
-    text = report_text(report_lines(report), version).orderBy("source_format", "metric", "key")
+    lines = report_lines(report)
+    text = report_text(lines, version).orderBy(*_keys(report), "metric", "key")
     text.select("value").write.mode(mode).text(f"{out}/report")
+    write_documents(report, f"{out}/documents", version, mode)

@@ -38,11 +38,15 @@ def parse_json(line: Column) -> Column:
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Every line as ``line``, with the file it comes from."""
-    keep_last_key(spark)
-    return spark.read.text(literal_paths(paths)).select(
-        strip(drop_undecodable(F.col("value"))).alias("line"),
-        F.col("_metadata.file_path").alias("source_file"),
-    )
+    return read_text(spark.read.text(literal_paths(paths)).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_file")
+    ))
+
+
+def read_text(lines: DataFrame) -> DataFrame:
+    """Raw lines without broken bytes and white space around them."""
+    keep_last_key(lines.sparkSession)
+    return lines.withColumn("line", strip(drop_undecodable(F.col("line"))))
 
 
 def parse_objects(lines: DataFrame) -> DataFrame:
@@ -55,6 +59,19 @@ def parse_objects(lines: DataFrame) -> DataFrame:
     return lines.select(*others, F.explode(found).alias("v"))
 
 
+def parse_entries(lines: DataFrame) -> DataFrame:
+    """``entries`` of every line that is a JSON object: its top-level keys in lower case, in the line's order, with VARIANT values."""
+    line = F.col("line")
+    entries = F.transform(
+        F.map_entries(F.from_json(line, "map<string,variant>", LONG_STRINGS)),
+        lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")),
+    )
+    parsed = F.when(F.startswith("line", F.lit("{")) & parse_json(line).isNotNull(), entries)
+    found = F.filter(F.array(parsed), lambda v: v.isNotNull())
+    others = [c for c in lines.columns if c != "line"]
+    return lines.select(*others, F.explode(found).alias("entries"))
+
+
 def fault(line: Column) -> Column:
     """Why a line cannot be read, without its text; null for a good or blank line."""
     return (

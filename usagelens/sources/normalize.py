@@ -223,11 +223,11 @@ def normalize_litellm(df: DataFrame, **options) -> DataFrame:
 
 
 def normalize_helicone_log(df: DataFrame, **options) -> DataFrame:
-    """The same export as JSON lines: every field read as text, bodies as JSON."""
-    v = F.col("v")
+    """The same export as JSON lines: keys in any case, of which the last counts; bodies as JSON."""
     names = sorted({n for aliases in HELICONE_COLUMNS.values() for n in aliases})
-    rows = df.select(
-        *[chat.as_text(v, f"$.{n}").alias(n) for n in names],
-        source_file(df).alias("source_file"),
-    )
-    return normalize_helicone(rows, **options)
+
+    def text(name: str) -> Column:
+        last = F.try_element_at(F.filter("entries", lambda e: e["key"] == name), F.lit(-1))
+        return chat.as_text(last["value"], "$")
+
+    return normalize_helicone(df.select(*[text(n).alias(n) for n in names], source_file(df).alias("source_file")), **options)

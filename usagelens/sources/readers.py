@@ -14,7 +14,7 @@ from usagelens.schema import USAGE_SCHEMA
 from usagelens.sources import normalize as N
 from usagelens.sources.csv_records import read_cells
 from usagelens.sources.detect import detect_formats, first_lines
-from usagelens.sources.lines import literal_paths, malformed_lines, parse_objects, read_lines, require_clean
+from usagelens.sources.lines import literal_paths, malformed_lines, parse_entries, parse_objects, read_lines, require_clean
 
 
 class UnknownFormat(ValueError):
@@ -53,7 +53,7 @@ def read_helicone(spark: SparkSession, paths: list[str], multiline: bool = True,
 
 
 def read_helicone_log(spark: SparkSession, paths: list[str], multiline: bool = True, **options):
-    return N.normalize_helicone_log(parse_objects(read_lines(spark, paths)), **options)
+    return N.normalize_helicone_log(parse_entries(read_lines(spark, paths)), **options)
 
 
 def read_openai(spark: SparkSession, paths: list[str], multiline: bool = True, header: str | None = None, **_options):
@@ -124,6 +124,19 @@ def read_groups(spark: SparkSession, groups: dict, **options) -> DataFrame:
     return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], USAGE_SCHEMA)
 
 
+def read_sources(spark: SparkSession, groups: dict) -> DataFrame:
+    """(source_format, source_file) of all files read, named as their rows name them."""
+    files = [(kind, file) for (kind, _, _), own in sorted(groups.items()) for file in sorted(own)]
+    listed = spark.createDataFrame(files, "source_format string, path string")
+    # Rows carry the path in URL form.
+    paths = sorted(f for _, f in files)
+    names = spark.read.format("binaryFile").load(literal_paths(paths)) if files else None
+    if names is None:
+        return listed.withColumnRenamed("path", "source_file")
+    names = names.select("path", F.col("_metadata.file_path").alias("source_file"))
+    return listed.join(names, "path").select("source_format", "source_file")
+
+
 def lines_left_out(spark: SparkSession, groups: dict) -> DataFrame:
     """(source_format, source_file, line_no, reason): lines of JSON files that no row was made of."""
     frames = [
