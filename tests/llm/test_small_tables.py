@@ -125,11 +125,24 @@ def test_added_tokens_inside_texts(documents):
 
 def test_token_counts(rows, empty):
     for block in (7, 64, 1 << 16):
-        got = Counter((r["doc_id"], r["tokens"]) for r in collected(token_counts.count_tokens(rows, block_tokens=block)))
+        counted = token_counts.count_tokens(rows, block_tokens=block, file_tokens=20 * block)
+        got = Counter((r["doc_id"], r["tokens"]) for r in collected(counted))
         assert got == Counter((r[0], len(tokens.token_ids(r[1]))) for r in ROWS)
     assert token_counts.count_tokens(empty).collect() == []
 
 
+def test_texts_with_long_runs_of_white_space(documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {1: " " * 1_000_000, 2: "a" + "\n" * 1_200_000 + "<|endoftext|>", 3: "word " * 100 + "\t" * 4_000_000}
+    want = {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in texts.items()}
+    made = documents(list(texts.items()))
+    assert {r["doc_id"]: r["tokens"] for r in token_counts.count_tokens(made).collect()} == want
+    assert {r["doc_id"]: r["doc_tokens"] for r in packing.pack(made).collect()} == want
+
+
 def test_separator_scan_of_flat_files(spark, tmp_path):
     rng = np.random.default_rng(2)
     want = []
