@@ -12,16 +12,31 @@ from pyspark.sql import functions as F
 
 from usagelens.functions.tiers import UNKNOWN, model_name
 
-# Sums are decimal, so no total overflows and none depends on the order of rows. Costs are added with
+# Totals are decimal, so none overflows and none depends on the order of rows. Costs are added with
 # twelve places.
 COUNT = "decimal(38,0)"
 COST = "decimal(38,12)"
+LOW_BITS, MIDDLE_BITS = 20, 22
 
 
 def exact_sum(column: str) -> Column:
     return F.sum(F.col(column).cast(COUNT)).cast(COUNT)
 
 
+def exact_long_sum(column: str) -> Column:
+    """``exact_sum`` of a BIGINT column, without a decimal a row.
+
+    A number is cut into parts of 20, 22 and 22 bits. Sums of parts are BIGINT and hold trillions of
+    rows; the total is put together from them once a group.
+    """
+    x = F.col(column).cast("bigint")
+    part = lambda c, bits: c.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+    low, middle = part(x, LOW_BITS), part(F.shiftright(x, LOW_BITS), MIDDLE_BITS)
+    high = F.shiftright(x, LOW_BITS + MIDDLE_BITS)  # keeps the sign
+    whole = lambda c, bits: F.sum(c).cast(COUNT) * F.lit(1 << bits).cast("decimal(13,0)")
+    return (whole(high, LOW_BITS + MIDDLE_BITS) + whole(middle, LOW_BITS) + F.sum(low).cast(COUNT)).cast(COUNT)
+
+
 def total_cost() -> Column:
     """Cost of a group of cube rows; null when none of them has a cost."""
     return F.sum("cost").cast("double")
@@ -44,10 +59,10 @@ def usage_cube(usage: DataFrame) -> DataFrame:
         .groupBy("source_format", "model", "date", "hour")
         .agg(
             F.count("*").alias("records"),
-            exact_sum("n_requests").alias("n_requests"),
-            exact_sum("error_requests").alias("error_requests"),
-            F.coalesce(exact_sum("input_tokens"), F.lit(0).cast(COUNT)).alias("input_tokens"),
-            F.coalesce(exact_sum("output_tokens"), F.lit(0).cast(COUNT)).alias("output_tokens"),
+            exact_long_sum("n_requests").alias("n_requests"),
+            exact_long_sum("error_requests").alias("error_requests"),
+            F.coalesce(exact_long_sum("input_tokens"), F.lit(0).cast(COUNT)).alias("input_tokens"),
+            F.coalesce(exact_long_sum("output_tokens"), F.lit(0).cast(COUNT)).alias("output_tokens"),
             F.sum(F.col("cost_usd").try_cast(COST)).cast(COST).alias("cost"),
             F.count("input_tokens").alias("input_records"),
             F.count("output_tokens").alias("output_records"),
