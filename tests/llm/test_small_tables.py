@@ -67,19 +67,38 @@ def test_packing_round_trip(rows, empty):
 
 def test_packing_closes_every_sequence_without_padding():
     rng = random.Random(4)
-    for _ in range(50):
-        packer = packing.Packer(64, 0)
-        lengths = [rng.randint(1, 300) for _ in range(rng.randint(0, 40))]
-        for i, n in enumerate(lengths):
-            for piece in packing.piece_lengths(n, 64):
-                packer.add((i, 0, piece, 0, n))
-        packer.finish()
-        sizes = Counter()
-        for r in packer.rows:
-            sizes[r[5]] += r[2]
-        assert sum(sizes.values()) == sum(lengths)
-        assert all(s & (s - 1) == 0 and s <= 64 for s in sizes.values())
-        assert sum(s < 64 for s in sizes.values()) <= 6
+    for waiting in (1, 2, 3, 32):
+        for _ in range(30):
+            packer = packing.Packer(64, 0, waiting)
+            lengths = [rng.randint(1, 300) for _ in range(rng.randint(0, 40))]
+            for i, n in enumerate(lengths):
+                packer.add(i, np.arange(n, dtype="<u4"))
+            packer.finish()
+            sizes, seen = Counter(), defaultdict(list)
+            for doc, start, length, _, n, sequence, _ in packer.rows:
+                sizes[sequence] += length
+                seen[doc].append((start, length))
+                assert n == lengths[doc]
+            assert sum(sizes.values()) == sum(lengths)
+            assert all(s & (s - 1) == 0 and s <= 64 for s in sizes.values())
+            assert sum(s < 64 for s in sizes.values()) <= 6
+            for doc, n in enumerate(lengths):
+                at = 0
+                for start, length in sorted(seen[doc]):
+                    assert start == at
+                    at += length
+                assert at == n
+
+
+def test_packing_keeps_most_documents_whole():
+    rng = random.Random(9)
+    packer = packing.Packer(2048, 0)
+    lengths = [min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(5000)]
+    for i, n in enumerate(lengths):
+        packer.add(i, np.zeros(n, "<u4"))
+    packer.finish()
+    pieces = Counter(r[0] for r in packer.rows)
+    assert sum(pieces.values()) < 1.35 * len(lengths) and sum(c == 1 for c in pieces.values()) > 0.7 * len(lengths)
 
 
 def test_ids_equal_those_of_the_tokenizers_library(rows):
