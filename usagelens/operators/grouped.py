@@ -19,13 +19,19 @@ def rate(part: Column, whole: Column) -> Column:
     return F.coalesce(F.bround(F.try_divide(part.cast("double"), whole.cast("double")), RATE_PLACES), F.lit(0.0))
 
 
-def is_request_log() -> Column:
-    """Whether a source holds one row a request. A source is a format, or a format and a file after a colon."""
-    return F.substring_index("source_format", ":", 1).isin(*REQUEST_FORMATS)
+BY_FILE = "by_file"  # marks a column of sources that names a format and a file, with a colon between
+
+
+def is_request_log(df: DataFrame) -> Column:
+    """Whether a source of ``df`` holds one row a request."""
+    name = F.col("source_format")
+    if df.schema["source_format"].metadata.get(BY_FILE):
+        name = F.substring_index(name, ":", 1)
+    return name.isin(*REQUEST_FORMATS)
 
 
 def per_request(df: DataFrame) -> DataFrame:
-    return df.where(is_request_log())
+    return df.where(is_request_log(df))
 
 
 def totals(cube: DataFrame) -> DataFrame:
@@ -50,14 +56,14 @@ def capabilities_of(cube: DataFrame, sources: DataFrame) -> DataFrame:
     """``capabilities`` of all ``sources``; one without rows can tell nothing but its kind."""
     none = {c: F.lit(False) for c in FLAGS}
     flags = capabilities(cube).withColumn("has_rows", F.lit(True))
-    return with_all_sources(flags, sources, per_request=is_request_log(), **none)
+    return with_all_sources(flags, sources, per_request=is_request_log(cube), **none)
 
 
 def capabilities(cube: DataFrame) -> DataFrame:
     """What each source can tell: six flags per format."""
     return cube.groupBy("source_format").agg(
-        F.max(is_request_log()).alias("per_request"),
-        F.max(is_request_log() & F.col("has_prompt")).alias("has_prompt_text"),
+        F.max(is_request_log(cube)).alias("per_request"),
+        F.max(is_request_log(cube) & F.col("has_prompt")).alias("has_prompt_text"),
         F.max(F.col("cost").isNotNull()).alias("has_cost"),
         F.max((F.col("input_records") > 0) | (F.col("output_records") > 0)).alias("has_tokens"),
         F.max(F.col("day") != UNKNOWN).alias("has_timestamp"),

@@ -101,7 +101,8 @@ def document_pieces(report, version: str) -> DataFrame:
     section = frame("temporal_patterns", '{"by_day":[', "]}")
     days, hours = (able(df, "temporal_patterns") for df in (report.by_day, report.by_hour))
     hour = F.lpad(F.col("hour").cast("string"), 2, "0")
-    by_request = able(report.totals, "temporal_patterns").where(is_request_log())
+    by_request = able(report.totals, "temporal_patterns")
+    by_request = by_request.where(is_request_log(by_request))
     parts.append(_listed(_rows(days, keys, section, FIRST, _object("day", "n_requests", "cost_usd"), F.col("day")), keys))
     parts.append(_rows(by_request, keys, section, BETWEEN, F.lit('],"by_hour":[')))
     parts.append(_listed(_rows(hours, keys, section, SECOND, _object("hour", "n_requests"), hour), keys))

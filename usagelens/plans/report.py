@@ -58,7 +58,8 @@ def compute_report(
     spark = usage.sparkSession
     sources = spark.createDataFrame([], "source_format string, source_file string") if sources is None else sources
     if by_file:
-        source = F.concat_ws(":", "source_format", F.coalesce("source_file", F.lit(""))).alias("source_format")
+        source = F.concat_ws(":", "source_format", F.coalesce("source_file", F.lit("")))
+        source = source.alias("source_format", metadata={grouped.BY_FILE: True})
         usage = usage.select(source, *(c for c in usage.columns if c != "source_format"))
         sources = sources.select(source)
         left_out = spark.createDataFrame([], MALFORMED) if malformed is None else malformed
