@@ -378,6 +378,12 @@ FROM lineitem GROUP BY 1, 2""",
     count(*) AS n_requests, CAST(0 AS BIGINT) AS input_tokens, CAST(0 AS BIGINT) AS output_tokens,
     round(sum(l_quantity), 6) AS cost_usd
 FROM lineitem GROUP BY 2, 3""",
+    "malformed_line_numbers": f"""WITH l AS (
+    SELECT row_number() OVER (ORDER BY event_id) AS number, trim({raw.LOG_LINE}) AS line FROM events),
+f AS (
+    SELECT number, CASE WHEN line = '' THEN NULL WHEN NOT json_valid(line) THEN 'malformed JSON'
+        WHEN line NOT LIKE '{{%' THEN 'expected a JSON object' END AS reason FROM l)
+SELECT number, reason FROM f WHERE reason IS NOT NULL""",
     "request_log_any_case": f"""WITH c AS (
     SELECT *, {raw.NUMBER_CELL} AS number, {raw.STATUS_CELL} AS code,
         CASE WHEN event_id % 2 = 0 AND props <> '' THEN lower(props) WHEN event_id % 3 = 0 THEN lower(event_type) END AS text

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelens.functions import chat, coerce, formats, prompts, tiers
@@ -429,6 +429,20 @@ def request_log_any_case(spark, sf_dir):
     )
 
 
+@query
+def malformed_line_numbers(spark, sf_dir):
+    """Log lines written in the order of events; the bad ones by their number over all files."""
+    e = raw.event_cells(spark, sf_dir, line=raw.LOG_LINE)
+    folder = f"{scratch_path(spark, 'log')}/lines"
+    e.repartitionByRange("event_id").sortWithinPartitions("event_id").select("line").write.text(folder)
+    file = F.col("_metadata.file_path").alias("source_file")
+    files = spark.read.text(folder).select(file).groupBy("source_file").agg(F.count("*").alias("lines"))
+    earlier = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = files.select("source_file", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before"))
+    bad = lines.malformed_lines(spark, [folder]).join(files, "source_file")
+    return bad.select((F.col("before") + F.col("line_no")).alias("number"), "reason")
+
+
 LONG_PROMPT = 25_000_000
 
 
