@@ -499,6 +499,14 @@ SELECT source_format, CAST(sum(n) AS VARCHAR) AS requests,
     CAST(sum(CAST(n AS HUGEINT) * 1000000000000000 + 900000000000000000 - coalesce(input_tokens, 0)) AS VARCHAR) AS input_tokens,
     CAST(count(cost_usd) * 1000000000 AS VARCHAR) AS cost_usd
 FROM bill GROUP BY 1""",
+    "near_vector_flags": """WITH rows AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    UNION ALL SELECT -vec_id - 1, list_transform(CAST(embedding AS DOUBLE[]),
+        lambda x, i: CASE WHEN i - 1 = vec_id % len(embedding) THEN -x ELSE x END) FROM embeddings),
+numbered AS (SELECT *, row_number() OVER () AS r FROM rows),
+near AS (SELECT DISTINCT a.r FROM numbered a JOIN numbered b
+    ON a.r <> b.r AND list_cosine_similarity(a.v, b.v) >= 0.95)
+SELECT vec_id, count(*) OVER (PARTITION BY v) AS copies, r IN (SELECT r FROM near) AS is_near FROM numbered""",
     "output_leak_audit": f"""WITH {_USAGE}, {_DOCS}, {_NEAR}, {_DOC_STATS}, {_LINES}
 SELECT unnest(['metric', 'key', 'value']) AS "column", (SELECT count(*) FROM lines) AS cells,
     CAST(0 AS BIGINT) AS leaking_cells""",

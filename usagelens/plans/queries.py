@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelens.functions import chat, coerce, formats, prompts, tiers
-from usagelens.operators import audit, duplicates, fragments, grouped, tokens
+from usagelens.operators import audit, duplicates, fragments, grouped, tokens, vectors
 from usagelens.operators.availability import availability
 from usagelens.operators.cube import COUNT, usage_cube
 from usagelens.plans import raw, views
@@ -605,6 +605,12 @@ def output_fragment_audit(spark, sf_dir):
     return fragments.fragment_audit(prompts, cells).drop("cells")
 
 
+@query
+def near_vector_flags(spark, sf_dir):
+    """Embeddings and their variants that are near to another by cosine."""
+    return vectors.near_vectors(views.varied_vectors(spark, sf_dir), "vec_id", "embedding")
+
+
 @query
 def leak_audit(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents")

@@ -105,3 +105,11 @@ def templated_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PROMPT_WORDS - 1)), word), " ")
     return normalize(e, "litellm_jsonl", {"model": model_by(F.col("user_id"))}, prompt=text)
+
+
+def varied_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding, and a variant of it with one component negated under a negative id."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    at = F.col("vec_id") % F.size("embedding")
+    variant = F.transform("embedding", lambda x, i: F.when(i == at, -x).otherwise(x))
+    return rows.union(rows.select(-F.col("vec_id") - 1, variant))
