@@ -9,6 +9,7 @@ import random
 import pytest
 
 import samples
+from pyspark.sql import functions as F
 from usagelens import analyze, read_usage
 from usagelens.operators import fragments
 from usagelens.operators.availability import METRICS, REASON
@@ -142,6 +143,15 @@ def test_every_fragment_of_any_prompt_is_found(spark):
     assert want <= got and len(want) > 20 and not any(c.startswith(("miss", "null", "empty", "other")) for c in got)
 
 
+def test_fragments_are_compared_by_short_digests(spark):
+    plan = fragments.fragment_hits(
+        spark.createDataFrame([("a" * 40,)], "text string"), spark.createDataFrame([("c", "a" * 20)], "cell string, text string")
+    )._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unhex(sha2(") >= 2  # 16 bytes a block are sent, not 64 characters
+    digest = spark.createDataFrame([("x" * 16,)], "b string").select(fragments._digest(F.col("b"), "s").alias("d")).first()["d"]
+    assert len(digest) == 16
+
+
 def test_blocks_of_long_cells_are_those_of_all_places(spark):
     text = "".join(random.Random(1).choices("abc", k=1500))
     got = spark.createDataFrame([(text,)], "t string").select(fragments.cell_blocks("t", 16).alias("b")).first()["b"]

@@ -18,6 +18,7 @@ from usagelens.operators.audit import MAX_TEXT
 WIDTH = 16
 FILTER_BITS = 1 << 22
 CHUNK = 256
+DIGEST_BYTES = 16
 
 
 def _plain(text: Column) -> Column:
@@ -49,22 +50,28 @@ def leaf_strings(json: Column) -> Column:
     return F.transform(quoted, lambda q: F.from_json(F.concat(F.lit("["), q, F.lit("]")), "array<string>")[0])
 
 
-def _digests(blocks: DataFrame, salt: str) -> DataFrame:
-    return blocks.withColumns({
-        "place": F.pmod(F.xxhash64("block"), F.lit(FILTER_BITS)), "digest": F.sha2(F.concat(F.lit(salt), "block"), 256)
-    }).drop("block")
+def _place(block: Column) -> Column:
+    return F.pmod(F.xxhash64(block), F.lit(FILTER_BITS))
+
+
+def _digest(block: Column, salt: str) -> Column:
+    """Half of a salted SHA-256 as bytes: still 128 bits, a quarter of the hex text."""
+    return F.substring(F.unhex(F.sha2(F.concat(F.lit(salt), block), 256)), 1, DIGEST_BYTES)
 
 
 def fragment_hits(prompts: DataFrame, cells: DataFrame, width: int = WIDTH, salt: str = DEFAULT_SALT) -> DataFrame:
     """The distinct ``cell`` of ``cells`` (cell, text) that hold a block of one of ``prompts`` (text)."""
-    wanted = cells.select("cell", F.explode(cell_blocks(F.col("text"), width)).alias("block"))
-    wanted = _digests(wanted, salt)
+    block = F.col("block")
     bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
     slot = F.expr("place div 64")
-    bits = wanted.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits"))  # at most FILTER_BITS / 64 rows
-    own = _digests(prompts.select(F.explode(prompt_blocks(F.col("text"), width)).alias("block")), salt)
-    held = own.withColumn("slot", slot).join(F.broadcast(bits), "slot").where(F.col("bits").bitwiseAND(bit) != 0)
-    return wanted.join(held.groupBy("digest").count(), "digest").select("cell").distinct()
+    wanted = cells.select("cell", F.explode(cell_blocks(F.col("text"), width)).alias("block"))
+    # At most FILTER_BITS / 64 rows.
+    bits = wanted.select(_place(block).alias("place")).groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits"))
+    own = prompts.select(F.explode(prompt_blocks(F.col("text"), width)).alias("block"))
+    own = own.select("block", _place(block).alias("place")).withColumn("slot", slot)
+    passed = own.join(F.broadcast(bits), "slot").where(F.col("bits").bitwiseAND(bit) != 0)
+    held = passed.select(_digest(block, salt).alias("digest")).distinct()
+    return wanted.select("cell", _digest(block, salt).alias("digest")).join(held, "digest").select("cell").distinct()
 
 
 def fragment_audit(prompts: DataFrame, cells: DataFrame, width: int = WIDTH, salt: str = DEFAULT_SALT) -> DataFrame:
