@@ -120,3 +120,16 @@ def test_broken_bytes_are_dropped_and_marks_stay(spark, tmp_path):
     table.write_bytes(b"input_tokens,output_tokens,model\n" + b"".join(b"1,2,%s\n" % b for b in BROKEN))
     models = Counter(r["model"] for r in read_usage(spark, str(table)).select("model").collect())
     assert models == Counter(b.decode("utf-8", "ignore") or None for b in BROKEN)
+
+
+def test_files_without_line_feeds_in_cells_are_read_line_by_line(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text("\n\nid,text\n" + "".join(f'{i},"q ""{i}"", x"\r\n\n' for i in range(50)))
+    (tmp_path / "odd.csv").write_text('id,text\n1,"a\nb"\n2,c\n')
+    paths = [str(tmp_path / f) for f in ("plain.csv", "odd.csv")]
+    found = csv_records.continued_files(csv_records._rows(spark, paths))
+    assert [f.rsplit("/", 1)[1] for f in found] == ["odd.csv"]
+    with splits_of(spark, 100):
+        rows = {(r["id"], r["text"]) for r in read_csv(spark, paths, header="id,text").collect()}
+        records = csv_records.records(spark, paths[:1])
+    assert rows == {(str(i), f'q "{i}", x') for i in range(50)} | {("1", "a\nb"), ("2", "c")}
+    assert records._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # one scan more than the look at quotes

@@ -1,7 +1,8 @@
 """CSV records with line feeds in cells, read in splits of a file.
 
 A physical line starts either a record or inside a quoted cell, and whether the next line starts inside one is a
-function of that: one bit for each of the two cases. Splits compose the functions of their lines, a
+function of that: one bit for each of the two cases. In files where no line opens a cell that the next one
+continues, each line is a record, whatever its split. In the others splits compose the functions of their lines, a
 scan over the splits of a file picks the case each split really starts in, and with it every split
 cuts its lines into records in the order it reads them. A record that crosses a split is put together
 from its parts, of which a split has at most two.
@@ -45,14 +46,26 @@ def _ends_in_cell(line: Column, starts_in_cell: bool) -> Column:
     return F.when(F.contains(line, F.lit('"')), scanned).otherwise(F.lit(starts_in_cell))
 
 
-def physical_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, split, line, cr, from_start, from_cell) in the order of each split; a line ends at LF or CR."""
-    rows = spark.read.option("lineSep", "\n").text(literal_paths(paths)).select(
+def _rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, split, value): what stands between line feeds."""
+    return spark.read.option("lineSep", "\n").text(literal_paths(paths)).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
         drop_undecodable(F.col("value")).alias("value"),
     )
+
+
+def _at_returns() -> Column:
     parts = F.split("value", "\r", -1)
-    cut = F.when(F.contains("value", F.lit("\r")), parts).otherwise(F.array("value"))
+    return F.when(F.contains("value", F.lit("\r")), parts).otherwise(F.array("value"))
+
+
+def physical_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, split, line, cr, from_start, from_cell) in the order of each split; a line ends at LF or CR."""
+    return _states_of(_rows(spark, paths))
+
+
+def _states_of(rows: DataFrame) -> DataFrame:
+    cut = _at_returns()
     lines = rows.select("file", "split", F.posexplode(cut).alias("at", "line"), F.size(cut).alias("n"))
     lines = lines.select("file", "split", "line", (F.col("at") < F.col("n") - 1).alias("cr"))
     return lines.select(
@@ -127,9 +140,41 @@ def starts_inside(found) -> dict[tuple[str, int], int]:
     return out
 
 
+def continued_files(rows: DataFrame) -> list[str]:
+    """Files with a line that starts outside a cell and ends inside one. Only lines with quotes are looked at."""
+    lines = _states_of(rows.where(F.contains("value", F.lit('"'))))
+    return [r["file"] for r in lines.where("from_start").select("file").distinct().collect()]
+
+
 def records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file, record) of every record but a file's first, its header. Empty lines are no records."""
-    lines = physical_lines(spark, paths)
+    rows = _rows(spark, paths)
+    continued = continued_files(rows)
+    if not continued:
+        return _line_records(rows)
+    own = F.col("file").isin(continued)
+    return _line_records(rows.where(~own)).unionByName(_joined_records(_states_of(rows.where(own))))
+
+
+def _line_records(rows: DataFrame) -> DataFrame:
+    """Records of files whose every line is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, header = None, False
+        for batch in batches:
+            for file, split, part in _runs(batch):
+                if (file, split) != now:
+                    now, header = (file, split), split == 0
+                yield part.slice(1 if header else 0).select(["file", "record"])
+                header = False
+
+    lines = rows.select("file", "split", F.explode(_at_returns()).alias("record"))
+    return lines.where("record <> ''").mapInArrow(run, "file string, record string")
+
+
+def _joined_records(lines: DataFrame) -> DataFrame:
+    """Records of files in which some go on after a line's end."""
+    spark = lines.sparkSession
     inside = spark.sparkContext.broadcast(starts_inside(split_states(lines).collect()))  # a few numbers a split
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
