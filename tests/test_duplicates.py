@@ -99,6 +99,19 @@ def test_shared_boilerplate_makes_no_pairs(spark, k):
     assert found_near(usage_of(spark, sketches), k=k) == plain_near(sketches, k, 0.5) == set()
 
 
+def test_sketches_looked_up_do_not_grow_with_the_values_shared(spark):
+    """A prompt takes its sketch to a fixed number of pivots, and only prompts that can have a partner do."""
+    own = list(range(100, 1700, 100))
+    sketches = [own, *([v, *range(v * 1000 + 1, v * 1000 + 6)] for v in own)]
+    p = duplicates._distinct_prompts(usage_of(spark, sketches))
+    values = duplicates._shared_values(p)
+    pairs = duplicates._pivot_pairs(p, values).groupBy("a").count()
+    assert pairs.agg(F.max("count")).first()[0] <= duplicates.PIVOTS
+    live = duplicates._live(p, duplicates._postings(p, values, 0.5))
+    assert [r.prompt_hash for r in live.collect()] == [str(tuple(own))]
+    assert found_near(usage_of(spark, sketches)) == plain_near(sketches, 128, 0.5) == set()
+
+
 def test_exact_groups_count_all_members(spark):
     usage = usage_of(spark, [[1, 2], [1, 2], [7, 8, 9]])
     row = duplicates.duplicate_stats(duplicates.prompt_groups(usage)).first()

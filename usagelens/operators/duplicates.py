@@ -5,12 +5,14 @@ reaches the threshold. Members of an exact group count as near by definition. Th
 complete, with no cap on bucket, candidate or check counts, and its work stays small because
 
 1. only one copy of every exact group is searched;
-2. every prompt that occurs once is first compared with two pivots for each of its smallest values,
-   which settles templates however many variants they have;
-3. only prompts still unsettled search all others, through prefix filtering: near prompts must share
+2. prompts that share too few values with all others together have no partner and drop out before any
+   sketch is looked up;
+3. every other prompt that occurs once is first compared with the two pivots that its smallest values
+   name most often, which settles templates however many variants they have;
+4. only prompts still unsettled search all others, through prefix filtering: near prompts must share
    one of the first few values of any common value order. The order is rarest first, so boilerplate
    seldom brings two prompts together;
-4. prompts that meet under a value are not all paired. Each is compared with one pivot of the value.
+5. prompts that meet under a value are not all paired. Each is compared with one pivot of the value.
    Two prompts either share a value that the pivot lacks, and meet under it, or all they share is in
    the pivot; then what each has in common with the pivot bounds their likeness. Prompts whose bound
    cannot reach the threshold with any other drop out, so shared boilerplate costs linear work.
@@ -27,9 +29,10 @@ from usagelens.functions.prompts import SKETCH_SIZE, sketch_jaccard
 from usagelens.operators.grouped import rate
 from usagelens.storage import written
 
-# The near-duplicate threshold and the smallest values that look up pivots.
+# The near-duplicate threshold, the smallest values that name pivots, and the pivots compared.
 NEAR_THRESHOLD = 0.5
 PIVOT_VALUES = 16
+PIVOTS = 2
 
 _SLACK = 1e-9
 
@@ -59,13 +62,16 @@ def _shared_values(prompts: DataFrame) -> DataFrame:
     """Sketch values of two or more prompts: how many, the most repeated, and the smallest one.
 
     The most repeated prompt is likely the template of its variants. The smallest is the one
-    most like all others that add their own part to a shared boilerplate.
+    most like all others that add their own part to a shared boilerplate. Both are sought where pivots
+    are looked up, among the first ``PIVOT_VALUES`` of sketches; other rows carry the value alone.
     """
+    first = F.col("at") < PIVOT_VALUES
     values = (
         prompts.select(
             "source_format", "pid", "n_records", F.size("sketch").alias("n"),
-            F.explode("sketch").alias("v"),
+            F.posexplode("sketch").alias("at", "v"),
         )
+        .select("source_format", "v", *(F.when(first, F.col(c)).alias(c) for c in ("pid", "n_records", "n")))
         .groupBy("source_format", "v")
         .agg(
             F.count("*").alias("df"),
@@ -97,9 +103,12 @@ def _near_ids(pairs: DataFrame, prompts: DataFrame, threshold: float, k: int) ->
 
 
 def _pivot_pairs(prompts: DataFrame, values: DataFrame) -> DataFrame:
-    """Every unrepeated prompt with the pivots of its smallest values."""
+    """Every unrepeated prompt with the ``PIVOTS`` pivots that its smallest values name most often.
+
+    The number is fixed, as each pair looks up two sketches. What they leave unsettled is searched below.
+    """
     pivots = values.select("source_format", "v", F.array("repeated", "smallest").alias("pivots"))
-    return (
+    named = (
         prompts.where("n_records = 1")
         .select(
             "source_format",
@@ -109,10 +118,14 @@ def _pivot_pairs(prompts: DataFrame, values: DataFrame) -> DataFrame:
         .join(pivots, ["source_format", "v"])
         .select("a", F.explode("pivots").alias("b"))
         .where("a <> b")
-        # At most 32 pairs a prompt, so this is even; distinct and the lookup by a share it.
+        # At most 32 pairs a prompt, so this is even; both counts and the lookup by a share it.
         .repartition(_check_tasks(prompts), "a")
-        .distinct()
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("times"))
     )
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("times")).alias("order"), "b")))
+    most = named.groupBy("a").agg(F.slice(ranked, 1, PIVOTS).alias("most"))
+    return most.select("a", F.explode("most.b").alias("b"))
 
 
 def _prefix_size(n: Column, threshold: float) -> Column:
@@ -131,6 +144,8 @@ def _postings(prompts: DataFrame, values: DataFrame, threshold: float) -> DataFr
     shared = (
         prompts.select("source_format", "pid", F.size("sketch").alias("n"), F.explode("sketch").alias("v"))
         .join(values.select("source_format", "v", "df"), ["source_format", "v"])
+        # Plain rows take less room in the shuffle than lists of few.
+        .repartition("pid")
         .groupBy("source_format", "pid", "n")
         # A sketch holds at most k values, which bounds the list.
         .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))
@@ -141,6 +156,11 @@ def _postings(prompts: DataFrame, values: DataFrame, threshold: float) -> DataFr
     return written(rows.select("source_format", "pid", "n", F.col("x.v").alias("v")), "postings")
 
 
+def _live(prompts: DataFrame, postings: DataFrame) -> DataFrame:
+    """The prompts that can have a partner at all, stored. Only their sketches are looked up from here on."""
+    return written(prompts.join(postings.select("pid").distinct(), "pid", "left_semi"), "live")
+
+
 def _pivot_facts(seekers: DataFrame, postings: DataFrame, prompts: DataFrame, threshold: float, k: int) -> DataFrame:
     """Every prompt against the pivots of its values, the smallest prompt of each, stored.
 
@@ -222,18 +242,17 @@ def prompt_groups(
     """(source_format, prompt_hash, n_records, is_near): every distinct prompt, flagged."""
     prompts = _distinct_prompts(usage)
     values = _shared_values(prompts)
-    near = written(
-        _near_ids(_pivot_pairs(prompts, values), prompts, threshold, k), "near-pivot"
-    )
     postings = _postings(prompts, values, threshold)
-    settled = prompts.where("n_records > 1").select("pid").union(near)
+    live = _live(prompts, postings)
+    near = written(_near_ids(_pivot_pairs(live, values), live, threshold, k), "near-pivot")
+    settled = live.where("n_records > 1").select("pid").union(near)
     seekers = postings.join(settled, "pid", "left_anti")
-    facts = _pivot_facts(seekers, postings, prompts, threshold, k)
+    facts = _pivot_facts(seekers, postings, live, threshold, k)
     met = facts.where(F.col("near") & (F.col("pid") != F.col("pivot")))
     near = near.union(met.select(F.explode(F.array("pid", "pivot")).alias("pid")))
     seekers = seekers.join(near, "pid", "left_anti")
     pairs = written(_candidate_pairs(seekers, facts, threshold, k), "pairs")
-    searched = _near_ids(pairs, prompts, threshold, k)
+    searched = _near_ids(pairs, live, threshold, k)
     near = near.union(searched).distinct().withColumn("found", F.lit(True))
     return (
         prompts.select("source_format", "prompt_hash", "n_records", "pid")
