@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.components import components
+from usagelens.llm.components import components, extended
 from usagelens.storage import written
 
 WORDS = 4
@@ -167,7 +167,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, rest: bool) -> DataFrame:
-    """(u, v, both, rest) of (u, v, set_u, set_v): shingles in both, and those of v that u lacks."""
+    """(u, v, both, rest, n_u, n_v) of (u, v, set_u, set_v, n_u, n_v): shingles in both, and those of v that u lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,11 +178,12 @@ def compared(pairs: DataFrame, rest: bool) -> DataFrame:
                 both.append(len(same))
                 more.append(np.setdiff1d(y, same, assume_unique=True).view(np.int64) if rest else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(more, pa.list_(pa.int64()))],
-                names=["u", "v", "both", "rest"],
+                [batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(more, pa.list_(pa.int64())),
+                 *batch.columns[4:]],
+                names=["u", "v", "both", "rest", "n_u", "n_v"],
             )
 
-    return pairs.mapInArrow(run, "u bigint, v bigint, both bigint, rest array<bigint>")
+    return pairs.mapInArrow(run, "u bigint, v bigint, both bigint, rest array<bigint>, n_u bigint, n_v bigint")
 
 
 def alike(both: Column, n_a: Column, n_b: Column, percent: int) -> Column:
@@ -238,19 +239,21 @@ def linked(
         full_sets(texts, words).join(named, ["k1", "k2"]).select("node", "members").dropDuplicates(["node"]), "full-sets"
     )
 
+    def sized(found: DataFrame, *more: str) -> DataFrame:
+        """``found`` (u, v) with the sizes of both sets, and ``more`` of their columns."""
+        side = lambda x: own.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", *more)))
+        return found.join(side("u"), "u").join(side("v"), "v")
+
     def colliding(found: DataFrame) -> DataFrame:
-        """The (u, v) of ``found`` with enough collisions."""
-        side = lambda x: own.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}"))
-        p = found.join(side("u"), "u").join(side("v"), "v")
-        return p.where(F.size(F.array_intersect("own_u", "own_v")) >= matches).select("u", "v")
+        """The (u, v, n_u, n_v) of ``found`` with enough collisions."""
+        p = sized(found, "own").where(F.size(F.array_intersect("own_u", "own_v")) >= matches)
+        return p.select("u", "v", "n_u", "n_v")
 
     def verified(p: DataFrame, rest: bool) -> DataFrame:
-        """Distinct (u, v) compared on their full sets."""
+        """Distinct (u, v, n_u, n_v) compared on their full sets."""
         blob = lambda x: full.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}"))
-        sets_of = p.join(blob("u"), "u").join(blob("v"), "v").select("u", "v", "set_u", "set_v")
-        sizes = classes.select("node", "n")
-        got = compared(sets_of, rest).join(sizes.select(F.col("node").alias("u"), F.col("n").alias("n_u")), "u")
-        return written(got.join(sizes.select(F.col("node").alias("v"), F.col("n").alias("n_v")), "v"), "compared")
+        sets_of = p.join(blob("u"), "u").join(blob("v"), "v").select("u", "v", "set_u", "set_v", "n_u", "n_v")
+        return written(compared(sets_of, rest), "compared")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         return pairs.where(alike(F.col("both"), F.col("n_u"), F.col("n_v"), percent)).select("u", "v")
@@ -259,10 +262,10 @@ def linked(
     near = verified(colliding(stars), True)
     labels = written(components(links_of(near)), "labels")
     groups = Groups(posts, near, labels, own.select("node", "own"), matches)
-    central = links_of(verified(colliding(groups.with_centres()), False))
-    labels = written(components(central.unionByName(_stars(labels))), "labels")
-    left = links_of(verified(groups.left(labels, percent), False))
-    labels = written(components(left.unionByName(_stars(labels))), "labels")
+    labels = extended(labels, links_of(verified(colliding(groups.with_centres()), False)))
+    # Stored, as one plan of the search and the comparison would be the largest of all.
+    left = written(groups.left(labels, percent), "left")
+    labels = extended(labels, links_of(verified(sized(left), False)))
 
     least = classes.join(labels, "node").groupBy("label").agg(F.min("first_doc").alias("component"))
     smallest = labels.join(least, "label").select("node", "label", F.col("component").alias("smallest"))
@@ -369,7 +372,3 @@ class Groups:
 
         ends = [F.least("a_node", "node").alias("u"), F.greatest("a_node", "node").alias("v")]
         return bounded.select(ends).unionByName(shared.select(ends)).unionByName(met.select(ends)).distinct()
-
-
-def _stars(labels: DataFrame) -> DataFrame:
-    return labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
